@@ -1,0 +1,45 @@
+"""Connected components of an edge table, by alternating large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cartolith.llm.common import drop_written, fresh, work_dir
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, component: the smallest node reachable) of every node that is on an edge (a, b).
+
+    Each round's edges are written to the shared folder; nothing is gathered on the driver but a count and a
+    check sum. Rounds grow with the logarithm of the longest path. Nulls and loops are ignored."""
+    spark = edges.sparkSession
+    if not spark:  # pragma: no cover
+        raise ValueError("no session")
+    work_dir(spark)
+    old: list[str] = []
+
+    def put(df: DataFrame) -> DataFrame:
+        old.append(fresh(spark, "components"))
+        df.write.parquet(old[-1])
+        return spark.read.schema("a long, b long").parquet(old[-1])
+
+    def state(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+
+    now = put(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    seen = state(now)
+    while seen[0]:
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = put(both.groupBy("a").agg(F.least("a", F.min("b")).alias("b")))
+        large = put(both.join(least.withColumnRenamed("b", "m"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        least = put(large.groupBy("a").agg(F.min("b").alias("b")))
+        small = large.join(least.withColumnRenamed("b", "m"), "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = put(small.unionByName(least).distinct())
+        for path in old[:-1]:
+            drop_written(spark, path)
+        del old[:-1]
+        last, seen = seen, state(now)
+        if last == seen:
+            break
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select("b", "b").distinct().toDF("node", "component"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartolith.llm import bpe
+from cartolith.llm import bpe, neardup, packing
 from cartolith.llm.common import table
 
 
@@ -24,8 +24,20 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe}
+    return {
+        "op2_bpe": op2_bpe,
+        "op3_near_duplicates": op3_near_duplicates,
+        "op8_packing": op8_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
