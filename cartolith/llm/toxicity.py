@@ -265,7 +265,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int, significance: float)
         return Lexicon([], 0.0, 0.0), model
     base = min(ones / n, 0.5)
     least = max(2, int(significance / (2 * np.log(1 / base))) if base < 0.5 else 8)
-    found = feature_counts(docs, kept, spark.sparkContext.broadcast(model)).where((F.col("toxic") >= least) & (F.col("toxic") >= F.col("other")))
+    found = feature_counts(docs, kept, spark.sparkContext.broadcast(model)).where((F.col("toxic") >= least) & (F.col("toxic") >= 3 * F.col("other")))
     rows = [(r.feature, r.toxic, r.other) for r in found.collect() if _likelihood_ratio(r.toxic, r.toxic + r.other, base) >= significance]
     lexicon = Lexicon(rows, base, 0.0)
     # what telling words leave unexplained, by the sample's own counts
