@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartolith.llm import bpe, linededup, neardup, packing, quality_cnn, quality_rules, toxicity
+from cartolith.llm import bpe, linededup, neardup, packing, quality_cnn, quality_rules, toxicity, warc
 from cartolith.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_bpe": op2_bpe,
         "op3_near_duplicates": op3_near_duplicates,
+        "op4_warc": op4_warc,
         "op5_quality_rules": op5_quality_rules,
         "op7_line_dedup": op7_line_dedup,
         "op8_packing": op8_packing,
@@ -61,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": linededup.ORACLE}
+    return {"op4_warc": warc.ORACLE, "op7_line_dedup": linededup.ORACLE}
