@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartolith.llm import bpe, linededup, neardup, packing, quality_cnn, quality_rules, toxicity, warc
+from cartolith.llm import bpe, linededup, neardup, packing, quality_cnn, quality_rules, topk, toxicity, warc
 from cartolith.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -61,9 +65,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_rules": op5_quality_rules,
         "op7_line_dedup": op7_line_dedup,
         "op8_packing": op8_packing,
+        "op9_topk": op9_topk,
         "op10_quality_classifier": op10_quality_classifier,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.ORACLE, "op7_line_dedup": linededup.ORACLE}
+    return {"op4_warc": warc.ORACLE, "op7_line_dedup": linededup.ORACLE, "op9_topk": topk.ORACLE}
