@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartolith.llm import bpe, linededup, neardup, packing, quality_cnn, quality_rules, topk, toxicity, warc
+from cartolith.llm import bpe, linededup, lm, neardup, packing, quality_cnn, quality_rules, topk, toxicity, warc
 from cartolith.llm.common import table
 
 
@@ -40,6 +40,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_digest(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_near_duplicates": op3_near_duplicates,
         "op4_warc": op4_warc,
         "op5_quality_rules": op5_quality_rules,
+        "op6_lm": op6_lm,
         "op7_line_dedup": op7_line_dedup,
         "op8_packing": op8_packing,
         "op9_topk": op9_topk,
