@@ -98,6 +98,24 @@ def batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v) if not isinstance(v, pa.Array) else v for v in columns.values()], names=list(columns))
 
 
+def filtered(df: DataFrame, make: Callable[[], Callable[[list[bytes]], np.ndarray]], text_col: str = "text") -> DataFrame:
+    """The rows whose text passes: make() gives, in each task, a function from texts to booleans. All columns stay as they are."""
+    names = df.columns
+    renamed = df.toDF(*[f"c{i}" for i in range(len(names))])
+    rows = renamed.select(utf8(f"c{names.index(text_col)}").alias("t"), "*")
+
+    def start():
+        keep = make()
+
+        def run(b: pa.RecordBatch):
+            mask = pa.array(np.asarray(keep(b.column(0).to_pylist()), bool))
+            yield pa.RecordBatch.from_arrays(list(b.columns[1:]), names=b.schema.names[1:]).filter(mask)
+
+        return run
+
+    return map_arrow(rows, start, renamed.schema).toDF(*names)
+
+
 def has_at_most(df: DataFrame, rows: int) -> bool:
     """Whether a table is small; reads no more of it than needed."""
     return df.limit(rows + 1).count() <= rows

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolith.llm.common import batch, crc_mod, map_arrow, utf8
+from cartolith.llm.common import batch, crc_mod, filtered, map_arrow, utf8
 
 CHUNK, WIDTH, STRIDE, DIM, FILTERS, HIDDEN = 512, 8, 2, 6, 32, 24
 STEP = CHUNK - 64
@@ -148,12 +148,31 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, in_training,
     return [bytes(r.text) for r in rows], np.array([r.label for r in rows], np.float32)
 
 
+def trained(docs: DataFrame, labels: DataFrame, sample: int, epochs: int) -> Network:
+    """Learns from labels of rows whose crc32(doc_id) mod 3 is not 1."""
+    texts, y = labelled_sample(docs, labels, "quality", crc_mod("doc_id", 3) != 1, sample)
+    if texts:
+        return Network().fit(texts, y, epochs)
+    network = Network()
+    network.constant = 0.5
+    return network
+
+
+def kept(docs: DataFrame, labels: DataFrame, sample: int = 4000, epochs: int = 6) -> DataFrame:
+    """The rows that the classifier predicts to be good, with all their columns."""
+    network = trained(docs, labels, sample, epochs)
+    shared = docs.sparkSession.sparkContext.broadcast((network, network.tables()))
+
+    def make():
+        net, tables = shared.value
+        return lambda texts: net.score(texts, tables) >= 0.5
+
+    return filtered(docs, make)
+
+
 def quality_classifier(docs: DataFrame, labels: DataFrame, sample: int = 4000, epochs: int = 6) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row; learns from labels of rows whose crc32(doc_id) mod 3 is not 1."""
-    texts, y = labelled_sample(docs, labels, "quality", crc_mod("doc_id", 3) != 1, sample)
-    network = Network().fit(texts, y, epochs) if texts else Network()
-    if not texts:
-        network.constant = 0.5
+    network = trained(docs, labels, sample, epochs)
     shared = docs.sparkSession.sparkContext.broadcast((network, network.tables()))
 
     def make():

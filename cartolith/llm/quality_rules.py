@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolith.llm.common import batch, map_arrow, shingle_hashes, utf8, word_hashes
+from cartolith.llm.common import batch, filtered, map_arrow, shingle_hashes, utf8, word_hashes
 
 N, BUCKETS, ALPHA, THRESHOLD = 4, 1 << 16, 1.0, -0.1
 SYMBOLS = b"#*$%&|<>"
@@ -152,3 +152,13 @@ def quality_rules(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return run
 
     return map_arrow(df.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")), make, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, log_ratio double")
+
+
+def kept(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that quality_rules keeps, with all their columns."""
+    shared = df.sparkSession.sparkContext.broadcast(log_ratios(bucket_counts(df)))
+
+    def make():
+        return lambda texts: ~base_failed(base_counts(texts)) & (ratios(texts, shared.value) >= threshold)
+
+    return filtered(df, make)
