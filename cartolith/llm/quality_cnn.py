@@ -105,12 +105,16 @@ class Network:
         best = (h == v[doc, :FILTERS]).astype(np.float32)
         best /= np.maximum(1, np.add.reduceat(best, np.cumsum(n) - n))[doc]
         dtop = (dh + best * dv[doc, :FILTERS]) * (top + p["bias"] > 0)
-        window = chunks[np.arange(len(chunks))[:, None, None], STRIDE * at[:, :, None] + np.arange(WIDTH)]  # chunk, filter, place
-        e = p["embed"][window]
-        weighted = dtop[:, :, None, None] * e
-        dembed = np.zeros_like(p["embed"])
-        np.add.at(dembed, window, dtop[:, :, None, None] * p["filters"].transpose(2, 0, 1)[None])
-        return {"embed": dembed, "filters": weighted.sum(0).transpose(1, 2, 0), "bias": dtop.sum(0), "mid": v.T @ du, "lift": du.sum(0), "out": u.T @ dz, "shift": dz.sum(keepdims=True)}
+        # by place: how much each byte adds to each filter, from which both layers' gradients follow
+        dembed, dfilters = np.zeros_like(p["embed"]), np.zeros_like(p["filters"])
+        row, column = np.arange(len(chunks))[:, None], np.arange(FILTERS)
+        flat = dtop.ravel()
+        for k in range(WIDTH):
+            byte = chunks[row, STRIDE * at + k].astype(np.int64)
+            m = np.bincount((byte * FILTERS + column).ravel(), flat, 256 * FILTERS).reshape(256, FILTERS).astype(np.float32)
+            dembed += m @ p["filters"][k].T
+            dfilters[k] = p["embed"].T @ m
+        return {"embed": dembed, "filters": dfilters, "bias": dtop.sum(0), "mid": v.T @ du, "lift": du.sum(0), "out": u.T @ dz, "shift": dz.sum(keepdims=True)}
 
     def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 6, size: int = 32, rate: float = 0.01) -> Network:
         ones = int(labels.sum())
