@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch: bounds what a Python worker holds when texts are long.
 ARROW_ROWS = 512
+#: Rows in a batch that goes back.
+OUT_ROWS = 1 << 15
 #: A table is broadcast only when it has at most so many bytes; beyond, it is joined by shuffle.
 BROADCAST_BYTES = 64 << 20
 
@@ -75,21 +77,22 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch | pa.Table | None]]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch | None]]], schema: str) -> DataFrame:
     """mapInArrow with a per-task object: ``make()`` gives a function from a batch to output batches.
 
     The function may have an attribute ``close`` that gives the last ones."""
     configure(df.sparkSession)
 
+    def pieces(found: Iterable) -> Iterator[pa.RecordBatch]:
+        for out in found:
+            for s in range(0, out.num_rows if out is not None else 0, OUT_ROWS):
+                yield out.slice(s, OUT_ROWS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for b in batches:
-            for out in f(b):
-                if out is not None and out.num_rows:
-                    yield from out.to_batches() if isinstance(out, pa.Table) else (out,)
-        for out in getattr(f, "close", tuple)():
-            if out is not None and out.num_rows:
-                yield from out.to_batches() if isinstance(out, pa.Table) else (out,)
+            yield from pieces(f(b))
+        yield from pieces(getattr(f, "close", tuple)())
 
     return df.mapInArrow(run, schema)
 
