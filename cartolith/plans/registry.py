@@ -188,7 +188,7 @@ add("roughness_stats", "dem", terrain.roughness_stats, f"""with {_vrm}, st as (s
     select method, R(avg(value)) as mean, R(stddev_pop(value)) as std, R(min(value)) as min, R(max(value)) as max from u group by method""")
 _vs = """rays as (select a, d, cast(trunc(25+d*sin(radians(cast(a as double)))) as bigint) r, cast(trunc(20+d*cos(radians(cast(a as double)))) as bigint) c from range(360) t(a), range(1, 167) s(d)),
     o as (select a, d, rays.r, rays.c, elev, atan2(elev-(select elev from dem where r=25 and c=20), d*30e0) ang, max(case when elev is null then 1 else 0 end) over (partition by a order by d) bad from rays left join dem on dem.r=rays.r and dem.c=rays.c),
-    q as (select *, max(ang) over (partition by a order by d rows between unbounded preceding and 1 preceding) top from o where bad=0), seen as (select r, c from q where top is null or ang>top union select 25, 20)"""
+    q as (select *, max(ang) over (partition by a order by d rows between unbounded preceding and 1 preceding) top from o where bad=0), seen as (select r, c from q where top is null or ang>top union select r, c from dem where r=25 and c=20)"""
 add("viewshed", "dem", lambda d: terrain.viewshed(d, 25, 20), f"with {_vs} select r, c from seen")
 add("viewshed_stats", "dem", lambda d: terrain.viewshed_stats(terrain.viewshed(d, 25, 20), d), f"with {_vs} select count(*) as visible, R(count(*)*100e0/(select count(elev) from dem)) as pct, R(count(*)*900e0) as area from seen")
 add("local_minima", "dem", terrain.local_minima, f"with {_in} select r, c, min(v)>=any_value(elev) as low from inn where not (dr=0 and dc=0) group by r, c")
