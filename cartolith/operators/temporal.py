@@ -40,7 +40,7 @@ def trend(df: DataFrame, time: str, value: str, tie: str) -> DataFrame:
     return a.withColumn("interpretation", F.when(F.col("p") >= 0.05, "no significant trend").when(F.col("slope") > 0, "increasing").otherwise("decreasing"))
 
 
-def mann_kendall(df: DataFrame, time: str, value: str, tie: str, block: int = 4096) -> DataFrame:
+def mann_kendall(df: DataFrame, time: str, value: str, tie: str, block: int = 2048) -> DataFrame:
     """(n, s, var, z, p). S adds up the signs of all pairs by blocks of the order: within a block by brute force in
     numpy, between blocks by a sorted merge, so pairs are counted without being made."""
     s = _series(df, time, value, tie).where("v is not null")
