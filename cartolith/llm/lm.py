@@ -1,18 +1,15 @@
 """Language-model scoring by a weighted backoff automaton (operator 6).
 
-Words of every training document are counted exactly, however many there are. Smoothed n-grams become the
-states and arcs of an automaton: a state for each history, an arc for each n-gram kept, and a failure arc with
-a backoff weight to the shorter history. Scoring is one left-to-right traversal that carries the state and adds
-up logarithms; at the root a word has its unigram probability, and a word never seen in training the share of
-unseen words times the probability of its spelling under a byte trigram model.
+Words, bigrams and trigrams of every training document are counted exactly, however many there are; words count from
+their first occurrence, n-grams from their second, at any size of the corpus (``share`` asks for more occurrences and
+is 0). They are the states and arcs of an automaton: a state for each history, an arc for each n-gram kept, and a
+failure arc with a backoff weight to the shorter history; at the root a word has its unigram probability, and a word
+never seen in training the share of unseen words times the probability of its spelling under a byte trigram model.
 
-N-grams are kept if they are a share of ``share`` of the training tokens or more, so at most 1 / share are kept
-of each length, whatever the corpus: that bounds the automaton, which every task gets. No n-gram can be kept
-unless its parts are, so longer ones are counted only where their parts are kept; all counts are exact.
-
-Counts of single words do not fit every task. So documents are written in blocks (what a task of the first
-scan read), each block's distinct words get their counts by one join on the word's hash, and the task that
-scores a block reads the block's words from the shared folder.
+No task holds the automaton. Documents are written in blocks of at most about ``BLOCK`` bytes; each block's distinct
+words and n-grams, as hashes, get their counts and the counts kept after them, as histories, by the hash, and the
+task that scores a block reads that block's part from the shared folder. A token takes two failure arcs at most,
+which are followed for all tokens of a batch at once.
 
 Probabilities: absolute discounting, interpolated. Defined cases: a null or empty text is the end token alone;
 without training documents all mass is that of the end token and of unseen words; repeated rows are counted
@@ -24,14 +21,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartolith.llm.common import batch, crc_mod, distinct_words, fresh, map_arrow, utf8, word_hashes
+from cartolith.llm.common import batch, crc_mod, distinct_words, fresh, map_arrow, mix, utf8, word_hashes
 from cartolith.llm.warc import filesystem
 
-D, ORDER, SHARE, LANES = 0.75, 3, 2.0**-18, 2048
-END = np.uint64(0x454E44)  # stands for the end token's hash; kept apart by its kind
+D, LEAST, BLOCK = 0.75, 2, 16 << 20
+END = np.uint64(0x454E44)  # stands for the end token's hash
 FLUSH = 4_000_000
 
 
@@ -108,21 +105,15 @@ class Spelling:
 
 
 class Automaton:
-    """States: the root, a word kept, then n-grams kept by length. Arcs are sorted by state * symbols + symbol."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, documents: int, tokens: int, types: int):
-        order = np.argsort(words)
-        self.words, counts = words[order], counts[order].astype(np.float64)
-        self.tokens, self.types, self.documents = tokens, types, documents
-        self.end = len(self.words)
-        self.symbols = self.end + 1
-        self.counts = np.concatenate([[0.0], counts, [float(documents)]])  # of each state's history
-        self.fail = np.zeros(1 + self.symbols, np.int64)
-        self.back = np.zeros(1 + self.symbols)
-        self.arcs = np.zeros(0, np.int64)
-        self.arc_log, self.arc_next = np.zeros(0), np.zeros(0, np.int64)
-        self.depth = 0
-        self.level = (1, 1 + self.symbols)  # states of the longest histories
+    """A block's part: n-grams by their hash, with their counts and their backoff weights as histories."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, kept: np.ndarray, documents: int, tokens: int, types: int):
+        """kept: of each n-gram, the discounted counts of the kept ones that are longer by a word."""
+        order = np.argsort(keys)
+        self.keys = np.append(keys[order], np.uint64(0))  # the last place stands for what is not there
+        self.n = np.append(n[order], 0).astype(np.float64)
+        self.back = np.append(np.maximum(1e-9, (n[order] - kept[order]) / np.maximum(1, n[order])), 1.0)
+        self.documents, self.tokens, self.types = documents, tokens, types
 
     def unigram(self, c: np.ndarray) -> np.ndarray:
         """Probability at the root of words seen c times, c > 0."""
@@ -134,218 +125,178 @@ class Automaton:
     def end_probability(self) -> float:
         return (max(self.documents - D, 0) + 1) / (self.tokens + 2)
 
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at, -1)
-
-    def find(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """Place of the arc, or -1."""
-        if not len(self.arcs):
-            return np.full(len(state), -1)
-        code = state * self.symbols + symbol
-        at = np.minimum(np.searchsorted(self.arcs, code), len(self.arcs) - 1)
-        return np.where((self.arcs[at] == code) & (symbol >= 0) & (state > 0), at, -1)
-
-    def probability(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """Of known symbols after the history of a state, by failure arcs."""
-        out, done = np.ones(len(state)), np.zeros(len(state), bool)
-        state = state.copy()
-        while not done.all():
-            at = self.find(state, symbol)
-            hit, root = ~done & (at >= 0), ~done & (at < 0) & (state == 0)
-            out[hit] *= 10 ** self.arc_log[at[hit]]
-            c = self.counts[1 + symbol[root]]
-            out[root] *= np.where(symbol[root] == self.end, self.end_probability(), self.unigram(np.maximum(c, 1)))
-            done |= hit | root
-            state[~done], out[~done] = self.fail[state[~done]], out[~done] * 10 ** self.back[state[~done]]
-        return out
-
-    def extend(self, codes: np.ndarray, n: np.ndarray) -> None:
-        """Add the n-grams one longer: codes are state * symbols + symbol, from states of the longest histories."""
-        order = np.argsort(codes)
-        codes, n = codes[order], n[order].astype(np.float64)
-        state, symbol = codes // self.symbols, codes % self.symbols
-        low, high = self.level
-        kept = np.bincount(state, n - D, high)[low:high]
-        gamma = np.maximum(1e-9, (self.counts[low:high] - kept) / np.maximum(1, self.counts[low:high]))
-        self.back[low:high] = np.log10(gamma)
-        p = (n - D) / self.counts[state] + gamma[state - low] * self.probability(self.fail[state], symbol)
-        after = np.where(symbol == self.end, 0, high + np.arange(len(codes)))
-        shorter = np.where(state < 1 + self.symbols, 1 + symbol, 0)
-        longer = state >= 1 + self.symbols
-        at = self.find(self.fail[state[longer]], symbol[longer])
-        shorter[longer] = np.where(at >= 0, self.arc_next[at], 1 + symbol[longer])
-        self.arcs = np.concatenate([self.arcs, codes])
-        self.arc_log, self.arc_next = np.concatenate([self.arc_log, np.log10(p)]), np.concatenate([self.arc_next, after])
-        self.fail, self.back = np.concatenate([self.fail, shorter]), np.concatenate([self.back, np.zeros(len(codes))])
-        self.counts = np.concatenate([self.counts, n])
-        self.level = (high, high + len(codes))
-        self.depth += 1
-
-    def seal(self) -> None:
-        """After the last extend: histories without arcs are never entered, their failure is followed at once."""
-        low = self.level[0]
-        if low > 1:
-            at = self.arc_next >= low
-            self.arc_next[at] = self.fail[self.arc_next[at]]
-
-    def states(self, symbols: np.ndarray) -> np.ndarray:
-        """The state after each token: the longest history kept, found by length. -1: an unkept word."""
-        out = np.where((symbols >= 0) & (symbols != self.end), 1 + symbols, 0)
-        for _ in range(self.depth):
-            at = self.find(np.concatenate([[0], out[:-1]]), symbols)
-            out = np.where(at >= 0, self.arc_next[at], out) if len(self.arcs) else out
-        return out
-
-    def traverse(self, symbols: np.ndarray, root_log: np.ndarray) -> np.ndarray:
-        """log10 probability of each token. The tokens are dealt to lanes, each read from left to right; a lane begins
-        ORDER - 1 tokens early, after which its state is that of the whole sequence."""
-        n = len(symbols)
-        lanes = max(1, min(LANES, n // 16))
-        length = -(-n // lanes)
-        first = np.arange(lanes) * length
-        out, state = np.zeros(n), np.zeros(lanes, np.int64)
-        for t in range(-(ORDER - 1), length):
-            at = first + t
-            live = np.flatnonzero((at >= 0) & (at < n))
-            at = at[live]
-            s, f, log = state[live], symbols[at], np.zeros(len(live))
-            left = np.arange(len(live))
-            while len(left):
-                arc = self.find(s[left], f[left])
-                hit = arc >= 0
-                log[left[hit]] += self.arc_log[arc[hit]]
-                s[left[hit]] = self.arc_next[arc[hit]]
-                left = left[~hit]
-                root = s[left] == 0
-                who = left[root]
-                log[who] += root_log[at[who]]
-                s[who] = np.where((f[who] >= 0) & (f[who] != self.end), 1 + f[who], 0)
-                left = left[~root]
-                log[left] += self.back[s[left]]
-                s[left] = self.fail[s[left]]
-            state[live] = s
-            if t >= 0:
-                out[at] = log
-        return out
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of n-grams."""
+        at = np.searchsorted(self.keys[:-1], hashes)
+        return np.where(self.keys[at] == hashes, at, len(self.keys) - 1)
 
+    def traverse(self, hashes: np.ndarray, place: np.ndarray, root_log: np.ndarray) -> np.ndarray:
+        """log10 probability of each token, of which place tells how many come before it in its document."""
+        two, three = _longer(hashes)
+        log, state = root_log.copy(), self.find(hashes)
+        for order, grams in ((1, two), (2, three)):
+            at = np.flatnonzero(place >= order)
+            arc, before = self.find(grams[at]), state[at - 1]
+            low, back, n = log[at], self.back[before], self.n[arc]
+            hit = n > 0
+            out = np.log10(back) + low
+            out[hit] = np.log10((n[hit] - D) / self.n[before[hit]] + back[hit] * 10 ** low[hit])
+            log[at] = out
+            state = np.full(len(hashes), len(self.keys) - 1)
+            state[at] = arc
+        return log
 
-def _with_ends(values: np.ndarray, offsets: np.ndarray, end) -> np.ndarray:
-    """The documents' values with one more after each."""
-    return np.insert(values, offsets[1:], end)
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * np.uint64(0xD6E8FEB86659FD93) + b)
+
+
+def _longer(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the bigram and of the trigram that end at each token; without meaning where a document begins."""
+    two, three = np.zeros_like(hashes), np.zeros_like(hashes)
+    two[1:] = _pair(hashes[:-1], hashes[1:])
+    three[1:] = _pair(two[:-1], hashes[1:])
+    return two, three
 
 
-def _gram_keys(automaton: Automaton):
-    """keys_of for _counted: n-grams one longer than the automaton's, of which both parts are kept."""
-    low = automaton.level[0]
+def _places(offsets: np.ndarray) -> np.ndarray:
+    """How many tokens come before each in its document, ends among them."""
+    n = np.diff(offsets) + 1
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
-    def keys_of(texts: list[bytes]) -> np.ndarray:
+
+class GramCounter:
+    """Adds up a block's words and n-grams: (key, history, n), each distinct key once until flushed."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, texts: list[bytes], train: np.ndarray) -> None:
+        """train: whether each text counts; others make their n-grams known with n = 0."""
         hashes, offsets = word_hashes(texts)
-        symbols = _with_ends(automaton.ids(hashes), offsets, automaton.end)
-        before = np.concatenate([[0], automaton.states(symbols)[:-1]])
-        ok = (before >= low) & (symbols >= 0)
-        if low > 1:  # the n-gram without its first word is kept as well
-            ok &= automaton.find(automaton.fail[before], symbols) >= 0
-        return (before[ok] * automaton.symbols + symbols[ok]).astype(np.int64)
+        place, counts = _places(offsets), np.repeat(train, np.diff(offsets) + 1)
+        hashes = _with_ends(hashes, offsets, END)
+        two, three = _longer(hashes)
+        inner = np.ones(len(hashes), bool)
+        inner[offsets[1:] + np.arange(len(texts))] = False
+        second, third = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
+        self.parts.append((
+            np.concatenate([hashes[inner], two[second], three[third]]),
+            np.concatenate([np.zeros(inner.sum(), np.uint64), hashes[second - 1], two[third - 1]]),
+            np.concatenate([counts[inner], counts[second], counts[third]]),
+        ))
+        self.size += len(self.parts[-1][0])
+
+    def flush(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        if not self.size:
+            return []
+        key, history, counts = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts, self.size = [], 0
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        return [(key[first].view(np.int64), history[order[first]].view(np.int64), np.add.reduceat(counts[order].astype(np.int64), first))]
 
-    return keys_of
 
+def _with_ends(values: np.ndarray, offsets: np.ndarray, end) -> np.ndarray:
+    """The documents' values with one more after each."""
+    return np.insert(values, offsets[1:], end)
 
-def score(df: DataFrame, share: float = SHARE) -> DataFrame:
+
+def score(df: DataFrame, share: float = 0.0) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; learns from rows whose crc32(doc_id) mod 10 is not 0."""
     spark = df.sparkSession
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", 10) == 0).alias("held_out"), utf8().alias("text"))
 
     def lower():
-        return lambda b: [pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([t.lower() for t in b.column(3).to_pylist()], pa.binary())], names=["block", "doc_id", "held_out", "text"])]
+        size = 0
+
+        def run(b: pa.RecordBatch):
+            nonlocal size
+            text = pa.array([t.lower() for t in b.column(3).to_pylist()], pa.binary())
+            block = (b.column(0)[0].as_py() << 32) + size // BLOCK if len(b) else 0
+            size += text.nbytes
+            return [batch(block=pa.array(np.full(len(b), block), pa.int64()), doc_id=b.column(1), held_out=b.column(2), text=text)]
+
+        return run
 
     at = fresh(spark, "lm-blocks")
     blocked = map_arrow(rows.select(F.spark_partition_id().cast("long").alias("block"), "*"), lower, "block long, doc_id long, held_out boolean, text binary")
     blocked.write.parquet(at)
     blocked = spark.read.schema(blocked.schema).parquet(at)
 
-    def block_words():
-        held: dict[int, list[Counter]] = {}
+    def block_grams():
+        counter, block = GramCounter(), None
 
-        def rows_of(block: int, found, train: bool):
-            return [batch(block=pa.array(np.full(len(k), block)), key=k, n=pa.array(n * train, pa.int64())) for k, n in found]
+        def flush():
+            for key, history, n in counter.flush():
+                for k in range(0, len(key), 1 << 16):
+                    part = slice(k, k + (1 << 16))
+                    yield batch(block=pa.array(np.full(len(key[part]), block), pa.int64()), key=key[part], history=history[part], n=pa.array(n[part], pa.int64()))
 
         def run(b: pa.RecordBatch):
-            block, out, text = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_pylist()
-            hashes, offsets = word_hashes(text)
-            which = np.repeat(2 * block + ~out, np.diff(offsets))
-            for x in np.unique(which).tolist():
-                yield from rows_of(x // 2, held.setdefault(x, Counter()).add(hashes[which == x]), bool(x % 2))
-
-        def close():
-            for x, counter in held.items():
-                yield from rows_of(x // 2, counter.flush(), bool(x % 2))
-
-        run.close = close
+            nonlocal block
+            for part in _by_block(b):
+                if (x := part.column(0)[0].as_py()) != block or counter.size >= FLUSH:
+                    yield from flush()
+                    block = x
+                counter.add(part.column(2).to_pylist(), ~part.column(1).to_numpy(zero_copy_only=False))
+
+        run.close = flush
         return run
 
-    at = fresh(spark, "lm-words")
-    words = map_arrow(blocked.select("block", "held_out", "text"), block_words, "block long, key long, n long")
-    words.write.parquet(at)
-    words = spark.read.schema(words.schema).parquet(at)
-    at = fresh(spark, "lm-counts")
-    words.groupBy("key").agg(F.sum("n").alias("n")).where("n > 0").write.parquet(at)
-    counts = spark.read.schema("key long, n long").parquet(at)
+    # each key's rows, one a block as a rule, get its count; one of them is marked
+    by_key = Window.partitionBy("key").orderBy("block")
+    grams = map_arrow(blocked.select("block", "held_out", "text"), block_grams, "block long, key long, history long, n long")
+    grams = grams.select("block", "key", "history", F.sum("n").over(by_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"), (F.row_number().over(by_key) == 1).alias("one"))
+    word = F.col("history") == 0
+    at = fresh(spark, "lm-grams")
+    grams.where((F.col("n") >= LEAST) | (word & (F.col("n") > 0))).write.parquet(at)
+    grams = spark.read.schema(grams.schema).parquet(at)
 
     training = blocked.where(~F.col("held_out"))
     documents = training.count()
-    tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    tokens, types = grams.where(word & F.col("one")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens, types = tokens + documents, types + (documents > 0)
-    least = max(2, int(np.ceil(share * tokens)))
-    often = np.array([tuple(r) for r in counts.where(F.col("n") >= least).collect()], np.int64).reshape(-1, 2)  # 1 / share rows at most
-    automaton = Automaton(often[:, 0].copy().view(np.uint64), often[:, 1], documents, tokens, types)
-    for _ in range(ORDER - 1):
-        shared = spark.sparkContext.broadcast(automaton)
-        found = _counted(training, lambda texts, shared=shared: _gram_keys(shared.value)(texts)).where(F.col("n") >= least)
-        found = np.array([tuple(r) for r in found.collect()], np.int64).reshape(-1, 2)  # 1 / share rows at most
-        automaton.extend(found[:, 0], found[:, 1])
-        automaton = _copy(automaton)
-    automaton.seal()
-    grams = _counted(training, lambda texts: spelling_grams([w for t in texts for w in t.split()])).collect()  # byte trigrams: 2 ** 24 at most
-    spelling = Spelling(np.array([r.key for r in grams], np.int64), np.array([r.n for r in grams], np.int64))
-
+    grams = grams.where(word | (F.col("n") >= max(LEAST, int(np.ceil(share * tokens)))))
+    after = grams.where(~word & F.col("one")).groupBy(F.col("history").alias("key")).agg(F.sum(F.col("n") - F.lit(D)).alias("kept"))
     folder = fresh(spark, "lm-dictionaries")
-    known = words.select("block", "key").distinct().join(counts, "key")
+    known = grams.select("block", "key", "n").join(after, "key", "left").select("block", "key", "n", F.coalesce("kept", F.lit(0.0)).alias("kept"))
     known.repartition("block").sortWithinPartitions("block").write.partitionBy("block").parquet(folder)
-    model = spark.sparkContext.broadcast((automaton, spelling))
+
+    spelt = _counted(training, lambda texts: spelling_grams([w for t in texts for w in t.split()])).collect()  # byte trigrams: 2 ** 24 at most
+    spelling = Spelling(np.array([r.key for r in spelt], np.int64), np.array([r.n for r in spelt], np.int64))
+
+    model = spark.sparkContext.broadcast((spelling, documents, tokens, types))
 
     def scorer():
-        auto, spell = model.value
+        spell, *totals = model.value
         held: dict = {"block": None}
 
         def load(block: int) -> None:
+            held.clear()
             fs, path = filesystem(f"{folder}/block={block}")
             files = [f.path for f in fs.get_file_info(_selector(path)) if f.path.endswith(".parquet")]
-            tables = [pq.read_table(f, columns=["key", "n"], filesystem=fs, partitioning=None) for f in files]
-            keys = np.concatenate([t["key"].to_numpy() for t in tables]).view(np.uint64) if tables else np.zeros(0, np.uint64)
-            n = np.concatenate([t["n"].to_numpy() for t in tables]) if tables else np.zeros(0, np.int64)
-            order = np.argsort(keys)
-            held.update(block=block, keys=keys[order], n=n[order])
+            tables = [pq.read_table(f, columns=["key", "n", "kept"], filesystem=fs, partitioning=None) for f in files]
+            column = lambda name, kind: np.concatenate([np.zeros(0, kind), *(t[name].to_numpy() for t in tables)])
+            held.update(block=block, auto=Automaton(column("key", np.int64).view(np.uint64), column("n", np.int64), column("kept", np.float64), *totals))
 
         def part(b: pa.RecordBatch):
             if held["block"] != (block := b.column(0)[0].as_py()):
                 load(block)
+            auto = held["auto"]
             texts = b.column(3).to_pylist()
             chunks, codes, offsets = distinct_words(texts)
             hashes = word_hashes([b" ".join(chunks)])[0] if chunks else np.zeros(0, np.uint64)
-            at = np.searchsorted(held["keys"], hashes)
-            at[at == len(held["keys"])] = 0
-            c = np.where(held["keys"][at] == hashes, held["n"][at], 0) if len(held["keys"]) else np.zeros(len(hashes), np.int64)
+            c = auto.n[auto.find(hashes)]
             root = np.zeros(len(chunks))
             new = np.flatnonzero(c == 0)
             root[new] = np.log10(auto.unseen()) + spell.log10([chunks[i] for i in new])
             root[c > 0] = np.log10(auto.unigram(c[c > 0]))
             scale = auto.tokens + 0.1 * (auto.types + 1)
             base = np.log10((c + 0.1) / scale)
-            symbols = _with_ends(auto.ids(hashes)[codes], offsets, auto.end)
-            logs = auto.traverse(symbols, _with_ends(root[codes], offsets, np.log10(auto.end_probability())))
+            logs = auto.traverse(_with_ends(hashes[codes], offsets, END), _places(offsets), _with_ends(root[codes], offsets, np.log10(auto.end_probability())))
             n = np.diff(offsets) + 1
             first = np.concatenate([[0], np.cumsum(n)[:-1]])
             add = lambda x: np.add.reduceat(x, first)
@@ -357,22 +308,18 @@ def score(df: DataFrame, share: float = SHARE) -> DataFrame:
             )
 
         def run(b: pa.RecordBatch):
-            block = b.column(0).to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
-            for a, z in zip(edges, edges[1:], strict=False):
-                if z > a:
-                    yield from part(b.slice(a, z - a))
+            for x in _by_block(b):
+                yield from part(x)
 
         return run
 
     return map_arrow(blocked, scorer, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def _copy(a: Automaton) -> Automaton:
-    """Another object, so that what was broadcast before stays as it was."""
-    out = Automaton.__new__(Automaton)
-    out.__dict__.update(a.__dict__)
-    return out
+def _by_block(b: pa.RecordBatch) -> list[pa.RecordBatch]:
+    """Slices of one block each; the first column is the block."""
+    edges = [0, *(np.flatnonzero(np.diff(b.column(0).to_numpy())) + 1).tolist(), len(b)]
+    return [b.slice(a, z - a) for a, z in zip(edges, edges[1:], strict=False) if z > a]
 
 
 def _selector(path: str):

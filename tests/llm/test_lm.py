@@ -132,3 +132,18 @@ def test_better_than_the_base_on_held_out_texts(spark):
 
 def test_spelling_grams_and_hash():
     assert len(lm.spelling_grams([b"ab", b"c"])) == 5 and len(word_hashes([b"a b"])[0]) == 2
+
+
+def test_ngrams_seen_twice_count_at_any_size(spark):
+    """3,000,000 training tokens: a cut of 2^-18 of them is 12 occurrences."""
+    train = [i for i in range(2000) if not held(i)]
+    rows = [(i, "und so " * 1000) for i in train[:1500]] + [(i, "rara avis volat") for i in train[1500:1502]]
+    new = next(i for i in range(5000, 6000) if held(i))
+    got = lm.score(spark.createDataFrame([*rows, (new, "rara avis volat")], "doc_id long, text string")).where("held_out").collect()
+    n, d, uni = 3_000_000 + 6 + 1502, lm.D, (2 - lm.D)
+    p1 = uni / (n + 2)
+    p2 = uni / 2 + d / 2 * p1
+    p3 = uni / 2 + d / 2 * p2
+    end = uni / 2 + d / 2 * (uni / 2 + d / 2 * (1502 - d + 1) / (n + 2))
+    assert [r.train_tokens for r in got] == [n]
+    assert abs(got[0].score - sum(math.log10(p) for p in (p1, p2, p3, end))) < 1e-9
