@@ -12,7 +12,9 @@ most ``sample`` labelled documents (of the least hash of their id; a parameter),
 whose association is significant are kept. A document's score is one minus the product, over its distinct
 telling words, of the probability that it is not toxic despite the word.
 
-Plain words have a lattice of one path, so only disguised ones are decoded. Defined cases: a null or empty text
+Plain words have a lattice of one path, so only disguised ones are decoded: those with signs or digits between or
+beside letters, look-alike signs at either end among them, or with repeats. Both the reading with such ends and the one
+without count. Digits alone are numbers. Defined cases: a null or empty text
 has the share of toxic documents without telling words as its score; without labels every score is 0; texts of
 any length are read whole; repeated rows get the same answer; rows with a null doc_id are scored, never learned from.
 """
@@ -42,6 +44,8 @@ PREFIXES = (4, 5, 6, 7)
 CACHE = 300_000
 _RUNS = re.compile(r"[^\W\d_]+")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+_SIGNS = "".join(c for c in LOOKS if not c.isdigit())
+_OUTER = re.compile(rf"^(?:(?![{re.escape(_SIGNS)}])[\W_])+|(?:(?![{re.escape(_SIGNS)}])[\W_])+$")
 _TRIPLE = re.compile(r"(.)\1\1")
 _REPEATS = re.compile(r"(.)\1+")
 _INSIDE = re.compile(r"[^\W\d_][\d\W_]+[^\W\d_]|[\d@$!|+(€*#£¡][^\W\d_]|[^\W\d_][\d@$|+(€*#£¡]")
@@ -151,15 +155,21 @@ class Restorer:
 
     def words(self, chunk: str) -> list[str]:
         """Of a lower-cased chunk."""
-        plain = _EDGES.sub("", chunk)
+        plain, outer = _EDGES.sub("", chunk), _OUTER.sub("", chunk)
         found = _RUNS.findall(plain)
-        if len(plain) > 64 or not found:  # no word is that long
+        if len(plain) > 64:  # no word is that long
             return found
-        if _TRIPLE.search(plain) or (not plain.isalpha() and _INSIDE.search(plain)) or (len(plain) < len(chunk) and len(plain) <= 3 and any(c in LOOKS for c in chunk) and len(chunk) <= 16):
-            return found + self.read(plain if len(plain) > 3 else chunk)
-        if self.watched and (short := _REPEATS.sub(r"\1", plain)) != plain and any(short[:n] in self.watched for n in self.lengths):
-            return found + self.read(plain)
-        return found
+        out = list(found)
+        if found and self.disguised(plain):
+            out += self.read(plain)
+        if outer != plain and (found or (len(outer) > 2 and len(set(outer)) > 1)):  # signs at the edges may be letters
+            out += self.read(outer)
+        return out
+
+    def disguised(self, plain: str) -> bool:
+        if _TRIPLE.search(plain) or (not plain.isalpha() and _INSIDE.search(plain)):
+            return True
+        return bool(self.watched) and (short := _REPEATS.sub(r"\1", plain)) != plain and any(short[:n] in self.watched for n in self.lengths)
 
     def read(self, raw: str) -> list[str]:
         return decode(raw, self.model).split()

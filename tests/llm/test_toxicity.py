@@ -87,3 +87,29 @@ def test_held_out_and_disguised(spark):
     assert {r.score for r in tx.toxicity(df, labels.limit(0)).collect()} == {0.0}
     restored = {r.doc_id: r.restored for r in tx.restored_texts(df, labels).collect()}
     assert all(w in restored[2000 + i].split() for i, (_, w) in enumerate(itertools.product(hide[:3], bad)))
+
+
+@pytest.mark.parametrize(("chunk", "want"), [("$tupid", "stupid"), ("!diot", "idiot"), ("$tup1d", "stupid"), ("!d10t", "idiot"), ("-$tupid,", "stupid"), ("(1d10t!", "idiot"), ("mor*n", "moron"), ("b**", "bee")])
+def test_signs_at_the_edge_are_read(model, chunk, want):
+    assert want in tx.Restorer(model).words(chunk)
+
+
+def test_plain_edges_stay(model):
+    r = tx.Restorer(model)
+    assert r.words("house!")[0] == "house" and r.words("(river)")[0] == "river" and r.words("2024") == r.words("!!!") == r.words("3.14") == []
+
+
+def learnt(spark, others):
+    """predicted of further texts, after learning from plain ones."""
+    rnd = random.Random(8)
+    syl = ["the", "ri", "ver", "on", "ing", "ston", "gar", "den", "for", "est", "un", "der", "lit", "tle", "an"]
+    word = lambda: "".join(rnd.choice(syl) for _ in range(rnd.randint(1, 4)))
+    rows = [(i, " ".join([word() for _ in range(rnd.randint(5, 40))] + ["idiot", "stupid"] * (i % 5 == 0))) for i in range(500)]
+    more = [(1000 + i, f"{word()} {word()} {t} {word()}") for i, t in enumerate(others)]
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.predicted for r in tx.toxicity(spark.createDataFrame(rows + more, "doc_id long, text string"), labels).collect()}
+    return [got[i] for i, _ in more]
+
+
+def test_sign_led_disguises_are_toxic(spark):
+    assert learnt(spark, ["$tupid", "!diot", "$tup1d", "!d10t", "(river", "garden!", "$100"]) == [1, 1, 1, 1, 0, 0, 0]
