@@ -47,6 +47,7 @@ _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _SIGNS = "".join(c for c in LOOKS if not c.isdigit())
 _OUTER = re.compile(rf"^(?:(?![{re.escape(_SIGNS)}])[\W_])+|(?:(?![{re.escape(_SIGNS)}])[\W_])+$")
 _TRIPLE = re.compile(r"(.)\1\1")
+_LONG_REPEAT = re.compile(r"(.)\1{3,}", re.S)
 _REPEATS = re.compile(r"(.)\1+")
 _INSIDE = re.compile(r"[^\W\d_][\d\W_]+[^\W\d_]|[\d@$!|+(€*#£¡][^\W\d_]|[^\W\d_][\d@$|+(€*#£¡]")
 
@@ -155,10 +156,12 @@ class Restorer:
 
     def words(self, chunk: str) -> list[str]:
         """Of a lower-cased chunk."""
-        plain, outer = _EDGES.sub("", chunk), _OUTER.sub("", chunk)
+        plain = _EDGES.sub("", chunk)
         found = _RUNS.findall(plain)
-        if len(plain) > 64:  # no word is that long
-            return found
+        if len(chunk) > 64:  # longer than a word: joined words, or one with long repeats
+            chunk = _LONG_REPEAT.sub(r"\1\1\1", chunk)
+            plain = _EDGES.sub("", chunk)
+        outer = _OUTER.sub("", chunk)
         out = list(found)
         if found and self.disguised(plain):
             out += self.read(plain)
@@ -186,7 +189,7 @@ def documents_words(texts: list[bytes], restorer: Restorer, known: dict):
     """Yields each text's (codes of its chunks, restored words of spaced runs); first a list: words of each chunk.
 
     known: a cache from chunk to its words."""
-    lowered = [t.decode().lower().encode() for t in texts]
+    lowered = [" ".join(t.decode().lower().split()).encode() for t in texts]  # all white space of Unicode, not only of ASCII
     chunks, codes, offsets = distinct_words(lowered)
     if len(known) > CACHE:
         known.clear()

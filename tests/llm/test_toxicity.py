@@ -113,3 +113,25 @@ def learnt(spark, others):
 
 def test_sign_led_disguises_are_toxic(spark):
     assert learnt(spark, ["$tupid", "!diot", "$tup1d", "!d10t", "(river", "garden!", "$100"]) == [1, 1, 1, 1, 0, 0, 0]
+
+
+def test_long_chunks_are_read(model):
+    r = tx.Restorer(model)
+    assert "stupid" in r.words("stu" + "u" * 70 + "pid")
+    for sep in "-/—_":
+        assert "idiot" in r.words(sep.join(["river", "garden", "forest"] * 5 + ["1d10t"] + ["house", "people"] * 5))
+    assert len(r.words("stone/" * 20_000)) >= 20_000
+
+
+def test_white_space_of_unicode(model):
+    for space in ("\u00a0", "\u3000", "\u2003"):
+        text = space.join(["river", "garden"] * 20 + ["1d10t", "m", "0", "r", "o", "n"] + ["house"] * 20)
+        parts = tx.documents_words([text.encode()], tx.Restorer(model), {})
+        words = next(parts)
+        own, extra = next(parts)
+        assert "idiot" in [w for i in own.tolist() for w in words[i]] and "moron" in extra
+
+
+def test_disguises_in_long_chunks_are_toxic(spark):
+    around = ["river", "garden", "forest", "under"] * 6
+    assert learnt(spark, ["stu" + "u" * 70 + "pid", "/".join([*around, "1d10t", *around]), "\u00a0".join([*around, "1d10t", *around]), "/".join(around)]) == [1, 1, 1, 0]
