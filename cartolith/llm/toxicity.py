@@ -8,7 +8,7 @@ documents, in a table whose size the alphabet fixes; the words that prove tellin
 prior, so that ambiguous signs fall to them.
 
 Telling features are whole words and word beginnings. Their counts in toxic and other documents come from at
-most ``sample`` labelled documents (of the least hash of their id; a parameter), copies counted once; those
+most ``sample`` labelled documents (of the least hash of their id; a parameter), those of the same set of words counted once; those
 whose association is significant are kept. A document's score is one minus the product, over its distinct
 telling words, of the probability that it is not toxic despite the word.
 
@@ -227,7 +227,7 @@ def feature_counts(docs: DataFrame, sampled: DataFrame, model) -> DataFrame:
                 have = {w for i in np.unique(own).tolist() for w in words[i]} | set(extra)
                 if not have:
                     continue
-                group = min(xxhash.xxh3_64_intdigest(w) for w in have) - 2**63  # copies share it as a rule
+                group = xxhash.xxh3_64_intdigest("\n".join(sorted(have))) - 2**63  # shared by texts of the same words alone
                 for f in {f for w in have for f in features(w)}:
                     rows["feature"].append(f)
                     rows["label"].append(int(label > 0))

@@ -135,3 +135,14 @@ def test_white_space_of_unicode(model):
 def test_disguises_in_long_chunks_are_toxic(spark):
     around = ["river", "garden", "forest", "under"] * 6
     assert learnt(spark, ["stu" + "u" * 70 + "pid", "/".join([*around, "1d10t", *around]), "\u00a0".join([*around, "1d10t", *around]), "/".join(around)]) == [1, 1, 1, 0]
+
+
+def test_only_copies_are_counted_once(spark, model):
+    """Texts that share nearly all words are not copies; the same words in another order are."""
+    least = "river garden forest stone house people under little"
+    texts = [f"{least} moron {x}" for x in "abcdefghijklmnopqrst"]
+    rows = list(enumerate([*texts, *texts, *(" ".join(reversed(t.split())) for t in texts)]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sampled = spark.createDataFrame([(i, int(i % 20 < 12)) for i, _ in rows], "doc_id long, label int")
+    got = {r.feature: (r.toxic, r.other) for r in tx.feature_counts(docs, sampled, spark.sparkContext.broadcast(model)).collect()}
+    assert got["^moron$"] == (12, 8)
