@@ -102,7 +102,7 @@ _Q0 = lambda v: [float(x) for x in v.where("vec_id = 0").first().embedding]  # n
 _dist = "1 - list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: cast(p[1] as double)*cast(p[2] as double)))/(sqrt(list_sum(list_transform(e.embedding, lambda x: cast(x as double)*cast(x as double))))*sqrt(list_sum(list_transform(q.embedding, lambda x: cast(x as double)*cast(x as double)))))"
 _from = "from vectors e, (select embedding from vectors where vec_id = 0) q"
 _engine = lambda v: retrieval.RetrievalEngine(v, v.where("vec_id % 2 = 0"), "vec_id")
-add("hash_embedding", "points", lambda p: p.where("feature_id < 50").select("feature_id", F.explode(F.slice(retrieval.hash_embedding()(F.col("name")), 1, 4)).alias("x")))
+add("hash_embedding", "points", lambda p: p.select("feature_id", F.explode(retrieval.hash_embedding()(F.col("name"))).alias("x")))
 add("vector_topk", "vectors", lambda v: retrieval.top_k(v, _Q0(v), 10, "vec_id").select("vec_id", "distance"), f"select vec_id, R(d) as distance from (select e.vec_id, {_dist} as d {_from}) order by d, vec_id limit 10")
 add("vector_topk_batch", "vectors", lambda v: retrieval.top_k_batch(v, v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), 5, "vec_id").select("query_id", "rank", "vec_id"), f"""
     select query_id, cast(rank as int) as rank, vec_id from (select *, row_number() over (partition by query_id order by d, vec_id) as rank from (select q.vec_id as query_id, e.vec_id, {_dist} as d from vectors e, (select * from vectors where vec_id<5) q)) where rank<=5""")

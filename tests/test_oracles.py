@@ -42,3 +42,9 @@ def test_like_duckdb(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_runs(spark, name):
     assert registry.queries()[name](spark, SF).count() >= 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_hash_embedding_is_of_every_point_and_component(spark):
+    rows = registry.queries()["hash_embedding"](spark, SF).groupBy("feature_id").count().collect()
+    assert len(rows) == spark.read.parquet(f"{SF}/customer.parquet").count() and {r["count"] for r in rows} == {384}
