@@ -41,6 +41,22 @@ def _byte_chars() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+#: The parts of a vocabulary file that this encoder has code for.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def _pattern(spec: dict) -> str:
+    """The file's pattern of pieces; raises on a file that asks for what this encoder doesn't do."""
+    split, *rest = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    model = spec["model"]
+    plain = not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    added = all(not (x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"]) for x in spec["added_tokens"])
+    if spec["normalizer"] != NORMALIZER or rest != [BYTE_LEVEL] or split.get("behavior") != "Removed" or not split.get("invert") or spec["decoder"] or model["type"] != "BPE" or not plain or not added:
+        raise ValueError("a vocabulary file with this normalizer, pre-tokenizer, model or decoder is not supported")
+    return split["pattern"]["Regex"]
+
+
 class PairRanks:
     """Vectorised look-up from a pair of ids to its merge rank: open addressing in two arrays."""
 
@@ -123,13 +139,12 @@ class Encoder:
         self.inner = np.array([vocab.get(c, 0) for c in chars], np.int32)
         self.last = np.array([vocab.get(c + self.end, 0) for c in chars], np.int32)
         self.splits = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        # fixed values of the vocabulary file's own pattern
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+|\n")
+        self.pieces = regex.compile(_pattern(spec).replace(r"\s", r"\p{White_Space}") + r"|\n")
 
     def prepare(self, chunks: list[bytes]) -> list[list[bytes | int]]:
         """The pieces of each chunk in UTF-8; the ids of special tokens in their places."""
         text = b"\n".join(chunks).decode()
-        parts = self.splits.split(text) if self.splits and "<|" in text else [text]
+        parts = self.splits.split(text) if any(x in text for x in self.special) else [text]
         out: list[list[bytes | int]] = [[]]
         for part in parts:
             if part in self.special:
@@ -137,9 +152,10 @@ class Encoder:
                 continue
             # characters are lower-cased one by one, so a sigma has one form
             part = part.lower() if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            lines = b"\0".join([p.encode() for p in self.pieces.findall(part)]).split(b"\n")
-            out[-1] += filter(None, lines[0].split(b"\0"))
-            out += [list(filter(None, line.split(b"\0"))) for line in lines[1:]]
+            # a byte that UTF-8 never has stands between pieces
+            lines = b"\xff".join([p.encode() for p in self.pieces.findall(part)]).split(b"\n")
+            out[-1] += filter(None, lines[0].split(b"\xff"))
+            out += [list(filter(None, line.split(b"\xff"))) for line in lines[1:]]
         return out
 
     # -------------------------------------------------------------- one piece, a tree of its own

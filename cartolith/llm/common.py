@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,23 +131,13 @@ def has_at_most(df: DataFrame, rows: int) -> bool:
 
 # ------------------------------------------------------------------ hashing of words, vectorised
 _RNG = np.random.RandomState(20_011)
-_BYTE = _RNG.randint(0, 2**62, 256).astype(np.uint64) * np.uint64(4) + np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_P to the powers 0..n-1, and their inverses, modulo 2**64."""
-    if len(_POWERS.get("up", ())) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        inverse = np.uint64(pow(int(_P), -1, 1 << 64))
-        for name, base in (("up", _P), ("down", inverse)):
-            out = np.full(size, base, np.uint64)
-            out[0] = 1
-            _POWERS[name] = np.multiply.accumulate(out)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+#: _MASK[n] keeps the first n of 8 bytes
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Words of more bytes are hashed and compared one by one.
+LONG_WORD = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -156,33 +147,73 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hashed(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    buf = np.frombuffer(b" ".join([b"", *docs, b""]), np.uint8)
-    first = np.cumsum([1, *(len(d) + 1 for d in docs)])
-    space = _SPACE[buf]
-    edge = space[1:] != space[:-1]
-    at = np.flatnonzero(edge) + 1
-    starts, ends = at[0::2], at[1::2]
-    up, down = _powers(len(buf))
-    total = np.empty(len(buf) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_BYTE[buf] * up, out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts]), np.searchsorted(starts, first), buf, starts, ends
+class _Words:
+    """The words of texts in one buffer, to be read 8 bytes at a time."""
+
+    def __init__(self, docs: list[bytes]):
+        self.raw = b" ".join([b"", *docs, b" " * 8])
+        buf = np.frombuffer(self.raw, np.uint8)
+        space = _SPACE[buf]
+        at = np.flatnonzero(space[1:] != space[:-1]) + 1
+        self.starts, self.ends = at[0::2], at[1::2]
+        self.size = self.ends - self.starts
+        self.offsets = np.searchsorted(self.starts, np.cumsum([1, *(len(d) + 1 for d in docs)]))
+        self._eight = np.lib.stride_tricks.as_strided(np.frombuffer(self.raw, "<u8", 1), (len(buf) - 7,), (1,))
+
+    def word(self, i: int) -> bytes:
+        return self.raw[self.starts[i] : self.ends[i]]
+
+    def _block(self, who: np.ndarray, k: int) -> np.ndarray:
+        """Bytes k to k + 8 of words, zeros after their ends."""
+        return self._eight[self.starts[who] + k] & _MASK[np.clip(self.size[who] - k, 0, 8)]
+
+    def hashes(self) -> np.ndarray:
+        """A block after another is mixed in, so no algebra of the bytes makes two words collide."""
+        out = mix(self.size.astype(np.uint64) * _P + np.uint64(1))
+        left, k = np.flatnonzero(self.size <= LONG_WORD), 0
+        while len(left):
+            out[left] = mix(out[left] * _P + self._block(left, k))
+            k += 8
+            left = left[self.size[left] > k]
+        for i in np.flatnonzero(self.size > LONG_WORD).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(self.word(i))
+        return out
+
+    def same(self, a: np.ndarray, b: np.ndarray) -> bool:
+        """Whether the words a are the words b, byte by byte."""
+        if (self.size[a] != self.size[b]).any():
+            return False
+        long = (self.size[a] > LONG_WORD) & (a != b)
+        if any(self.word(i) != self.word(j) for i, j in zip(a[long].tolist(), b[long].tolist(), strict=True)):
+            return False
+        a, b, k = a[~long], b[~long], 0
+        while len(a):
+            if (self._block(a, k) != self._block(b, k)).any():
+                return False
+            k += 8
+            more = self.size[a] > k
+            a, b = a[more], b[more]
+        return True
 
 
 def word_hashes(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, and where each document's words begin (one more entry than documents)."""
-    return _hashed(docs)[:2]
+    words = _Words(docs)
+    return words.hashes(), words.offsets
 
 
 def distinct_words(docs: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The batch's distinct words, each word's place among them, and where each document's words begin."""
-    hashes, offsets, buf, starts, ends = _hashed(docs)
-    codes, distinct = pd.factorize(hashes)
+    """The batch's distinct words, each word's place among them, and where each document's words begin.
+
+    Words of equal hash are compared byte by byte; if any two differ the batch is told apart by the words themselves."""
+    words = _Words(docs)
+    codes, distinct = pd.factorize(words.hashes())
     first = np.empty(len(distinct), np.int64)
     first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-    raw = buf.tobytes()
-    return [raw[a:z] for a, z in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], codes, offsets
+    if not words.same(np.arange(len(codes)), first[codes]):
+        codes, chunks = pd.factorize(np.array([words.word(i) for i in range(len(codes))], object))
+        return list(chunks), codes, words.offsets
+    return [words.raw[a:z] for a, z in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)], codes, words.offsets
 
 
 _Q = _RNG.randint(0, 2**62, 64).astype(np.uint64) * np.uint64(2) + np.uint64(1)

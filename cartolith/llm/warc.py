@@ -35,6 +35,8 @@ from cartolith.llm.common import fresh, map_arrow, written
 MAGIC = b"\x1f\x8b\x08"
 BLOCK = 1 << 20
 RANGE_BYTES = 32 << 20
+#: Tasks that read, one range each; with more ranges, several.
+MOST_TASKS = 100_000
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -142,7 +144,10 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
 
 def records_in(f: pa.NativeFile, start: int, end: int, size: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, inflated record) of the members that start in [start, end)."""
+    """(offset, inflated record) of the members that start in [start, end).
+
+    Within the range's first bytes candidates are tried until one is a record; from there on, and from a file's
+    beginning, each member must follow the one before it, or the archive is damaged or cut off and this raises."""
     buf, base = b"", start  # buf: bytes of the file from base on
     f.seek(start)
 
@@ -152,27 +157,35 @@ def records_in(f: pa.NativeFile, start: int, end: int, size: int) -> Iterator[tu
         buf += new
         return bool(new)
 
-    at = start
+    at, chained = start, start == 0
     while at < end:
         # find magic at or after `at`
         i = buf.find(MAGIC, at - base)
-        if i < 0:
+        if i < 0 and not chained:
             at = max(at, base + len(buf) - len(MAGIC) + 1)
             buf, base = buf[at - base :], at
             if not more():
                 return
             continue
+        if chained:
+            while len(buf) < len(MAGIC) and more():
+                pass
+            if not buf:
+                return  # the file's end
+            i = 0
         at = base + i
         if at >= end:
             return
         buf, base = buf[i:], at
         out, used = _inflated(lambda n: (more() if len(buf) < n else True) and buf, size - base)
         if out is None:
+            if chained:
+                raise ValueError(f"no whole record at {at} of {size} bytes: the archive is damaged or cut off")
             at += 1
             continue
         yield at, out
         at += used
-        buf, base = buf[used:], at
+        buf, base, chained = buf[used:], at, True
 
 
 def _inflated(view, most: int) -> tuple[bytes | None, int]:
@@ -202,7 +215,8 @@ def _inflated(view, most: int) -> tuple[bytes | None, int]:
 def read_archives(spark: SparkSession, archives: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bool = True) -> DataFrame:
     """Records of archives (path, bytes): (path, offset, page_id, url, record_type, payload_digest, payload_bytes, refers_to, payload)."""
     ranges = archives.select("path", "bytes", F.explode(F.expr(f"sequence(0L, greatest(bytes - 1, 0L), {range_bytes}L)")).alias("start"))
-    ranges = ranges.repartition(F.col("path"), F.col("start"))
+    # a number of its own, or a range's few bytes would have all ranges put together in one task
+    ranges = ranges.repartitionByRange(max(1, min(ranges.count(), MOST_TASKS)), "path", "start")
 
     def make():
         def run(b: pa.RecordBatch):
@@ -234,11 +248,21 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
+def all_read(records: DataFrame, archives: DataFrame) -> DataFrame:
+    """The records (with their path), once it is certain that of each archive as many were read as were written to it."""
+    records = written(records, "warc-records")
+    short = archives.join(records.groupBy("path").agg(F.count("*").alias("n")), "path", "left").where(F.coalesce("n", F.lit(0)) != F.col("records")).first()
+    if short:
+        raise ValueError(f"{short.path}: {short.n or 0} records read, {short.records} written")
+    return records
+
+
 def round_trip(pages: DataFrame, least: int = 0, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every page, as read back."""
     spark = pages.sparkSession
     archives = write_archives(pages, fresh(spark, "warc"), least=least)
-    return read_archives(spark, archives, range_bytes, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return all_read(read_archives(spark, archives, range_bytes, payloads=False).select("path", *columns), archives).select(*columns)
 
 
 # DuckDB has SHA-1 in hexadecimal only; base 32 is spelt out over 8 groups of 5 hexadecimal digits (20 bits, 4 letters).

@@ -20,6 +20,10 @@ def library():
 
 
 CASES = ["", " ", "the&&& héllo don't ½x", "<|endoftext|>a<|startoftext|> b<|endoftext|>", "ΑΣ ΣΑΣ", "é  x y", "x" * 300 + "ab" * 100, "I'LL we've they'd 'tis", "日本語 тест 🙂🙂", "a\x1cb\x85c", "aa" * 5000, "THERHAOU!! 1234 <|endoftext"]
+CASES += ["a\0b", "\0", "a \0\0 b", "".join(map(chr, range(32))) + "x" + "".join(map(chr, range(127, 160)))]
+# two words for which a polynomial modulo 2 ** 64 has one value, whatever its base
+THUE = ["".join("ab"[(i.bit_count() + k) % 2] for i in range(2048)) for k in (0, 1)]
+CASES += [" ".join(THUE), THUE[0], THUE[1]]
 
 
 @pytest.mark.parametrize("text", CASES)
@@ -62,3 +66,27 @@ def test_query_rows(spark, library):
     assert got == sorted(want)
     assert bpe.bpe_digest(df.limit(0), PATH).count() == 0
     assert bpe.bpe_encode(df, PATH).filter("doc_id = 2").first().ids == []
+
+
+def test_words_that_hash_alike_are_told_apart(monkeypatch):
+    import numpy as np
+
+    from cartolith.llm import common
+
+    texts = [b"aa bb  aa", b"", b"cc \0 cc " + b"x" * 600 + b" " + b"x" * 601, b"aa" + b"\t" + b"longer-than-eight longer-than-eighT"]
+    for same in (False, True):
+        if same:
+            monkeypatch.setattr(common._Words, "hashes", lambda self: np.zeros(len(self.starts), np.uint64))
+        words, codes, at = common.distinct_words(texts)
+        assert [[words[i] for i in codes[a:z]] for a, z in zip(at, at[1:])] == [t.split() for t in texts]
+        assert len(set(words)) == len(words)
+
+
+def test_files_with_other_rules_are_refused(tmp_path):
+    import json
+
+    spec = json.load(open(PATH, encoding="utf-8"))
+    spec["normalizer"] = {"type": "NFKC"}
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError):
+        bpe.Encoder(str(tmp_path / "t.json"))

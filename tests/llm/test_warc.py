@@ -66,3 +66,30 @@ def test_payloads_and_files(spark):
     assert [r.records for r in archives.collect()] == [3]
     got = {r.page_id: (r.url, r.payload and bytes(r.payload)) for r in warc.read_archives(spark, archives).collect()}
     assert got == {1: ("http://a", None), 2: ("http://b", b"same"), 3: ("", "other é".encode())}
+
+
+def test_damaged_archives_raise(spark):
+    _, data, starts = archive(5)
+    read = lambda x, s=0, e=None: list(warc.records_in(pa.BufferReader(x), s, len(x) if e is None else e, len(x)))
+    with pytest.raises(ValueError):
+        read(data[:-20])  # cut off
+    with pytest.raises(ValueError):
+        read(data[: starts[7]] + b"x" * 30 + data[starts[8] :])
+    with pytest.raises(ValueError):
+        read(data[: starts[9]] + data[starts[9] + 5 :], starts[3] + 1)  # a range in the middle
+    assert read(b"") == []
+    df = spark.range(20).selectExpr("id as page_id", "'u' as url", "repeat('x', 50) as html")
+    archives = warc.write_archives(df.coalesce(1), fresh(spark, "t"))
+    with pytest.raises(ValueError):
+        warc.all_read(warc.read_archives(spark, archives).where("page_id > 0"), archives)
+
+
+def test_a_task_a_range(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(4000).selectExpr("id as page_id", "'u' as url", "repeat(sha2(cast(id as string), 512), 4) as html")
+    archives = warc.write_archives(df.repartition(3), fresh(spark, "t"))
+    n = sum(-(-r.bytes // 20_000) for r in archives.collect())
+    read = warc.read_archives(spark, archives, 20_000)
+    per_task = read.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert n > 20 and len(per_task) >= 0.9 * n and sum(r["count"] for r in per_task) == 4000
