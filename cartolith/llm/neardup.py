@@ -4,21 +4,24 @@
    keys, a fingerprint of the set, and the odd sketch: the samples are hashed into a bitmap of which each bit
    is the parity of what fell on it. The XOR of two sketches has few bits if the sets are alike, and its
    population count estimates their similarity.
-2. Documents of equal sets are one class; its smallest id stands for it from here on.
+2. Documents of equal sets are one class, which the fingerprint names; classes are the nodes from here on.
 3. Bands with the same members are one bucket. A bucket of many members is dealt into chunks; a cell is a
-   chunk with the first chunk. In a cell, pairs that are not yet connected there are tried: the sketches must
-   agree within a margin of five standard errors, and then the full sets decide, exactly. Cells give a
-   star of edges for each connected part, never all pairs.
+   chunk with the first chunk. In a cell sketches and sizes come first: what agrees within a margin of five
+   standard errors is connected to groups, equal groups of several cells are one, and only their members' full
+   sets are made and moved. In a group the full sets decide, exactly, of pairs that are not yet connected
+   there and whose sketches agree. Groups give a star of edges for each connected part, never all pairs.
 4. Of buckets of more than one chunk that still hold several components, the pairs of chunks of different
-   components are tried the same way, so no link between components is lost.
-5. Components are found by large-star and small-star steps over the edges.
+   components are tried the same way, so no link between components is lost. Only classes whose sizes allow the
+   similarity meet there: each is in the bucket of its size level and in that of the next.
+5. Components are found by large-star and small-star steps over the edges, and over those between the classes of
+   an id that has several texts.
 
 With bands of 4 rows, a pair at similarity s is met with probability 1 - (1 - s^4)^20: 0.9999996 at 0.85,
 0.99997 at 0.8.
 
 Defined cases: a text without words (or null) has an empty set and is linked with nothing; a null doc_id is
-linked with nothing, has a null component and is kept; rows that repeat a doc_id are that document again and
-get the same answer; other columns, of any name, are not looked at.
+linked with nothing, has a null component and is kept; rows that repeat a doc_id are that document again, with
+all its texts, and get the same answer; other columns, of any name, are not looked at.
 """
 
 from __future__ import annotations
@@ -83,6 +86,13 @@ def _most_bits(percent: int) -> int:
     return int(counts[estimated(counts) >= low].max())
 
 
+def _prints(sets: list[np.ndarray]) -> dict[str, pa.Array]:
+    """What tells sets apart: their size and two sums over their members."""
+    f1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+    f2 = np.array([np.bitwise_xor.reduce(mix(s + np.uint64(1))) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+    return {"n_shingles": pa.array([len(s) for s in sets], pa.int64()), "f1": pa.array(f1), "f2": pa.array(f2)}
+
+
 def _features(df: DataFrame, n: int) -> DataFrame:
     def make():
         def run(b: pa.RecordBatch):
@@ -90,10 +100,8 @@ def _features(df: DataFrame, n: int) -> DataFrame:
             full = [s for s in sets if len(s)]
             samples = minhash(full) if full else np.empty((0, SAMPLES), np.uint32)
             keys, sketches = iter(band_keys(samples)), iter(odd_sketch(samples))
-            f1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-            f2 = np.array([np.bitwise_xor.reduce(mix(s + np.uint64(1))) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
             yield batch(
-                doc_id=b.column(0), n_shingles=pa.array([len(s) for s in sets], pa.int64()), f1=f1, f2=f2,
+                doc_id=b.column(0), **_prints(sets),
                 buckets=pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 sketch=pa.array([next(sketches).tobytes() if len(s) else None for s in sets], pa.binary()),
             )
@@ -103,14 +111,41 @@ def _features(df: DataFrame, n: int) -> DataFrame:
     return map_arrow(df.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")), make, "doc_id long, n_shingles long, f1 long, f2 long, buckets array<long>, sketch binary")
 
 
+def _class():
+    """The class of a row of features, or of a set: the same number for both."""
+    return F.xxhash64("f1", "f2", "n_shingles")
+
+
 def _sets(df: DataFrame, n: int) -> DataFrame:
+    """(rep, shingles): the class and the set of each text."""
+
     def make():
         def run(b: pa.RecordBatch):
-            yield batch(rep=b.column(0), shingles=pa.array([s.tobytes() for s in shingle_sets(b.column(1).to_pylist(), n)], pa.binary()))
+            sets = shingle_sets(b.column(0).to_pylist(), n)
+            yield batch(**_prints(sets), shingles=pa.array([s.tobytes() for s in sets], pa.binary()))
 
         return run
 
-    return map_arrow(df.select(F.col("rep"), utf8().alias("text")), make, "rep long, shingles binary")
+    found = map_arrow(df.select(utf8().alias("text")), make, "n_shingles long, f1 long, f2 long, shingles binary")
+    return found.select(_class().alias("rep"), "shingles")
+
+
+def alike(sketches: np.ndarray, size: np.ndarray, i: int, js: np.ndarray, percent: int, most: int) -> np.ndarray:
+    """Those of js whose size and sketch let them be linked with i."""
+    js = js[100 * np.minimum(size[i], size[js]) >= percent * np.maximum(size[i], size[js])]
+    return js[_ONES[sketches[js] ^ sketches[i]].sum(1) <= most]
+
+
+def cell_groups(parts: list[int], sketches: np.ndarray, size: np.ndarray, percent: int) -> list[np.ndarray]:
+    """Members that sketches and sizes connect, if they are of several parts."""
+    n, most = len(parts), _most_bits(percent)
+    part, root = np.array(parts), np.arange(n)
+    for i in range(n - 1):
+        js = np.flatnonzero((root[i + 1 :] != root[i]) & (part[i + 1 :] != part[i])) + i + 1
+        for r in np.unique(root[alike(sketches, size, i, js, percent, most)]).tolist():
+            root[root == r] = root[i]
+    groups = [np.flatnonzero(root == r) for r in np.unique(root).tolist()]
+    return [g for g in groups if len(g) > 1]
 
 
 def cell_edges(ids: list[int], parts: list[int], sketches: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -124,9 +159,7 @@ def cell_edges(ids: list[int], parts: list[int], sketches: np.ndarray, sets: lis
         js = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
         if not len(js):
             continue
-        js = js[100 * np.minimum(size[i], size[js]) >= percent * np.maximum(size[i], size[js])]
-        js = js[_ONES[sketches[js] ^ sketches[i]].sum(1) <= most]
-        for j in js:
+        for j in alike(sketches, size, i, js, percent, most):
             if root[j] == root[i]:
                 continue
             a, b = (sets[i], sets[j]) if size[i] <= size[j] else (sets[j], sets[i])
@@ -143,80 +176,108 @@ def cell_edges(ids: list[int], parts: list[int], sketches: np.ndarray, sets: lis
     return out
 
 
-def _edges(cells: DataFrame, percent: int) -> DataFrame:
-    """cells: (cell columns k1, k2, k3; rep, part, sketch, shingles), of which each cell is small."""
+def _by_cell(rows: DataFrame, keys: list[str], columns: list[str], found, schema: str) -> DataFrame:
+    """What found(list of a cell's rows, one a rep) gives, as record batches. columns begin with rep."""
 
     def make():
-        held: list[tuple] = []
+        held: dict = {}
         key: list = [None]
 
-        def done() -> list[tuple[int, int]]:
-            rows = list({r[0]: r for r in held}.values())
+        def done():
+            out = found(list(held.values())) if len(held) > 1 else None
             held.clear()
-            if len(rows) < 2:
-                return []
-            sketches = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
-            return cell_edges([r[0] for r in rows], [r[1] for r in rows], sketches, [np.frombuffer(r[3], np.uint64) for r in rows], percent)
-
-        def out(found):
-            return batch(a=pa.array([x[0] for x in found], pa.int64()), b=pa.array([x[1] for x in found], pa.int64())) if found else None
+            return [out] if out is not None else []
 
         def run(b: pa.RecordBatch):
-            found: list[tuple[int, int]] = []
-            for k1, k2, k3, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if key[0] != (k1, k2, k3):
-                    found += done()
-                    key[0] = (k1, k2, k3)
-                held.append(tuple(row))
-            yield out(found)
-
-        def close():
-            yield out(done())
-
-        run.close = close
+            made: list[pa.RecordBatch] = []
+            names = list(zip(*(c.to_pylist() for c in b.columns[: len(keys)]), strict=True))
+            for k, row in zip(names, zip(*(c.to_pylist() for c in b.columns[len(keys) :]), strict=True), strict=True):
+                if key[0] != k:
+                    made += done()
+                    key[0] = k
+                held[row[0]] = row
+            if made:
+                yield pa.Table.from_batches(made).combine_chunks().to_batches()[0]
+
+        run.close = done
         return run
 
-    dealt = cells.repartition("k1", "k2", "k3").sortWithinPartitions("k1", "k2", "k3").select("k1", "k2", "k3", "rep", "part", "sketch", "shingles")
-    return map_arrow(dealt, make, "a long, b long")
+    return map_arrow(rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, *columns), make, schema)
+
+
+def _matrix(sketches) -> np.ndarray:
+    sketches = list(sketches)
+    return np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+
+
+def _groups(cells: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(g, rep, part): groups of classes that sketches connect, each once. cells: (k1, k2, k3, rep, part), of which each cell is small."""
+
+    def found(rows: list[tuple]) -> pa.RecordBatch | None:
+        reps, parts, sketches, size = zip(*rows, strict=True)
+        groups = cell_groups(list(parts), _matrix(sketches), np.array(size), percent)
+        if not groups:
+            return None
+        who, part = np.array(reps), np.array(parts)
+        at = np.concatenate(groups)
+        sums = [mix(who[g].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + part[g].astype(np.uint64)).sum(dtype=np.uint64) for g in groups]
+        return batch(g=np.repeat(np.array(sums, np.uint64).view(np.int64), [len(g) for g in groups]), rep=who[at], part=part[at])
+
+    rows = cells.join(classes.select("rep", "sketch", F.col("n_shingles").alias("n")), "rep")
+    return _by_cell(rows, ["k1", "k2", "k3"], ["rep", "part", "sketch", "n"], found, "g long, rep long, part long").dropDuplicates(["g", "rep"])
+
+
+def _edges(cells: DataFrame, classes: DataFrame, df: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(a, b): links between classes, as stars; cells as in _groups."""
+
+    def found(rows: list[tuple]) -> pa.RecordBatch | None:
+        reps, parts, sketches, sets = zip(*rows, strict=True)
+        edges = cell_edges(list(reps), list(parts), _matrix(sketches), [np.frombuffer(x, np.uint64) for x in sets], percent)
+        return batch(a=pa.array([x[0] for x in edges], pa.int64()), b=pa.array([x[1] for x in edges], pa.int64())) if edges else None
+
+    groups = written(_groups(cells, classes, percent), "neardup-groups")
+    met = written(groups.select("rep").distinct().join(classes, "rep").select("rep", "doc_id", "sketch"), "neardup-met")
+    ids = met.select(F.col("doc_id").alias("__id")).distinct()
+    texts = df.select(F.col("doc_id").cast("long").alias("__id"), "text")
+    texts = texts.join(F.broadcast(ids), "__id") if has_at_most(ids, BROADCAST_BYTES // 32) else texts.join(ids, "__id", "left_semi")
+    sets = written(_sets(texts, shingle).join(met.select("rep", "sketch"), "rep").dropDuplicates(["rep"]), "neardup-sets")
+    return _by_cell(groups.join(sets, "rep"), ["g"], ["rep", "part", "sketch", "shingles"], found, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; links are pairs with 100 * intersection >= percent * union."""
-    spark = df.sparkSession
-    features = written(_features(df, shingle), "neardup-features")
+    features = written(_features(df, shingle).withColumn("rep", F.when(F.col("n_shingles") > 0, _class())), "neardup-features")
     some = features.where("n_shingles > 0 and doc_id is not null")
     classes = written(
-        some.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("buckets", "sketch"), "doc_id").alias("x")).select("f1", "f2", "n_shingles", "rep", "x.buckets", "x.sketch"),
+        some.groupBy("rep").agg(F.min_by(F.struct("doc_id", "n_shingles", "buckets", "sketch"), "doc_id").alias("x")).select("rep", "x.*"),
         "neardup-classes",
     )
     banded = classes.select("rep", F.explode("buckets").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.count("*").alias("m"), F.min("rep").alias("lo"), F.bit_xor(F.xxhash64("rep")).alias("sig")).where("m > 1")
     buckets = written(buckets.groupBy("m", "lo", "sig").agg(F.min("bucket").alias("bucket")).select("bucket", "m"), "neardup-buckets")
-    members = written(banded.join(buckets, "bucket"), "neardup-members")
-    ids = written(members.select("rep").distinct(), "neardup-ids")
-    texts = df.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    if has_at_most(ids, BROADCAST_BYTES // 32):
-        texts = texts.join(F.broadcast(ids), "rep")
-    else:
-        texts = texts.join(ids, "rep", "left_semi")
-    sets = _sets(texts, shingle).dropDuplicates(["rep"]).join(classes.select("rep", "sketch"), "rep")
-    sets = written(sets, "neardup-sets")
-    dealt = members.withColumn("chunks", F.ceil(F.col("m") / CHUNK)).withColumn("c", F.expr("pmod(xxhash64(rep), chunks)"))
+    dealt = written(banded.join(buckets, "bucket").withColumn("chunks", F.ceil(F.col("m") / CHUNK)).withColumn("c", F.expr("pmod(xxhash64(rep), chunks)")), "neardup-members")
     cells = dealt.select(F.col("bucket").alias("k1"), F.explode(F.expr("if(c = 0, sequence(0L, chunks - 1), array(c))")).alias("k2"), F.lit(0).cast("long").alias("k3"), "rep", F.col("rep").alias("part"))
-    edges = written(_edges(cells.join(sets, "rep"), percent), "neardup-edges")
-    parts = connected_components(edges)
+    several = some.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").select("doc_id", "lo")
+    several = some.join(several, "doc_id").where("rep != lo").select(F.col("rep").alias("a"), F.col("lo").alias("b"))
+    edges = written(_edges(cells, classes, df, shingle, percent).unionByName(several), "neardup-edges")
+    parts = written(connected_components(edges), "neardup-parts")
     large = dealt.where("chunks > 1").select("bucket", "rep")
     if not large.isEmpty():
-        parts = written(parts, "neardup-parts")
-        rest = large.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
-        more = written(_edges(_cross_cells(rest).join(sets, "rep"), percent), "neardup-more")
+        # sizes whose quotient is percent or more are of one level or of neighbours
+        level = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(1e-9 - np.log(percent / 100)))
+        sized = large.join(classes.select("rep", level.alias("level")), "rep").select(F.explode(F.expr("array(xxhash64(bucket, level), xxhash64(bucket, level + 1))")).alias("bucket"), "rep")
+        rest = sized.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("part"))
+        more = written(_edges(_cross_cells(rest), classes, df, shingle, percent), "neardup-more")
         if not more.isEmpty():
-            parts = connected_components(edges.unionByName(more).unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    found = written(classes.select("f1", "f2", F.col("n_shingles").alias("n"), "rep").join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component")), "neardup-found")
-    f = features.select("doc_id", "n_shingles", "f1", "f2")
-    out = f.join(found, (f.f1 == found.f1) & (f.f2 == found.f2) & (f.n_shingles == found.n), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+            parts = written(connected_components(edges.unionByName(more).unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))), "neardup-parts")
+    # a component is named by the least id in it
+    named = classes.select("rep", "doc_id").join(parts.select(F.col("node").alias("rep"), "component"), "rep").select("rep", "doc_id", "component")
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    linked = written(named.join(least, "component").select("rep", "component_id"), "neardup-linked")
+    names = classes.select("rep", "doc_id").join(linked, "rep", "left").select("rep", F.coalesce("component_id", "doc_id").alias("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    out = features.select("doc_id", "n_shingles", "rep").join(names, "rep", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _cross_cells(rest: DataFrame) -> DataFrame:

@@ -76,3 +76,33 @@ def test_components_of_a_path_and_a_star(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2, 3), (1, 0, 3, 2)])
+def test_an_id_with_two_texts_links_both(spark, order):
+    rnd = random.Random(5)
+    a, b = ([f"{c}{rnd.randrange(10**6)}" for _ in range(200)] for c in "ab")
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, " ".join(a[:-1] + ["z"])), (9, " ".join(["y"] + b[1:]))]
+    df = spark.createDataFrame([rows[i] for i in order], "doc_id long, text string").coalesce(1)
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()) == [(5, 5, True), (5, 5, True), (7, 5, False), (9, 5, False)]
+
+
+@pytest.mark.parametrize(("percent", "least"), [(85, 0.9995), (80, 0.998)])
+def test_pairs_at_the_limit_meet(percent, least):
+    """Recall of bands and sketches of pairs at exactly the least similarity."""
+    rng = np.random.RandomState(3)
+    sets, n = [], 2000
+    for _ in range(n):
+        x = rng.randint(0, 2**63, 2 * (100 - percent) + percent + percent).astype(np.uint64)
+        both, one, other = x[: 2 * percent], x[2 * percent : 2 * percent + 100 - percent], x[100 + percent :]
+        sets += [np.concatenate([both, one]), np.concatenate([both, other])]
+    samples = neardup.minhash(sets)
+    keys, sketches = neardup.band_keys(samples), neardup.odd_sketch(samples)
+    met = (keys[::2] == keys[1::2]).any(1) & (neardup._ONES[sketches[::2] ^ sketches[1::2]].sum(1) <= neardup._most_bits(percent))
+    assert met.mean() >= least
+
+
+def test_a_long_text(spark):
+    t = " ".join(str(i * 7919 % 100_003) for i in range(200_000))
+    df = spark.createDataFrame([(1, t), (2, t + " more"), (3, "a")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(df).collect())[:2] == [(1, brute([(1, t)], 80)[1][0], 1), (2, brute([(1, t)], 80)[1][0] + 1, 1)]
