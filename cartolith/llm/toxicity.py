@@ -7,10 +7,12 @@ character trigram model, with the channel's costs, is the restored text. The tri
 documents, in a table whose size the alphabet fixes; the words that prove telling are added to the model as
 prior, so that ambiguous signs fall to them.
 
-Telling features are whole words and word beginnings. Their counts in toxic and other documents come from at
-most ``sample`` labelled documents (of the least hash of their id; a parameter), those of the same set of words counted once; those
-whose association is significant are kept. A document's score is one minus the product, over its distinct
-telling words, of the probability that it is not toxic despite the word.
+Telling features are whole words, word beginnings, and beginnings that several distinct words of a document share: stems
+that are inflected. Words that begin alike are a family, and a word counts by itself only where it is the one of its family.
+Counts in toxic and other documents come from at most ``sample`` labelled documents (of the least hash of their id; a
+parameter), those of the same set of words counted once; features whose association is significant are kept, and
+longer beginnings that clear a word of them. A document's score is one minus the product, over its telling
+families, of the probability that it is not toxic despite the family.
 
 Plain words have a lattice of one path, so only disguised ones are decoded: those with signs or digits between or
 beside letters, look-alike signs at either end among them, or with repeats. Both the reading with such ends and the one
@@ -21,6 +23,7 @@ any length are read whole; repeated rows get the same answer; rows with a null d
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter, defaultdict
 
@@ -30,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolith.llm.common import batch, crc_mod, distinct_words, map_arrow, utf8
+from cartolith.llm.common import batch, crc_mod, distinct_words, map_arrow, utf8, written
 
 # fixed values: the alphabet (a border, the letters of Latin-1, any other letter) and what signs resemble
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
@@ -41,6 +44,10 @@ _ID = {c: i + 1 for i, c in enumerate(LETTERS)}
 # channel costs, in natural logarithms
 LOOKALIKE, DROPPED_REPEAT, KEPT_REPEAT, JOINED, BORDER, DROPPED_SIGN = -1.5, -1.0, -0.7, -0.5, -1.0, -4.0
 PREFIXES = (4, 5, 6, 7)
+#: letters that make a family, and those of stems that its words share
+FAMILY, STEMS = 5, (5, 6, 7)
+#: other documents from which on a longer beginning clears its words
+CLEAR = 3
 CACHE = 300_000
 _RUNS = re.compile(r"[^\W\d_]+")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -178,11 +185,15 @@ class Restorer:
         return decode(raw, self.model).split()
 
 
-def spaced_runs(codes: np.ndarray, single: np.ndarray) -> list[tuple[int, int]]:
-    """Begin and end of runs of at least three chunks of one letter."""
-    flag = np.concatenate([[False], single[codes], [False]])
+SEPARATORS = (b"-", b".", b"_", b"/", b"~", b",", b"\xc2\xb7")
+
+
+def spaced_runs(codes: np.ndarray, single: np.ndarray, between: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of runs of at least three chunks of one letter; lone separators may stand between."""
+    flag = np.concatenate([[False], (single | between)[codes], [False]])
+    letters = np.concatenate([[0], np.cumsum(single[codes])])
     edge = np.flatnonzero(flag[1:] != flag[:-1])
-    return [(a, z) for a, z in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if z - a >= 3]
+    return [(a, z) for a, z in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if letters[z] - letters[a] >= 3]
 
 
 def documents_words(texts: list[bytes], restorer: Restorer, known: dict):
@@ -198,18 +209,51 @@ def documents_words(texts: list[bytes], restorer: Restorer, known: dict):
             known[c] = restorer.words(c.decode())
     yield [known[c] for c in chunks]
     single = np.fromiter(((len(c) == 1 and c.isalnum()) or (len(c) == 2 and c[0] > 127) or c in (b"@", b"$", b"!", b"|", b"+", b"*") for c in chunks), bool, len(chunks))
+    between = np.fromiter((c in SEPARATORS for c in chunks), bool, len(chunks))
     at = offsets.tolist()
     for a, z in zip(at, at[1:], strict=False):
         own, extra = codes[a:z], []
-        for s, e in spaced_runs(own, single):
-            run = [chunks[i].decode() for i in own[s:e].tolist()]
-            for k in range(0, len(run), 48):  # read in overlapping parts: time stays linear
-                extra += restorer.read(" ".join(run[max(0, k - 16) : k + 48]))
+        for s, e in spaced_runs(own, single, between):
+            extra += restorer.read(" ".join(c.decode() for i in own[s:e].tolist() if (c := chunks[i]) not in SEPARATORS))
         yield own, extra
 
 
 def features(word: str) -> list[str]:
-    return ["^" + word + "$"] + ["^" + word[:n] for n in PREFIXES if len(word) >= n]
+    """Of a word, the longest first."""
+    return ["^" + word + "$"] + ["^" + word[:n] for n in reversed(PREFIXES) if len(word) >= n]
+
+
+def families(chunks) -> dict[str, dict[str, set[str]]]:
+    """Beginning -> distinct words that have it -> their readings. chunks: the words that each chunk may be."""
+    out: dict[str, dict[str, set[str]]] = {}
+    for words in chunks:
+        first: dict[str, str] = {}
+        for w in words:
+            family = w[:FAMILY]
+            out.setdefault(family, {}).setdefault(first.setdefault(family, w), set()).add(w)
+    return out
+
+
+def shared(members) -> list[str]:
+    """Features of what several words of a family have in common."""
+    stems = Counter(w[:n] for w in members for n in STEMS if len(w) >= n)
+    return [f"^{s}+" for s, k in stems.items() if k > 1]
+
+
+def document_features(chunks) -> set[str]:
+    out: set[str] = set()
+    for members in families(chunks).values():
+        if len(members) > 1:
+            out.update(shared(members))
+        else:
+            for words in members.values():
+                out.update(f for w in words for f in features(w))
+    return out
+
+
+def _read(own: np.ndarray, words: list[list[str]], extra: list[str]) -> list:
+    """The words of a document's distinct chunks, and of its spaced runs."""
+    return [words[i] for i in np.unique(own).tolist()] + [(w,) for w in sorted(set(extra))]
 
 
 # ------------------------------------------------------------------ learning
@@ -224,11 +268,12 @@ def feature_counts(docs: DataFrame, sampled: DataFrame, model) -> DataFrame:
             words = next(parts)
             rows = defaultdict(list)
             for label, (own, extra) in zip(b.column(0).to_pylist(), parts, strict=True):
-                have = {w for i in np.unique(own).tolist() for w in words[i]} | set(extra)
+                chunks = _read(own, words, extra)
+                have = {w for ws in chunks for w in ws}
                 if not have:
                     continue
                 group = xxhash.xxh3_64_intdigest("\n".join(sorted(have))) - 2**63  # shared by texts of the same words alone
-                for f in {f for w in have for f in features(w)}:
+                for f in document_features(chunks):
                     rows["feature"].append(f)
                     rows["label"].append(int(label > 0))
                     rows["copies"].append(group)
@@ -250,17 +295,38 @@ def _likelihood_ratio(k: float, n: float, p: float) -> float:
 
 
 class Lexicon:
-    def __init__(self, rows: list[tuple[str, int, int]], base: float, rest: float):
-        """rows: telling features with their toxic and other counts; rest: the toxic share where none is found."""
+    def __init__(self, rows: list[tuple[str, int, int]], base: float, rest: float, cleared: frozenset[str] = frozenset()):
+        """rows: telling features with their toxic and other counts; rest: the toxic share where none is found; cleared: what is not telling though a shorter beginning is."""
         self.p = {f: (k + base) / (k + m + 1) for f, k, m in rows}
-        self.rest = rest
+        self.rest, self.cleared = rest, cleared
+        self.stems = {f[1:-1][:FAMILY] for f in self.p if f[-1] == "+"}
 
     def of(self, word: str) -> float:
-        return max((self.p.get(f, 0.0) for f in features(word)), default=0.0)
+        """Of a word by itself: by the longest beginning that is known."""
+        for f in features(word):
+            if f in self.p:
+                return self.p[f]
+            if f in self.cleared:
+                return 0.0
+        return 0.0
+
+    def matters(self, words) -> bool:
+        return any(w[:FAMILY] in self.stems or self.of(w) for w in words)
+
+    def left(self, chunks) -> float:
+        """The probability that a document with these chunks (those that matter) is not toxic."""
+        out = 1 - self.rest
+        for _, members in sorted(families(chunks).items()):
+            p = max(self.of(w) for words in members.values() for w in words)
+            if len(members) > 1:
+                p = max([p, *(self.p.get(f, 0.0) for f in shared(members))])
+            out *= 1 - p
+        return out
 
     def prior(self) -> dict[str, float]:
-        """Whole telling words, and beginnings of which no longer one is telling."""
-        return {f.strip("^$"): self.p[f] for f in self.p if f[-1] == "$" or not any(g != f and g.startswith(f) for g in self.p)} if len(self.p) <= 5000 else {f.strip("^$"): self.p[f] for f in self.p if f[-1] == "$"}
+        """Whole telling words, and beginnings of which no longer one is telling: in order, a longer one follows."""
+        order = sorted(self.p)
+        return {f.strip("^$+"): self.p[f] for f, g in zip(order, [*order, ""][1:], strict=True) if f[-1] in "$+" or not g.startswith(f)}
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int, significance: float) -> tuple[Lexicon, np.ndarray]:
@@ -278,14 +344,17 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int, significance: float)
         return Lexicon([], 0.0, 0.0), model
     base = min(ones / n, 0.5)
     least = max(2, int(significance / (2 * np.log(1 / base))) if base < 0.5 else 8)
-    found = feature_counts(docs, kept, spark.sparkContext.broadcast(model)).where((F.col("toxic") >= least) & (F.col("toxic") >= 3 * F.col("other")))
-    rows = [(r.feature, r.toxic, r.other) for r in found.collect() if _likelihood_ratio(r.toxic, r.toxic + r.other, base) >= significance]
-    lexicon = Lexicon(rows, base, 0.0)
+    found = written(feature_counts(docs, kept, spark.sparkContext.broadcast(model)), "toxicity-features")  # of the sample
+    telling = found.where((F.col("toxic") >= least) & (F.col("toxic") >= 3 * F.col("other")))
+    rows = [(r.feature, r.toxic, r.other) for r in telling.collect() if _likelihood_ratio(r.toxic, r.toxic + r.other, base) >= significance]
+    begun = [F.substring("feature", 1, n + 1).isin([f for f, _, _ in rows if f[-1] not in "$+" and len(f) == n + 1]) for n in PREFIXES]
+    clear = found.where((F.col("other") >= CLEAR) & (F.col("other") > F.col("toxic")) & ~F.col("feature").endswith("+") & functools.reduce(lambda a, b: a | b, begun))
+    cleared = frozenset(r.feature for r in clear.select("feature").collect())  # of the sample's words
+    lexicon = Lexicon(rows, base, 0.0, cleared)
     # what telling words leave unexplained, by the sample's own counts
     covered = Counter()
     restorer = Restorer(model)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).join(F.broadcast(kept), "doc_id")
-    p = lexicon.p
 
     def make():
         known: dict = {}
@@ -293,8 +362,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int, significance: float)
         def run(b: pa.RecordBatch):
             parts = documents_words(b.column(1).to_pylist(), restorer, known)
             words = next(parts)
-            told = np.array([any(f in p for w in ws for f in features(w)) for ws in words], bool)
-            yield batch(label=b.column(0), told=[bool(told[own].any()) if len(own) else False for own, _ in parts])
+            yield batch(label=b.column(0), told=[lexicon.left(ws for ws in _read(own, words, extra) if lexicon.matters(ws)) < 1 for own, extra in parts])
 
         return run
 
@@ -311,27 +379,24 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 8000, significanc
 
     def make():
         lex, lm = shared.value
-        restorer, known, rated = Restorer(lm, {f.strip("^$") for f in lex.p}), {}, {}
+        restorer, known, rated = Restorer(lm, {f.strip("^$+") for f in lex.p}), {}, {}
 
         def run(b: pa.RecordBatch):
             parts = documents_words(b.column(2).to_pylist(), restorer, known)
             words = next(parts)
             if len(rated) > CACHE:
                 rated.clear()
-            p = np.zeros(len(words))
+            matters = np.zeros(len(words), bool)
             for i, ws in enumerate(words):
                 for w in ws:
                     if (x := rated.get(w)) is None:
-                        x = rated[w] = lex.of(w)
-                    p[i] = max(p[i], x)
+                        x = rated[w] = lex.matters((w,))
+                    if x:
+                        matters[i] = True
+                        break
             score = []
             for own, extra in parts:
-                hit = p[own]
-                some = set(own[hit > 0].tolist())
-                left = (1 - lex.rest) * float(np.prod([1 - p[i] for i in sorted(some)])) if some else 1 - lex.rest
-                for w in sorted(set(extra)):
-                    left *= 1 - lex.of(w)
-                score.append(1 - left)
+                score.append(1 - lex.left(_read(own[matters[own]], words, [w for w in extra if lex.matters((w,))])))
             score = np.array(score)
             yield batch(doc_id=b.column(0), held_out=b.column(1), score=score, predicted=pa.array(score >= threshold).cast(pa.int32()))
 
@@ -348,7 +413,7 @@ def restored_texts(docs: DataFrame, labels: DataFrame, sample: int = 8000, signi
 
     def make():
         lex, lm = shared.value
-        restorer = Restorer(lm, {f.strip("^$") for f in lex.p})
+        restorer = Restorer(lm, {f.strip("^$+") for f in lex.p})
 
         def run(b: pa.RecordBatch):
             out = []

@@ -146,3 +146,27 @@ def test_only_copies_are_counted_once(spark, model):
     sampled = spark.createDataFrame([(i, int(i % 20 < 12)) for i, _ in rows], "doc_id long, label int")
     got = {r.feature: (r.toxic, r.other) for r in tx.feature_counts(docs, sampled, spark.sparkContext.broadcast(model)).collect()}
     assert got["^moron$"] == (12, 8)
+
+
+def test_runs_with_lone_separators_and_of_any_length():
+    codes = lambda t: ({c: i for i, c in enumerate(dict.fromkeys(t.split()))}, t.split())
+    place, chunks = codes("so s - t - u now - - a - b")
+    single = np.array([len(c) == 1 and c.isalnum() for c in place])
+    between = np.array([c.encode() in tx.SEPARATORS for c in place])
+    assert tx.spaced_runs(np.array([place[c] for c in chunks]), single, between) == [(1, 6)]
+
+
+def test_stems_that_several_words_share():
+    chunks = [["grobian"], ["grobiane", "grobian"], ["x"], ["grobheit"]]
+    assert tx.shared(["grobian", "grobiane", "grobheit"]) == ["^grobi+", "^grobia+", "^grobian+"]
+    assert tx.document_features(chunks) >= {"^grobi+", "^x$", "^grobheit$"} and "^grobian$" not in tx.document_features(chunks)
+    lexicon = tx.Lexicon([("^grobian+", 9, 0), ("^lose", 30, 3)], 0.1, 0.0, frozenset({"^loses"}))
+    assert lexicon.left([["grobian"], ["grobian"]]) == 1 and lexicon.left([["grobian"], ["grobianen"]]) < 0.2
+    assert lexicon.of("losing") == 0 and lexicon.of("loser") > 0.8 and lexicon.of("loseste") == 0
+
+
+def test_prior_has_one_rule_for_any_number_of_features():
+    rows = [(f"^{w}$", 9, 0) for w in ("abcde", "abcdef")] + [(f"^{w}", 9, 0) for w in ("abcd", "abcde", "wxyz")]
+    rows += [(f"^q{i:06d}", 9, 0) for i in range(6000)]
+    prior = tx.Lexicon(rows, 0.1, 0.0).prior()
+    assert {"abcde", "abcdef", "wxyz"} <= set(prior) and "abcd" not in prior and len(prior) == 6003
