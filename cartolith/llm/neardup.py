@@ -6,10 +6,12 @@
    population count estimates their similarity.
 2. Documents of equal sets are one class, which the fingerprint names; classes are the nodes from here on.
 3. Bands with the same members are one bucket. A bucket of many members is dealt into chunks; a cell is a
-   chunk with the first chunk. In a cell sketches and sizes come first: what agrees within a margin of five
-   standard errors is connected to groups, equal groups of several cells are one, and only their members' full
-   sets are made and moved. In a group the full sets decide, exactly, of pairs that are not yet connected
-   there and whose sketches agree. Groups give a star of edges for each connected part, never all pairs.
+   chunk with the first chunk. In a cell sketches and sizes come first: members that agree within a margin of
+   five standard errors with one of smaller number hang on it, each class on one over all cells, and full sets
+   decide, exactly, of these pairs. In what is then left unconnected, members that sketches and sizes connect
+   are groups, equal groups of several cells are one, and full sets decide of the pairs whose sketches agree.
+   Only sets of members that sketches let pass are made and moved. Groups give a star of edges for each
+   connected part, never all pairs.
 4. Of buckets of more than one chunk that still hold several components, the pairs of chunks of different
    components are tried the same way, so no link between components is lost. Only classes whose sizes allow the
    similarity meet there: each is in the bucket of its size level and in that of the next.
@@ -148,6 +150,15 @@ def cell_groups(parts: list[int], sketches: np.ndarray, size: np.ndarray, percen
     return [g for g in groups if len(g) > 1]
 
 
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    both = int((b[at] == a).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def cell_edges(ids: list[int], parts: list[int], sketches: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Edges, as stars, that connect what is linked in a cell. parts: members of the same part are connected already."""
     n, most = len(ids), _most_bits(percent)
@@ -162,11 +173,7 @@ def cell_edges(ids: list[int], parts: list[int], sketches: np.ndarray, sets: lis
         for j in alike(sketches, size, i, js, percent, most):
             if root[j] == root[i]:
                 continue
-            a, b = (sets[i], sets[j]) if size[i] <= size[j] else (sets[j], sets[i])
-            at = np.searchsorted(b, a)
-            at[at == len(b)] = 0
-            both = int((b[at] == a).sum())
-            if 100 * both >= percent * (size[i] + size[j] - both):
+            if _linked(sets[i], sets[j], percent):
                 root[root == root[j]] = root[i]
     out, first = [], {}
     for i in range(n):
@@ -227,8 +234,70 @@ def _groups(cells: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return _by_cell(rows, ["k1", "k2", "k3"], ["rep", "part", "sketch", "n"], found, "g long, rep long, part long").dropDuplicates(["g", "rep"])
 
 
+def cell_stars(reps: list[int], sketches: np.ndarray, size: np.ndarray, percent: int) -> tuple[list[int], list[int]]:
+    """Members (places) and what each hangs on: the first, by number, whose sketch and size agree."""
+    most, order = _most_bits(percent), np.argsort(reps)
+    free = np.ones(len(reps), bool)
+    who, on = [], []
+    for i in order.tolist():
+        if free[i]:
+            free[i] = False
+            js = alike(sketches, size, i, np.flatnonzero(free), percent, most)
+            free[js] = False
+            who += js.tolist()
+            on += [i] * len(js)
+    return who, on
+
+
+def _stars(cells: DataFrame, classes: DataFrame, df: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(a, b): links of each class with the one class that it hangs on, where full sets agree."""
+
+    def found(rows: list[tuple]) -> pa.RecordBatch | None:
+        reps, sketches, size = zip(*rows, strict=True)
+        who, on = cell_stars(list(reps), _matrix(sketches), np.array(size), percent)
+        reps = np.array(reps)
+        return batch(rep=reps[who], hub=reps[on]) if who else None
+
+    rows = cells.join(classes.select("rep", "sketch", F.col("n_shingles").alias("n")), "rep")
+    pairs = _by_cell(rows, ["k1", "k2", "k3"], ["rep", "sketch", "n"], found, "rep long, hub long").groupBy("rep").agg(F.min("hub").alias("hub"))
+    pairs = written(pairs, "neardup-pairs")
+    # a hub's members are dealt into parts of about CHUNK, each with the hub's set before them
+    parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
+    pairs = pairs.join(parts, "hub").select("hub", F.expr("pmod(xxhash64(rep), parts)").alias("part"), "rep", F.lit(1).alias("k"))
+    rows = pairs.unionByName(parts.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("hub").alias("rep"), F.lit(0).alias("k")))
+    sets = _sets_of(rows.select("rep").distinct(), classes, df, shingle)
+
+    def make():
+        hub: dict = {}
+
+        def run(b: pa.RecordBatch):
+            linked = []
+            for h, part, rep, k, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                own = np.frombuffer(x, np.uint64)
+                if k == 0:
+                    hub.update(key=(h, part), set=own)
+                elif hub["key"] == (h, part) and _linked(hub["set"], own, percent):
+                    linked.append((rep, h))
+            if linked:
+                yield batch(a=pa.array([x[0] for x in linked], pa.int64()), b=pa.array([x[1] for x in linked], pa.int64()))
+
+        return run
+
+    dealt = rows.join(sets.select("rep", "shingles"), "rep").repartition("hub", "part").sortWithinPartitions("hub", "part", "k")
+    return map_arrow(dealt.select("hub", "part", "rep", "k", "shingles"), make, "a long, b long")
+
+
+def _sets_of(reps: DataFrame, classes: DataFrame, df: DataFrame, shingle: int) -> DataFrame:
+    """(rep, sketch, shingles) of these classes, made from the text of the least id of each."""
+    met = written(reps.join(classes, "rep").select("rep", "doc_id", "sketch"), "neardup-met")
+    ids = met.select(F.col("doc_id").alias("__id")).distinct()
+    texts = df.select(F.col("doc_id").cast("long").alias("__id"), "text")
+    texts = texts.join(F.broadcast(ids), "__id") if has_at_most(ids, BROADCAST_BYTES // 32) else texts.join(ids, "__id", "left_semi")
+    return written(_sets(texts, shingle).join(met.select("rep", "sketch"), "rep").dropDuplicates(["rep"]), "neardup-sets")
+
+
 def _edges(cells: DataFrame, classes: DataFrame, df: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(a, b): links between classes, as stars; cells as in _groups."""
+    """(a, b): links between classes of several parts, as stars; cells as in _groups."""
 
     def found(rows: list[tuple]) -> pa.RecordBatch | None:
         reps, parts, sketches, sets = zip(*rows, strict=True)
@@ -236,11 +305,7 @@ def _edges(cells: DataFrame, classes: DataFrame, df: DataFrame, shingle: int, pe
         return batch(a=pa.array([x[0] for x in edges], pa.int64()), b=pa.array([x[1] for x in edges], pa.int64())) if edges else None
 
     groups = written(_groups(cells, classes, percent), "neardup-groups")
-    met = written(groups.select("rep").distinct().join(classes, "rep").select("rep", "doc_id", "sketch"), "neardup-met")
-    ids = met.select(F.col("doc_id").alias("__id")).distinct()
-    texts = df.select(F.col("doc_id").cast("long").alias("__id"), "text")
-    texts = texts.join(F.broadcast(ids), "__id") if has_at_most(ids, BROADCAST_BYTES // 32) else texts.join(ids, "__id", "left_semi")
-    sets = written(_sets(texts, shingle).join(met.select("rep", "sketch"), "rep").dropDuplicates(["rep"]), "neardup-sets")
+    sets = _sets_of(groups.select("rep").distinct(), classes, df, shingle)
     return _by_cell(groups.join(sets, "rep"), ["g"], ["rep", "part", "sketch", "shingles"], found, "a long, b long")
 
 
@@ -256,10 +321,14 @@ def near_duplicates(df: DataFrame, percent: int = 80, shingle: int = 5) -> DataF
     buckets = banded.groupBy("bucket").agg(F.count("*").alias("m"), F.min("rep").alias("lo"), F.bit_xor(F.xxhash64("rep")).alias("sig")).where("m > 1")
     buckets = written(buckets.groupBy("m", "lo", "sig").agg(F.min("bucket").alias("bucket")).select("bucket", "m"), "neardup-buckets")
     dealt = written(banded.join(buckets, "bucket").withColumn("chunks", F.ceil(F.col("m") / CHUNK)).withColumn("c", F.expr("pmod(xxhash64(rep), chunks)")), "neardup-members")
-    cells = dealt.select(F.col("bucket").alias("k1"), F.explode(F.expr("if(c = 0, sequence(0L, chunks - 1), array(c))")).alias("k2"), F.lit(0).cast("long").alias("k3"), "rep", F.col("rep").alias("part"))
+    cells = dealt.select(F.col("bucket").alias("k1"), F.explode(F.expr("if(c = 0, sequence(0L, chunks - 1), array(c))")).alias("k2"), F.lit(0).cast("long").alias("k3"), "rep")
     several = some.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").select("doc_id", "lo")
     several = some.join(several, "doc_id").where("rep != lo").select(F.col("rep").alias("a"), F.col("lo").alias("b"))
-    edges = written(_edges(cells, classes, df, shingle, percent).unionByName(several), "neardup-edges")
+    edges = written(_stars(cells, classes, df, shingle, percent).unionByName(several), "neardup-edges")
+    parts = written(connected_components(edges), "neardup-parts")
+    of_parts = parts.select(F.col("node").alias("rep"), "component")
+    rest = _edges(cells.join(of_parts, "rep", "left").withColumn("part", F.coalesce("component", "rep")), classes, df, shingle, percent)
+    edges = edges.unionByName(written(rest, "neardup-rest"))
     parts = written(connected_components(edges), "neardup-parts")
     large = dealt.where("chunks > 1").select("bucket", "rep")
     if not large.isEmpty():
