@@ -1,27 +1,28 @@
 """Exact top-k search by a three-phase uniform threshold (operator 9).
 
-Each vector is split over nodes (m runs of its components); a node's local score is the inner product of its
-run, and a candidate's score is the sum over the nodes. Shards hold blocks of candidates.
-
-1. In each shard every node lists its best local scores for each query; the totals of what is listed are
-   gathered, and the k-th best of them, over all shards, is a safe cutoff: k candidates reach it.
-2. The cutoff T goes to all shards. A candidate that reaches T has a local score of T / m or more at some
-   node, so the nodes collect every such entry, and no other is needed.
+Each vector is split over m nodes (runs of its components); a node's local score is the inner product of its run, and
+a candidate's score is the sum over the nodes. Candidates are dealt into shards, queries meet each shard in blocks.
+
+1. In each shard every node lists its best ``LISTED`` local scores for each query; only totals of what is listed are
+   made. The k-th best of them, over all shards, is a safe cutoff T: k candidates reach it. Beside the totals a
+   shard tells the least local score that a list goes down to.
+2. A candidate that reaches T has a local score of T / m or more at some node. Where every node's list goes below
+   T / m, nothing is missing. Only the other pairs of query and shard are looked at again, with T: there the nodes
+   collect all entries of T / m or more, leaving out candidates whose length bounds their local scores below that.
 3. Of the entries collected the remaining local scores are resolved, exactly, in integers; those whose total
    reaches T go to the final merge, by score and then smaller id.
 
 Vectors that are equal are one candidate, with the k + 1 smallest of their ids, so a third of all rows may be
-the same vector. Queries are a stated set, dealt in blocks against the blocks of all rows.
+the same vector. Queries are a stated set; a shard is held by its task and the blocks of queries pass by it.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows with a
 null id; of rows that repeat an id the smallest vector counts; vectors of fewer components are filled up by
-zeros; with fewer candidates than k all are given; an empty table gives no rows.
+zeros; components of 2 ** 63 / 64 and more are cut off there; with fewer candidates than k all are given; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +31,11 @@ from pyspark.sql.window import Window
 
 from cartolith.llm.common import map_arrow, written
 
-NODES, CANDIDATES, QUERIES, SHARD_BLOCKS = 2, 512, 1024, 64
+NODES, LISTED, QUERIES = 2, 128, 1024
+#: Rows of a shard, and bytes of its vectors in eight bytes a component.
+SHARD_ROWS, SHARD_BYTES = 1 << 15, 32 << 20
+#: Products of queries and candidates that are held at once.
+HELD = 1 << 22
 
 
 def quantised(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -41,8 +46,8 @@ def quantised(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame
     return rows.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def _blocks(df: DataFrame, n: int, dim: int, narrow: bool) -> DataFrame:
-    """(b, ids, vecs, cut): the rows of each block as binaries. df: (rep, v, cut)."""
+def _blocks(df: DataFrame, dim: int, narrow: bool) -> DataFrame:
+    """(b, ids, vecs, cut): the rows of each block as binaries. df: (b, rep, v, cut)."""
     kind = np.int16 if narrow else np.int64
 
     def make():
@@ -64,14 +69,12 @@ def _blocks(df: DataFrame, n: int, dim: int, narrow: bool) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(ids, pa.binary()), pa.array(vecs, pa.binary()), pa.array(cut, pa.binary())], names=["b", "ids", "vecs", "cut"])
 
         def run(batch: pa.RecordBatch):
-            out = []
             for b, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key[0] != b:
+                if key[0] != b or len(held) == SHARD_ROWS:
                     if held:
-                        out.append(block())
+                        yield table([block()])
                     key[0] = b
                 held.append(tuple(row))
-            yield table(out)
 
         def close():
             yield table([block()] if held else [])
@@ -79,14 +82,13 @@ def _blocks(df: DataFrame, n: int, dim: int, narrow: bool) -> DataFrame:
         run.close = close
         return run
 
-    rows = df.select(F.expr(f"pmod(xxhash64(rep), {max(1, n)}L)").alias("b"), "rep", "v", "cut")
-    return map_arrow(rows.repartition("b").sortWithinPartitions("b", "rep"), make, "b long, ids binary, vecs binary, cut binary")
+    return map_arrow(df.select("b", "rep", "v", "cut").repartition("b").sortWithinPartitions("b", "rep"), make, "b long, ids binary, vecs binary, cut binary")
 
 
-def _products(q: np.ndarray, c: np.ndarray, node: slice) -> np.ndarray:
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Integer inner products of a node's run, exact: in floating point only where every sum is below 2 ** 53."""
-    a, b = q[:, node], c[:, node]
-    if a.size and b.size and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2**53:
+    most = lambda x: max(float(x.max()), -float(x.min()))
+    if a.size and b.size and most(a) * most(b) * a.shape[1] < 2**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
     return a.astype(np.int64) @ b.astype(np.int64).T
 
@@ -98,69 +100,83 @@ def _best(keys: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(keys, keys.shape[1] - k, axis=1)[:, -k:]
 
 
-def _shard_phase(cells: DataFrame, dim: int, narrow: bool, k: int, cut: bool) -> DataFrame:
-    """(query, candidate, score): the totals of what the nodes list (cut: of all entries that reach the cutoff)."""
+def _listed(local: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phase 1, of queries against a shard: places and totals of the k best of what the nodes list, and what the lists go down to."""
+    lowest = np.iinfo(np.int64).min
+    deep = max(LISTED, k)  # so with fewer than k totals all candidates are listed
+    some = [_best(p, deep) for p in local]
+    floor = np.max([np.take_along_axis(p, x, 1).min(1) for p, x in zip(local, some, strict=True)], axis=0) if local[0].shape[1] > deep else np.full(len(local[0]), lowest)
+    some = np.sort(np.concatenate(some, axis=1), axis=1)
+    total = sum(np.take_along_axis(p, some, 1) for p in local)
+    total[:, 1:][some[:, 1:] == some[:, :-1]] = lowest  # listed by two nodes
+    top = _best(total, k)
+    return np.take_along_axis(some, top, 1), np.take_along_axis(total, top, 1), floor
+
+
+def _collected(q: list[np.ndarray], c: list[np.ndarray], cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phases 2 and 3: (query, candidate, total) of the entries of T / m or more at a node whose totals reach T. q, c: by node."""
+    m, enough = len(q), None
+    least = cuts.min()
+    length = lambda x: np.sqrt((x.astype(np.float64) ** 2).sum(1))
+    near = np.zeros(len(c[0]), bool)
+    for a, b in zip(q, c, strict=True):
+        near |= m * (length(a).max() * length(b)) * (1 + 1e-9) >= least
+    at = np.flatnonzero(near)
+    local = [_products(a, b[at]) for a, b in zip(q, c, strict=True)]
+    enough = np.zeros(local[0].shape, bool)
+    for p in local:
+        enough |= m * p >= cuts[:, None]
+    i, j = np.nonzero(enough)
+    total = sum(p[i, j] for p in local)
+    reach = total >= cuts[i]
+    return i[reach], at[j[reach]], total[reach]
+
+
+def _phase(cells: DataFrame, dim: int, narrow: bool, k: int, cut: bool) -> DataFrame:
+    """(query, shard, candidate, score): totals of what is listed, and with candidate null what the lists go down to (cut: the totals that reach the cutoff).
+
+    cells: (shard, is_query, ids, vecs, cut); a shard's candidates come before the queries that it meets."""
     kind = np.int16 if narrow else np.int64
     step = -(-dim // NODES)
     nodes = [slice(s, min(dim, s + step)) for s in range(0, dim, step)]
 
     def make():
-        state: dict = {"key": None}
-
-        def listed(q, c, ids) -> None:
-            """Phase 1: keep, of each query, the k best totals among what the nodes list."""
-            local = [_products(q, c, s) for s in nodes]
-            total = sum(local)
-            some = np.concatenate([_best(p, k) for p in local], axis=1)
-            some.sort(axis=1)
-            score = np.take_along_axis(total, some, 1)
-            score[:, 1:][some[:, 1:] == some[:, :-1]] = np.iinfo(np.int64).min  # listed by two nodes
-            score = np.concatenate([state["score"], score], axis=1)
-            who = np.concatenate([state["who"], ids[some]], axis=1)
-            top = _best(score, k)
-            state["score"], state["who"] = np.take_along_axis(score, top, 1), np.take_along_axis(who, top, 1)
-
-        def collected(q, c, ids, cuts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """Phases 2 and 3: entries that reach T / m at a node; their totals, of those that reach T."""
-            local = [_products(q, c, s) for s in nodes]
-            enough = np.zeros(local[0].shape, bool)
-            for p in local:
-                enough |= len(nodes) * p >= cuts[:, None]
-            i, j = np.nonzero(enough)
-            total = sum(p[i, j] for p in local)
-            reach = total >= cuts[i]
-            return i[reach], ids[j[reach]], total[reach]
-
-        def table(q, c, s) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.int64())], names=["query", "candidate", "score"])
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if state["key"] is not None and not cut:
-                real = state["score"] != np.iinfo(np.int64).min
-                i, j = np.nonzero(real)
-                yield table(state["ids"][i], state["who"][i, j], state["score"][i, j])
+        state: dict = {"shard": None, "parts": []}
+
+        def table(shard, q, c, s) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(np.full(len(q), shard), pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.int64())], names=["query", "shard", "candidate", "score"])
 
         def run(batch: pa.RecordBatch):
-            for qb, shard, query, ids, vecs, cuts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for shard, query, ids, vecs, cuts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 m, n = np.frombuffer(vecs, kind).reshape(-1, dim), np.frombuffer(ids, np.int64)
-                if query:
-                    yield from done()
-                    none = np.empty((len(n), 0), np.int64)
-                    state.update(key=(qb, shard), q=m, ids=n, cuts=np.frombuffer(cuts, np.int64), score=none, who=none)
-                elif state["key"] != (qb, shard):
-                    continue  # no query hashes to this block
-                elif cut:
-                    i, c, s = collected(state["q"], m, n, state["cuts"])
-                    if len(i):
-                        yield table(state["ids"][i], c, s)
-                else:
-                    listed(state["q"], m, n)
-
-        run.close = done
+                if not query:
+                    if state["shard"] != shard:
+                        state.update(shard=shard, parts=[])
+                    state["parts"].append(([np.ascontiguousarray(m[:, s]) for s in nodes], n))
+                    continue
+                if state["shard"] != shard:
+                    continue  # a shard without candidates
+                own, cuts = [m[:, s] for s in nodes], np.frombuffer(cuts, np.int64)
+                for part, who in state["parts"]:
+                    rows = max(1, HELD // len(who))
+                    for a in range(0, len(n), rows):
+                        q, of = [x[a : a + rows] for x in own], n[a : a + rows]
+                        if cut:
+                            i, j, total = _collected(q, part, cuts[a : a + rows])
+                            if len(i):
+                                yield table(shard, of[i], who[j], total)
+                            continue
+                        at, total, floor = _listed([_products(x, y) for x, y in zip(q, part, strict=True)], k)
+                        i, j = np.nonzero(total != np.iinfo(np.int64).min)
+                        yield table(shard, of[i], who[at[i, j]], total[i, j])
+                        more = np.flatnonzero(floor != np.iinfo(np.int64).min)
+                        if len(more):
+                            yield table(shard, of[more], [None] * len(more), floor[more])
+
         return run
 
-    rows = cells.repartition("qb", "shard").sortWithinPartitions("qb", "shard", F.desc("is_query"), "b").select("qb", "shard", "is_query", "ids", "vecs", "cut")
-    return map_arrow(rows, make, "query long, candidate long, score long")
+    rows = cells.repartition("shard").sortWithinPartitions("shard", "is_query").select("shard", "is_query", "ids", "vecs", "cut")
+    return map_arrow(rows, make, "query long, shard long, candidate long, score long")
 
 
 def exact_top_k(df: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -171,29 +187,34 @@ def exact_top_k(df: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id
     classes = written(some.groupBy("v").agg(F.min("vec_id").alias("rep"), F.array_sort(F.collect_list("vec_id")).alias("ids")), "topk-classes")
     queries = rows.where(F.col("vec_id") % every == 0)
     queries = written(queries.join(classes.select("v", "rep"), "v").select("vec_id", "rep"), "topk-queries")
-    asked = queries.select("rep").distinct()
+    asked = written(queries.select("rep").distinct().join(classes.select("rep", "v"), "rep"), "topk-asked")
     n, dim, low, high = classes.agg(F.count("*"), F.max(F.size("v")), F.min(F.array_min("v")), F.max(F.array_max("v"))).first()
     nq = asked.count()
     dim, narrow = dim or 1, n > 0 and -(2**15) <= low and high < 2**15
-    blocks, query_blocks = max(1, -(-n // CANDIDATES)), max(1, -(-nq // QUERIES))
-    shards = -(-blocks // SHARD_BLOCKS)
-    base = written(_blocks(classes.select("rep", "v", F.lit(0).cast("long").alias("cut")), blocks, dim, narrow), "topk-blocks")
-    dealt = base.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("qb"), F.expr(f"b div {SHARD_BLOCKS}").alias("shard"), F.lit(False).alias("is_query"), "b", "ids", "vecs", "cut")
-
-    def cells(asked: DataFrame) -> DataFrame:
-        q = _blocks(asked, query_blocks, dim, narrow).select(F.col("b").alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(True).alias("is_query"), "b", "ids", "vecs", "cut")
-        return q.unionByName(dealt)
+    # shards are filled to three quarters on average, so that few are cut in two
+    shards = max(1, -(-4 * n // (3 * max(1, min(SHARD_ROWS, SHARD_BYTES // (8 * dim))))))
+    none = F.lit(0).cast("long").alias("cut")
+    base = _blocks(classes.select(F.expr(f"pmod(xxhash64(rep), {shards}L)").alias("b"), "rep", "v", none), dim, narrow)
+    base = written(base.select(F.col("b").alias("shard"), F.lit(False).alias("is_query"), "ids", "vecs", "cut"), "topk-shards")
+    q = _blocks(asked.select(F.expr(f"pmod(xxhash64(rep), {max(1, -(-nq // QUERIES))}L)").alias("b"), "rep", "v", none), dim, narrow)
+    q = q.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(True).alias("is_query"), "ids", "vecs", "cut")
 
     # equal vectors are one class, and a class's own id is left out at the end, so k + 1 classes are wanted
     best = Window.partitionBy("query").orderBy(F.desc("score"), "candidate")
-    asked = written(asked.join(classes.select("rep", "v"), "rep"), "topk-asked")
-    listed = _shard_phase(cells(asked.withColumn("cut", F.lit(0).cast("long"))), dim, narrow, k + 1, cut=False)
-    cuts = listed.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).groupBy("query").agg(F.count("*").alias("m"), F.min("score").alias("cut"))
-    cuts = cuts.select(F.col("query").alias("rep"), F.when(F.col("m") == k + 1, F.col("cut")).alias("cut"))
-    lowest = -(2**62)
-    found = _shard_phase(cells(asked.join(cuts, "rep", "left").withColumn("cut", F.coalesce("cut", F.lit(lowest)))), dim, narrow, k + 1, cut=True)
-    top = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
-    ids = top.join(classes.select(F.col("rep").alias("candidate"), "ids"), "candidate").select("query", "score", F.explode("ids").alias("vec_id"))
+    first = written(_phase(base.unionByName(q), dim, narrow, k + 1, cut=False), "topk-listed")
+    listed = first.where("candidate is not null").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r", "shard")
+    listed = written(listed, "topk-best")
+    cuts = listed.groupBy("query").agg(F.count("*").alias("m"), F.min("score").alias("cut")).where(F.col("m") == k + 1).select("query", "cut")
+    # floor(T / m) <= the least that a list goes down to: entries may be missing
+    again = first.where("candidate is null").join(cuts, "query").where(F.col("score") * NODES >= F.col("cut")).select("query", "shard", "cut").distinct()
+    again = written(again, "topk-again")
+    if not again.isEmpty():
+        more = again.join(asked.withColumnRenamed("rep", "query"), "query").select(F.col("shard").alias("b"), F.col("query").alias("rep"), "v", "cut")
+        more = _blocks(more, dim, narrow).select(F.col("b").alias("shard"), F.lit(True).alias("is_query"), "ids", "vecs", "cut")
+        cells = base.join(again.select("shard").distinct(), "shard", "left_semi").unionByName(more)
+        found = _phase(cells, dim, narrow, k + 1, cut=True).select("query", "candidate", "score").unionByName(listed).distinct()
+        listed = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
+    ids = listed.join(classes.select(F.col("rep").alias("candidate"), "ids"), "candidate").select("query", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     lists = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("top"))
     lists = written(lists, "topk-lists")

@@ -16,11 +16,12 @@ def brute(vectors, k=20, every=20):
     return out
 
 
-@pytest.mark.parametrize("seed", [0, 1])
-def test_like_brute_force(spark, monkeypatch, seed):
-    monkeypatch.setattr(topk, "CANDIDATES", 16)
+@pytest.mark.parametrize(("seed", "listed", "held"), [(0, 1, 1 << 22), (1, 1, 100), (2, 40, 1 << 22), (3, 500, 1000)])
+def test_like_brute_force(spark, monkeypatch, seed, listed, held):
+    monkeypatch.setattr(topk, "LISTED", listed)
     monkeypatch.setattr(topk, "QUERIES", 8)
-    monkeypatch.setattr(topk, "SHARD_BLOCKS", 3)
+    monkeypatch.setattr(topk, "SHARD_ROWS", 64)
+    monkeypatch.setattr(topk, "HELD", held)
     rng = np.random.RandomState(seed)
     rows = [(i, [float(x) for x in rng.normal(0, 0.3, 8)]) for i in range(400)]
     rows = [(i, rows[i % 5][1] if i % 3 == 0 else v) for i, v in rows]  # a third are a few vectors
@@ -37,3 +38,20 @@ def test_few_and_no_rows(spark):
     assert topk.exact_top_k(df.limit(0)).count() == 0
     assert topk.exact_top_k(df.where("vec_id = 3")).count() == 0
     assert sorted(tuple(r) for r in topk.exact_top_k(df.union(df)).collect()) == brute(rows)
+
+
+def test_phases_on_their_own():
+    """The lists give a safe cutoff, and where they end above T / m the second look gives what they miss."""
+    rng = np.random.RandomState(4)
+    q, c = rng.randint(-99, 99, (6, 10)), rng.randint(-99, 99, (400, 10))
+    nodes = [slice(0, 5), slice(5, 10)]
+    total = q @ c.T
+    at, listed, floor = topk._listed([topk._products(q[:, s], c[:, s]) for s in nodes], 3)
+    for i in range(6):
+        assert (total[i, at[i]] == listed[i]).all()
+        cut = listed[i].min()
+        want = set(np.flatnonzero(total[i] >= cut).tolist())
+        if 2 * floor[i] < cut:
+            assert want <= set(np.concatenate([at[i], np.flatnonzero(total[i] == cut)]).tolist())
+        _, j, t = topk._collected([q[i : i + 1, s] for s in nodes], [c[:, s] for s in nodes], np.array([cut]))
+        assert set(j.tolist()) == want and (t == total[i, j]).all()
