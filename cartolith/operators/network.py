@@ -14,6 +14,10 @@ from cartolith.operators.spatial_stats import components as _components
 from cartolith.plans.iterate import saved
 
 
+#: Rounds after which written steps are folded into one table.
+FOLD = 16
+
+
 def length():
     return F.hypot(F.col("ux") - F.col("vx"), F.col("uy") - F.col("vy"))
 
@@ -105,16 +109,22 @@ def route_alternatives(route: DataFrame) -> DataFrame:
 
 
 def shortest_path(links: DataFrame, source: int, target: int | None = None) -> DataFrame:
-    """(node, cost) by length from a source node: a frontier that relaxes until nothing improves."""
+    """(node, cost) by length from a source node: a frontier that relaxes until nothing improves.
+
+    Each round writes only the costs that fell; the costs so far are the least over the rounds, which are folded into
+    one table now and then."""
     edges = links.select("u", "v", length().alias("w"))
     edges = saved(edges.union(edges.select("v", "u", "w")).groupBy("u", "v").agg(F.min("w").alias("w")), "edges")
-    spark = links.sparkSession
-    cost = saved(spark.createDataFrame([(source, 0.0)], "node long, cost double"), "cost")
-    front = cost
+    front = saved(links.sparkSession.createDataFrame([(source, 0.0)], "node long, cost double"), "front")
+    known, rounds = front, 0
+    least = lambda df: df.groupBy("node").agg(F.min("cost").alias("cost"))
     while not front.isEmpty():
         new = front.join(edges, front.node == edges.u).groupBy(F.col("v").alias("node")).agg(F.min(F.col("cost") + F.col("w")).alias("next"))
-        front = saved(new.join(cost, "node", "left").where("cost is null or next < cost - 1e-12").select(F.col("node").cast("long"), F.col("next").alias("cost")), "front")
-        cost = saved(cost.unionByName(front).groupBy("node").agg(F.min("cost").alias("cost")), "cost")
+        front = saved(new.join(least(known), "node", "left").where("cost is null or next < cost - 1e-12").select(F.col("node").cast("long"), F.col("next").alias("cost")), "front")
+        known, rounds = known.unionByName(front), rounds + 1
+        if rounds % FOLD == 0:
+            known = saved(least(known), "costs")
+    cost = least(known)
     return cost if target is None else cost.where(F.col("node") == target)
 
 
@@ -189,34 +199,58 @@ def vulnerability(links: DataFrame) -> DataFrame:
     return s.agg(F.count("*").alias("components"), F.max("size").alias("largest")).withColumn("vulnerability", F.when(F.col("components") == 1, "high").otherwise("low"))
 
 
-def _distances(links: DataFrame, sources: DataFrame) -> DataFrame:
-    """(source, node, hops, paths) by breadth-first layers from all sources at once."""
+def _layers(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The edges, and by hops (source, node, paths): breadth-first layers from all nodes at once, each written once.
+
+    Neighbours of a layer that are not in the next one are in it or in the one before, so those two are all that
+    a layer is checked against."""
     e = saved(adjacency(links).where("u != v").select(F.col("u").cast("long"), F.col("v").cast("long")), "edges")
-    seen = saved(sources.select(F.col("node").cast("long").alias("source"), F.col("node").cast("long").alias("node"), F.lit(0).alias("hops"), F.lit(1.0).alias("paths")), "seen")
-    front, h = seen, 0
-    while not front.isEmpty():
-        h += 1
-        new = front.join(e, front.node == e.u).groupBy("source", F.col("v").alias("node")).agg(F.sum("paths").alias("paths"))
-        front = saved(new.join(seen, ["source", "node"], "left_anti").select("source", "node", F.lit(h).alias("hops"), "paths"), "front")
-        seen = saved(seen.unionByName(front), "seen")
-    return seen
+    layers = [saved(adjacency(links).select(F.col("u").cast("long").alias("source"), F.col("u").cast("long").alias("node"), F.lit(1.0).alias("paths")).distinct(), "layer")]
+    while True:
+        new = layers[-1].join(e, F.col("node") == F.col("u")).groupBy("source", F.col("v").alias("node")).agg(F.sum("paths").alias("paths"))
+        for seen in layers[-2:]:
+            new = new.join(seen.select("source", "node"), ["source", "node"], "left_anti")
+        new = saved(new, "layer")
+        if new.isEmpty():
+            return e, layers
+        layers.append(new)
 
 
 def closeness_std(links: DataFrame) -> DataFrame:
     """(node, score): reached nodes over the sum of hops to them."""
-    d = _distances(links, adjacency(links).select(F.col("u").alias("node")).distinct())
-    return d.where("hops > 0").groupBy(F.col("source").alias("node")).agg((F.count("*") / F.sum("hops")).alias("score"))
+    _, layers = _layers(links)
+    sums = [x.groupBy("source").agg(F.count("*").alias("n")).withColumn("hops", F.lit(h)) for h, x in enumerate(layers) if h]
+    if not sums:
+        return layers[0].limit(0).select("node", F.lit(0.0).alias("score"))
+    d = sums[0]
+    for x in sums[1:]:
+        d = d.unionByName(x)
+    return d.groupBy(F.col("source").alias("node")).agg((F.sum("n") / F.sum(F.col("n") * F.col("hops"))).alias("score"))
 
 
 def betweenness_std(links: DataFrame) -> DataFrame:
-    """(node, score): shortest paths through a node, over unordered pairs, by path counts of both halves."""
-    d = _distances(links, adjacency(links).select(F.col("u").alias("node")).distinct())
-    st = d.where("hops > 1").select(F.col("source").alias("s"), F.col("node").alias("t"), F.col("hops").alias("h"), F.col("paths").alias("p"))
-    half = d.where("hops > 0").select("source", "node", "hops", "paths")
-    a = st.join(half.select(F.col("source").alias("s"), F.col("node").alias("v"), F.col("hops").alias("h1"), F.col("paths").alias("p1")), "s").where("h1 < h")
-    b = half.select(F.col("source").alias("v"), F.col("node").alias("t"), F.col("hops").alias("h2"), F.col("paths").alias("p2"))
-    on = a.join(b, ["v", "t"]).where("h1 + h2 = h")
-    return on.groupBy(F.col("v").alias("node")).agg((F.sum(F.col("p1") * F.col("p2") / F.col("p")) / 2).alias("score"))
+    """(node, score): shortest paths through a node, over unordered pairs.
+
+    Each node's share of the paths from a source is added up from the last layer to the first: what a node hands to
+    one before it is the quotient of their path counts times one and its own share. Nodes between no two are not there."""
+    e, layers = _layers(links)
+    shares: list[DataFrame] = []
+    later = None  # (source, node, paths, share) of the layer after
+    for h in range(len(layers) - 1, 0, -1):
+        own = layers[h]
+        if later is None:
+            later = own.withColumn("share", F.lit(0.0))
+            continue
+        handed = later.join(e, F.col("node") == F.col("u")).select("source", F.col("v").alias("node"), ((1 + F.col("share")) / F.col("paths")).alias("part"))
+        got = handed.groupBy("source", "node").agg(F.sum("part").alias("part"))
+        later = saved(own.join(got, ["source", "node"], "left").select("source", "node", "paths", F.coalesce(F.col("paths") * F.col("part"), F.lit(0.0)).alias("share")), "shares")
+        shares.append(later.where("share > 0").groupBy("node").agg(F.sum("share").alias("share")))
+    if not shares:
+        return layers[0].limit(0).select("node", F.lit(0.0).alias("score"))
+    out = shares[0]
+    for x in shares[1:]:
+        out = out.unionByName(x)
+    return out.groupBy("node").agg((F.sum("share") / 2).alias("score"))
 
 
 def centrality(links: DataFrame, kind: str = "degree") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from cartolith.functions import stats
 from cartolith.operators.bandjoin import nearest_distance
+from cartolith.operators.ordered import numbered, running_sum, sliding
 
 
 def summary(df: DataFrame, column: str) -> DataFrame:
@@ -80,24 +81,26 @@ def strong_correlations(df: DataFrame, columns: list[str], threshold: float = 0.
     return m.where((F.array_position(order, F.col("a")) < F.array_position(order, F.col("b"))) & (F.abs("r") >= threshold))
 
 
-def _rates(df: DataFrame, time: str, population: str, window) -> DataFrame:
-    return df.withColumn("prev", F.lag(population).over(window)).withColumn("rate", F.when(F.col("prev") > 0, (F.col(population) - F.col("prev")) / F.col("prev") * 100))
+def _rates(df: DataFrame, population: str) -> DataFrame:
+    """df has prev, the value before."""
+    return df.withColumn("rate", F.when(F.col("prev") > 0, (F.col(population) - F.col("prev")) / F.col("prev") * 100))
 
 
 def growth_rates(df: DataFrame, time: str = "yr", population: str = "population", tie: str | None = None) -> DataFrame:
-    r = _rates(df, time, population, Window.orderBy(time, *([tie] if tie else [])))
+    rows = sliding(numbered(df, [time, *([tie] if tie else [])]), 1, 0, {"prev": lambda w: F.lag(population).over(w)})
+    r = _rates(rows, population)
     return r.agg(F.avg("rate").alias("mean"), F.stddev_pop("rate").alias("std"), F.max("rate").alias("max"), F.min("rate").alias("min"), F.count("rate").alias("n"))
 
 
 def growth_trend(df: DataFrame, time: str = "yr", population: str = "population") -> DataFrame:
-    s = df.withColumn("i", F.row_number().over(Window.orderBy(time)) - 1)
+    s = numbered(df, [time])
     a = s.agg(F.regr_slope(population, "i").alias("slope"), F.regr_r2(population, "i").alias("r2"), stats.slope_stderr(population, "i").alias("stderr"), F.count("*").alias("n"))
     a = a.withColumn("p", stats.student_p(F.expr("try_divide(slope, stderr)"), (F.col("n") - 2).cast("double")))
     return a.withColumn("significant", F.col("p") < 0.05)
 
 
 def growth_by_location(df: DataFrame, location: str = "location", time: str = "yr", population: str = "population") -> DataFrame:
-    r = _rates(df, time, population, Window.partitionBy(location).orderBy(time))
+    r = _rates(df.withColumn("prev", F.lag(population).over(Window.partitionBy(location).orderBy(time))), population)
     a = r.groupBy(location).agg(F.avg("rate").alias("mean_rate"), (F.max_by(population, time) - F.min_by(population, time)).alias("change"), F.count("*").alias("n"), F.count("rate").alias("k"))
     return a.where("n > 1 and k > 0").drop("n", "k")
 
@@ -176,8 +179,7 @@ def inequality(df: DataFrame, column: str) -> DataFrame:
     distinct values, so equal values are one row of the ordered window."""
     v = df.select(F.col(column).cast("double").alias("v")).where("v is not null")
     d = v.groupBy("v").agg(F.count("*").alias("k"))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("upto", F.sum("k").over(w))
+    d = running_sum(d, ["v"], "k", "upto")
     # ranks upto-k+1..upto: sum over them of (n - rank + 1) * v
     a = v.agg(F.count("*").cast("double").alias("n"), F.sum("v").alias("t"), F.avg("v").alias("m"), F.stddev_samp("v").alias("s"), stats.quantile("v", 0.9).alias("q90"), stats.quantile("v", 0.1).alias("q10"))
     cum = d.join(F.broadcast(a.select("n"))).agg(F.sum(F.expr("v * (k * (n + 1) - (upto * (upto + 1) - (upto - k) * (upto - k + 1)) / 2e0)")).alias("c"))

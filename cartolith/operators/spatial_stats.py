@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from cartolith.operators.bandjoin import band_join, nearest_distance
 from cartolith.operators.chunking import kmeans
+from cartolith.operators.components import connected_components
+from cartolith.operators.ordered import numbered
 from cartolith.operators.spatial_query import total_bounds
 from cartolith.plans.iterate import saved
 
@@ -62,39 +64,68 @@ def spatial_kmeans(df: DataFrame, n_clusters: int = 5, x: str = "lon", y: str =
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, component: smallest node reachable): minimum labels with pointer jumping, until nothing changes."""
-    both = saved(edges.select("a", "b").union(edges.select("b", "a")).where("a != b").distinct(), "edges")
-    label = saved(nodes.select(F.col("node"), F.col("node").alias("component")).distinct(), "labels")
-    while True:
-        near = both.join(label.withColumnsRenamed({"node": "b", "component": "m"}), "b").groupBy("a").agg(F.min("m").alias("m"))
-        step = label.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("component"))
-        step = saved(step, "labels")
-        jump = step.select(F.col("node").alias("component"), F.col("component").alias("far"))
-        new = saved(step.join(jump, "component", "left").select("node", "old", F.least("component", F.coalesce("far", "component")).alias("component")), "labels")
-        changed = not new.where("old != component").isEmpty()
-        label = new.select("node", "component")
-        if not changed:
-            return label
+    """(node, component: smallest node reachable) of all nodes; those without an edge are alone."""
+    found = connected_components(edges)
+    return nodes.select(F.col("node").cast("long").alias("node")).distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def _core(p: DataFrame, cells: DataFrame, eps: float, min_samples: int) -> DataFrame:
+    """Points with at least min_samples neighbours, themselves among them. All points of a cell of so many are; the
+    others, fewer than that a cell, are counted."""
+    dense = cells.where(F.col("n") >= min_samples).select("cx", "cy", F.lit(True).alias("dense"))
+    marked = p.join(dense, ["cx", "cy"], "left")
+    few = marked.where("dense is null").select("id", "x", "y")
+    near = band_join(few, p.select(F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2")), eps, "x", "y", "x2", "y2")
+    counted = near.groupBy("id").agg(F.count("*").alias("k")).where(F.col("k") >= min_samples).select("id")
+    return marked.where("dense").select("id", "x", "y", "cx", "cy").unionByName(p.join(counted, "id", "left_semi").select("id", "x", "y", "cx", "cy"))
+
+
+def _cell_links(core: DataFrame, eps: float, parts: int = 4) -> DataFrame:
+    """(a, b): numbers of neighbouring cells with core points no farther apart than eps.
+
+    Cells are quartered into parts x parts boxes first. Two boxes are decided by their bounds if even their far corners are
+    within eps, or if even their near sides are not; only points of undecided boxes of cells that no decided pair
+    links meet each other."""
+    side = eps / 2**0.5
+    boxed = core.withColumn("sx", F.floor(F.col("x") / (side / parts))).withColumn("sy", F.floor(F.col("y") / (side / parts)))
+    boxes = saved(boxed.groupBy("cx", "cy", "cell", "sx", "sy").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")), "boxes")
+    near = F.sequence(F.lit(-2), F.lit(2))
+    other = boxes.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).withColumn("cx", F.col("cx") + F.col("dx")).withColumn("cy", F.col("cy") + F.col("dy"))
+    other = other.select("cx", "cy", *[F.col(c).alias(f"o{c}") for c in ("cell", "sx", "sy", "x0", "x1", "y0", "y1")])
+    pairs = boxes.join(other, ["cx", "cy"]).where("cell < ocell")
+    gap = lambda a: F.greatest(F.lit(0.0), F.col(f"o{a}0") - F.col(f"{a}1"), F.col(f"{a}0") - F.col(f"o{a}1"))
+    span = lambda a: F.greatest(F.col(f"o{a}1") - F.col(f"{a}0"), F.col(f"{a}1") - F.col(f"o{a}0"))
+    pairs = pairs.withColumn("far", F.hypot(span("x"), span("y"))).where(F.hypot(gap("x"), gap("y")) <= eps)
+    pairs = saved(pairs.select("cell", "ocell", "sx", "sy", "osx", "osy", (F.col("far") <= eps).alias("sure")), "box-pairs")
+    sure = pairs.where("sure").select("cell", "ocell").distinct()
+    open_ = pairs.join(sure, ["cell", "ocell"], "left_anti")
+    at = boxed.select("sx", "sy", "x", "y")
+    met = open_.join(at, ["sx", "sy"]).join(at.toDF("osx", "osy", "x2", "y2"), ["osx", "osy"]).where(F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")) <= eps)
+    return sure.unionByName(met.select("cell", "ocell").distinct()).toDF("a", "b")
 
 
 def dbscan(df: DataFrame, eps: float, min_samples: int = 5, id_col: str = "feature_id", x: str = "lon", y: str = "lat") -> DataFrame:
     """(id, is_core, cluster): clusters are numbered by their smallest core id from 0, noise is -1.
 
-    A point counts itself. A border point goes to the cluster of its core neighbour of smallest cluster."""
-    p = df.select(F.col(id_col).alias("id"), F.col(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null")
-    q = p.toDF("id2", "x2", "y2")
-    near = saved(band_join(p, q, eps, "x", "y", "x2", "y2").select("id", "id2"), "near")
-    core = saved(near.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("id"), "core")
-    core2 = core.withColumnRenamed("id", "id2")
-    links = near.join(core, "id", "left_semi").join(core2, "id2", "left_semi").where("id < id2").toDF("a", "b")
-    parts = components(links, core.withColumnRenamed("id", "node"))
-    names = parts.select("component").distinct()
-    # clusters are few next to points, but not bounded: numbered by a sort, not by one task's window over points
-    numbers = names.rdd.map(lambda r: r[0]).sortBy(lambda c: c).zipWithIndex().toDF("component long, cluster long")
-    of = parts.join(numbers, "component").select(F.col("node").alias("id2"), "cluster")
-    border = near.join(of, "id2").groupBy("id").agg(F.min("cluster").alias("near_cluster"))
-    own = of.withColumnRenamed("id2", "id")
-    return p.select("id").join(own, "id", "left").join(border, "id", "left").select("id", F.col("cluster").isNotNull().alias("is_core"), F.coalesce("cluster", "near_cluster", F.lit(-1).cast("long")).alias("cluster"))
+    A point counts itself. A border point goes to the cluster of its core neighbour of smallest cluster. Points of one
+    cell of side eps / sqrt 2 are neighbours of each other, so clusters are components of cells with core points."""
+    if eps <= 0:
+        raise ValueError("eps must be positive")
+    side = eps / 2**0.5
+    p = df.select(F.col(id_col).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
+    p = saved(p.withColumn("cx", F.floor(F.col("x") / side)).withColumn("cy", F.floor(F.col("y") / side)), "points")
+    core = _core(p, p.groupBy("cx", "cy").agg(F.count("*").alias("n")), eps, min_samples)
+    names = core.groupBy("cx", "cy").agg(F.min("id").alias("cell"))
+    core = saved(core.join(names, ["cx", "cy"]), "core")
+    parts = components(_cell_links(core, eps), core.select(F.col("cell").alias("node")))
+    of = core.select("id", "x", "y", "cell").join(parts.withColumnRenamed("node", "cell"), "cell")
+    numbers = numbered(parts.select("component").distinct(), ["component"], "cluster")
+    of = saved(of.join(numbers, "component").select("id", "x", "y", "cluster"), "clustered")
+    rest = p.select("id", "x", "y").join(of.select("id"), "id", "left_anti")
+    near = band_join(rest, of.select(F.col("x").alias("x2"), F.col("y").alias("y2"), "cluster"), eps, "x", "y", "x2", "y2")
+    border = near.groupBy("id").agg(F.min("cluster").alias("cluster"))
+    out = of.select("id", F.lit(True).alias("is_core"), "cluster").unionByName(border.select("id", F.lit(False).alias("is_core"), "cluster"))
+    return p.select("id").join(out, "id", "left").select("id", F.coalesce("is_core", F.lit(False)).alias("is_core"), F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"))
 
 
 def dbscan_summary(df: DataFrame, clusters: DataFrame, id_col: str = "feature_id", x: str = "lon", y: str = "lat") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cartolith.functions import stats
+from cartolith.operators.ordered import numbered, running_sum, sliding
 from cartolith.operators.terrain import DIRECTIONS, _classes, direction
 
 
@@ -49,7 +50,7 @@ def climate(obs: DataFrame, value: str, period: str = "monthly", time: str = "ob
 def climate_trend(groups: DataFrame) -> DataFrame:
     """Line over the ordinal of the groups by their keys; there are few of them."""
     keys = [c for c in groups.columns if c in ("year", "month", "week", "day", "season")]
-    g = groups.withColumn("i", F.row_number().over(Window.orderBy(*keys)) - 1)
+    g = numbered(groups, keys)
     a = g.agg(F.regr_slope("mean", "i").alias("slope"), F.regr_intercept("mean", "i").alias("intercept"), F.regr_r2("mean", "i").alias("r2"), stats.slope_stderr("mean", "i").alias("stderr"), F.count("*").alias("n"))
     return a.withColumn("p", stats.student_p(F.expr("try_divide(slope, stderr)"), (F.col("n") - 2).cast("double")))
 
@@ -91,9 +92,12 @@ def drought(obs: DataFrame, value: str) -> DataFrame:
 
 
 def precip_cumsum(obs: DataFrame, value: str, time: str = "obs_ts", tie: str = "event_id") -> DataFrame:
-    order = Window.orderBy(time, tie)
-    win = order.rowsBetween(-15, 14)
-    return obs.select(tie, time, F.sum(value).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("cumulative"), F.when(F.count(value).over(win) == 30, F.avg(value).over(win)).alias("rolling"))
+    def mean_of_30(window):
+        win = window.rowsBetween(-15, 14)
+        return F.when(F.count(value).over(win) == 30, F.avg(value).over(win))
+
+    rows = running_sum(obs.select(tie, time, value), [time, tie], value, "cumulative")
+    return sliding(numbered(rows, [time, tie]), 15, 14, {"rolling": mean_of_30}).select(tie, time, "cumulative", "rolling")
 
 
 def extreme_precip(obs: DataFrame, value: str) -> DataFrame:

@@ -9,7 +9,8 @@ VIEWS = {
     "weather": "select event_id, ts as obs_ts, cast((user_id*7919)%3600 as double)/10e0-180e0 as longitude, cast((user_id*104729)%1700 as double)/10e0-85e0 as latitude, value as temperature, case when event_id%3=0 then 0e0 else value end as precipitation, value/10e0 as wind_speed, cast((event_id*37)%360 as double) as wind_direction from events",
     "flows": "select l_suppkey%25 as origin, o_custkey%25 as destination, l_quantity as migrants, year(l_shipdate) as yr from lineitem join orders on l_orderkey=o_orderkey",
     "dem": "select cast(floor(p_partkey/40e0) as bigint) as r, p_partkey%40 as c, cast(p_size as double) as elev from part",
-    "links": "select o_orderkey as link_id, o_custkey%200 as u, (o_custkey*31+o_orderkey)%200 as v, cast(20+o_orderkey%100 as double) as speed_limit from orders where o_orderkey<600",
+    "links": "select o_orderkey as link_id, o_custkey%(select cast(floor(count(*)/5e0) as bigint) from customer) as u, (o_custkey*31+o_orderkey)%(select cast(floor(count(*)/5e0) as bigint) from customer) as v, cast(20+o_orderkey%100 as double) as speed_limit from orders",
+    "facilities": "select s_suppkey as feature_id, cast((s_suppkey*7919)%3600 as double)/10e0-180e0 as lon, cast((s_suppkey*104729)%1700 as double)/10e0-85e0 as lat from supplier",
     "areas": "select n_nationkey as area_id, cast(n_nationkey%5 as double)*10e0 as minx, cast(n_regionkey as double)*10e0 as miny, cast(count(*) as double) as population, 100e0 as area from customer join nation on c_nationkey=n_nationkey group by n_nationkey, n_regionkey",
     "ages": "select cast(p_size as double) as age, p_retailprice as population from part",
     "yearly": "select cast(year(o_orderdate) as double) as yr, cast(count(*) as double) as population from orders group by year(o_orderdate)",
@@ -19,7 +20,7 @@ VIEWS = {
     "vectors": "select vec_id, embedding, cast((vec_id*7919)%3600 as double)/10e0-180e0 as minx, cast((vec_id*104729)%1700 as double)/10e0-85e0 as miny, cast((vec_id*7919)%3600 as double)/10e0-179e0 as maxx, cast((vec_id*104729)%1700 as double)/10e0-84e0 as maxy from embeddings",
 }
 NEEDS = {
-    "points": ("customer",), "weather": ("events",), "flows": ("lineitem", "orders"), "dem": ("part",), "links": ("orders",), "areas": ("customer", "nation"), "ages": ("part",), "yearly": ("orders",),
+    "points": ("customer",), "weather": ("events",), "flows": ("lineitem", "orders"), "dem": ("part",), "links": ("orders", "customer"), "facilities": ("supplier",), "areas": ("customer", "nation"), "ages": ("part",), "yearly": ("orders",),
     "placed_yearly": ("orders",), "indicators": ("customer",), "network": ("links",), "vectors": ("embeddings",),
 }
 

@@ -23,9 +23,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def saved(df: DataFrame, name: str = "step") -> DataFrame:
-    """Written to the shared folder and read back: a later step does not depend on executors that may be lost."""
+def saved_at(df: DataFrame, name: str = "step") -> tuple[DataFrame, str]:
+    """Written to the shared folder and read back, and where it is."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def saved(df: DataFrame, name: str = "step") -> DataFrame:
+    """Written to the shared folder and read back: a later step does not depend on executors that may be lost."""
+    return saved_at(df, name)[0]
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Remove a folder below the shared one."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

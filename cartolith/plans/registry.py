@@ -104,15 +104,15 @@ _from = "from vectors e, (select embedding from vectors where vec_id = 0) q"
 _engine = lambda v: retrieval.RetrievalEngine(v, v.where("vec_id % 2 = 0"), "vec_id")
 add("hash_embedding", "points", lambda p: p.select("feature_id", F.explode(retrieval.hash_embedding()(F.col("name"))).alias("x")))
 add("vector_topk", "vectors", lambda v: retrieval.top_k(v, _Q0(v), 10, "vec_id").select("vec_id", "distance"), f"select vec_id, R(d) as distance from (select e.vec_id, {_dist} as d {_from}) order by d, vec_id limit 10")
-add("vector_topk_batch", "vectors", lambda v: retrieval.top_k_batch(v, v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), 5, "vec_id").select("query_id", "rank", "vec_id"), f"""
-    select query_id, cast(rank as int) as rank, vec_id from (select *, row_number() over (partition by query_id order by d, vec_id) as rank from (select q.vec_id as query_id, e.vec_id, {_dist} as d from vectors e, (select * from vectors where vec_id<5) q)) where rank<=5""")
+add("vector_topk_batch", "vectors", lambda v: retrieval.top_k_batch(v, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), 5, "vec_id").select("query_id", "rank", "vec_id"), f"""
+    select query_id, cast(rank as int) as rank, vec_id from (select *, row_number() over (partition by query_id order by d, vec_id) as rank from (select q.vec_id as query_id, e.vec_id, {_dist} as d from vectors e, (select * from vectors where vec_id%20=0) q)) where rank<=5""")
 add("semantic_search", "vectors", lambda v: _engine(v).semantic_search(_Q0(v), 5, (-60.0, -40.0, 60.0, 40.0)).select("vec_id", "distance"), f"select vec_id, R(d) as distance from (select e.vec_id, {_dist} as d {_from} where minx<=60 and maxx>=-60 and miny<=40 and maxy>=-40) order by d, vec_id limit 5")
 add("image_search", "vectors", lambda v: _engine(v).image_search(_Q0(v), 5).select("vec_id", "distance"), f"select vec_id, R(d) as distance from (select e.vec_id, {_dist} as d {_from} where e.vec_id%2=0) order by d, vec_id limit 5")
 add("hybrid_search", "vectors", lambda v: _engine(v).hybrid_search(_Q0(v), 0.0, 0.0, 5000.0).select("vec_id", "distance"), f"select vec_id, R(d) as distance from (select e.vec_id, {_dist} as d {_from} where sqrt(minx*minx+miny*miny) <= 5000000e0/111000e0) order by d, vec_id limit 10")
 add("semantic_threshold", "vectors", lambda v: retrieval.threshold(retrieval.top_k(v, _Q0(v), 10, "vec_id"), 0.3).select("vec_id", "similarity"), f"select vec_id, R(1-d) as similarity from (select e.vec_id, {_dist} as d {_from} order by d, e.vec_id limit 10) where 1-d >= 0.3e0")
 add("assemble_context", "vectors", lambda v: retrieval.assemble_context(retrieval.top_k(v, _Q0(v), 5, "vec_id"), "vec_id").select("rank", "vec_id", "distance"), f"select cast(row_number() over (order by d, vec_id) as int) as rank, vec_id, R(d) as distance from (select e.vec_id, {_dist} as d {_from} order by d, e.vec_id limit 5)")
 add("bbox_meta_filter", "vectors", lambda v: v.where(g.boxes_overlap(-60.0, -40.0, 60.0, 40.0)).select("vec_id"), "select vec_id from vectors where minx<=60 and maxx>=-60 and miny<=40 and maxy>=-40")
-add("vec_add", "vectors", lambda v: retrieval.add_rows(v.where("vec_id < 100"), v.where("vec_id between 50 and 149"), "vec_id").select("vec_id"), "select vec_id from vectors where vec_id<150")
+add("vec_add", "vectors", lambda v: retrieval.add_rows(v, v.withColumn("vec_id", F.col("vec_id") + 1), "vec_id").select("vec_id"), "select vec_id from vectors union select vec_id+1 from vectors")
 add("vec_delete", "vectors", lambda v: retrieval.delete_rows(v, v.where("vec_id % 3 = 0").select("vec_id"), "vec_id").select("vec_id"), "select vec_id from vectors where vec_id%3<>0")
 
 # ------------------------------------------------------------------ spatial statistics
@@ -121,13 +121,15 @@ add("kernel_density", "points", lambda p: spatial_stats.kernel_density(p, 30.0,
 add("kernel_density_stats", "points", lambda p: spatial_stats.density_stats(spatial_stats.kernel_density(p, 30.0)), f"with {_cells('30e0')}, k as (select i, j, sum(exp(-0.5e0*pow(sqrt(pow(lon-(gx+15e0),2)+pow(lat-(gy+15e0),2))/60e0,2))) as d from c, points group by i, j) select count(*) as cells, R(avg(d)) as mean, R(max(d)) as max, R(min(d)) as min, R(stddev_pop(d)) as std from k")
 add("grid_density", "points", lambda p: spatial_stats.grid_density(p, 20.0), f"with {_cells('20e0')} select i, j, R(count(lon)) as density from c left join points on lon>gx and lon<gx+20e0 and lat>gy and lat<gy+20e0 group by i, j")
 add("spatial_kmeans", "points", lambda p: spatial_stats.spatial_kmeans(p, 5))
-add("dbscan", "points", lambda p: spatial_stats.dbscan(p, 4.0, 4).withColumnRenamed("id", "feature_id"), """
+_dbscan = """
     with recursive e as (select a.feature_id i, b.feature_id j from points a join points b on sqrt(pow(a.lon-b.lon,2)+pow(a.lat-b.lat,2))<=4e0), k as (select i from e group by i having count(*)>=4),
     ce as (select i, j from e where i in (select i from k) and j in (select i from k)), reach as (select i as root, i as node from k union select r.root, ce.j from reach r join ce on ce.i=r.node),
     lab as (select node, min(root) as c from reach group by node), num as (select c, row_number() over (order by c)-1 as cluster from (select distinct c from lab)),
-    own as (select node, cluster from lab join num using (c)), border as (select e.i, min(cluster) as cluster from e join own on own.node=e.j group by e.i)
-    select feature_id, own.node is not null as is_core, coalesce(own.cluster, border.cluster, -1) as cluster from points left join own on own.node=feature_id left join border on border.i=feature_id""")
-add("dbscan_summary", "points", lambda p: spatial_stats.dbscan_summary(p, spatial_stats.dbscan(p, 4.0, 4)))
+    own as (select node, cluster from lab join num using (c)), border as (select e.i, min(cluster) as cluster from e join own on own.node=e.j group by e.i),
+    labelled as (select feature_id, own.node is not null as is_core, coalesce(own.cluster, border.cluster, -1) as cluster from points left join own on own.node=feature_id left join border on border.i=feature_id)"""
+add("dbscan", "points", lambda p: spatial_stats.dbscan(p, 4.0, 4).withColumnRenamed("id", "feature_id"), f"{_dbscan} select * from labelled")
+add("dbscan_summary", "points", lambda p: spatial_stats.dbscan_summary(p, spatial_stats.dbscan(p, 4.0, 4)), f"""{_dbscan}
+    select cluster, count(*) as size, R(avg(lon)) as center_x, R(avg(lat)) as center_y, R(count(*)/cast((select count(*) from points) as double)) as density from labelled join points using (feature_id) group by cluster""")
 _near = "near as (select a.feature_id as id, a.val as v, b.val as v2 from points a join points b on a.feature_id<>b.feature_id and sqrt(pow(a.lon-b.lon,2)+pow(a.lat-b.lat,2))<=10e0)"
 _gi = f"with {_near}, s as (select id, sum(v2) wx, cast(count(*) as double) w from near group by id), a as (select avg(val) m, stddev_pop(val) s0, cast(count(*) as double) n from points), g as (select feature_id as id, coalesce(w,0) w, coalesce(wx,0) wx, m, s0*s0*(coalesce(w,0)*(n-1)-coalesce(w,0)*coalesce(w,0))/(n-1) as var from points left join s on s.id=feature_id, a), r as (select id, case when var>0 then (wx-w*m)/sqrt(var) else 0 end as gi from g)"
 add("hot_spots", "points", lambda p: spatial_stats.hot_spots(p, "val", 10.0), f"{_gi} select id, R(gi) as gi, case when gi>1.96e0 then 'hot' when gi<-1.96e0 then 'cold' else 'none' end as kind from r")
@@ -291,10 +293,12 @@ _route = f"with {_nodes}, a as (select x, y from nodes order by sqrt(pow(x+100e0
 _rt = lambda n: network.route(n, -100.0, -50.0, 100.0, 50.0)
 add("route", "network", _rt, f"{_route} select R(d) as distance, R(d/(30/3.6e0)) as time, R(d/1000) as km, R(d/(30/3.6e0)/60) as minutes, R(d/1000/(d/(30/3.6e0)/3600)) as speed from r")
 add("route_alternatives", "network", lambda n: network.route_alternatives(_rt(n)), f"{_route} select cast(i as int) as alternative, R(1+i*0.1e0) as factor, R(d*(1+i*0.1e0)) as distance, R(d/(30/3.6e0)*(1+i*0.1e0)) as time from r, range(1,4) t(i)")
-add("shortest_path_std", "network", lambda n: network.shortest_path(n, 0))
+add("shortest_path_std", "network", lambda n: network.shortest_path(n, 0), f"""with recursive e as (select u, v, min(w) as w from (select u, v, {_len} as w from network union all select v, u, {_len} from network) group by u, v),
+    d(node, cost) using key (node) as (select cast(0 as bigint), 0e0 union select e.v, min(f.cost+e.w) from d f join e on e.u=f.node left join recurring.d o on o.node=e.v where o.cost is null or o.cost>f.cost+e.w+1e-12 group by e.v)
+    select node, R(cost) as cost from d""")
 add("service_areas", "points", lambda p: network.service_areas(p, 5.0), f"select count(*) as areas, R(count(*)*{_A64}*25e0) as total, R({_A64}*25e0) as mean, 0e0 as std, R({_A64}*25e0) as min, R({_A64}*25e0) as max, 1e0 as efficiency from points")
-add("accessibility", "points", lambda p: network.accessibility(p.where("feature_id < 40"), 5.0, 360.0 * 170.0), f"select count(*) as facilities, R(count(*)*{_A64}*25e0) as total_area, R({_A64}*25e0) as mean_area, R(count(*)/61200e0) as density from points where feature_id<40")
-add("population_access", "points", lambda p: network.population_access(p, p.where("feature_id < 40"), 15.0, "val"), "select R(sum(val) filter (where ok)) as accessible, R(sum(val)) as total, R(sum(val) filter (where ok)*100e0/sum(val)) as pct from (select val, exists (select 1 from points f where f.feature_id<40 and sqrt(pow(p.lon-f.lon,2)+pow(p.lat-f.lat,2))<=15e0) as ok from points p)")
+add("accessibility", "facilities", lambda f: network.accessibility(f, 5.0, 360.0 * 170.0), f"select count(*) as facilities, R(count(*)*{_A64}*25e0) as total_area, R({_A64}*25e0) as mean_area, R(count(*)/61200e0) as density from facilities")
+add("population_access", "points facilities", lambda p, f: network.population_access(p, f, 15.0, "val"), "select R(sum(val) filter (where ok)) as accessible, R(sum(val)) as total, R(sum(val) filter (where ok)*100e0/sum(val)) as pct from (select val, exists (select 1 from facilities f where sqrt(pow(p.lon-f.lon,2)+pow(p.lat-f.lat,2))<=15e0) as ok from points p)")
 add("travel_time", "network", lambda n: network.travel_time(network.travel_times(n)), f"with t as (select {_len}/(speed_limit/3.6e0) v from network) select R(sum(v)) as total, {_M5.format('v')} from t")
 add("travel_time_dist", "network", lambda n: network.travel_time_dist(network.travel_times(n)), f"with t as (select {_len}/(speed_limit/3.6e0) v from network), m as (select avg(v) m from t), c as (select avg(pow(v-m,2)) m2, avg(pow(v-m,3)) m3, avg(pow(v-m,4)) m4 from t, m) select {', '.join(f'R(quantile_cont(v,{q})) as p{int(q * 100)}' for q in (0.25, 0.5, 0.75, 0.9))}, R(any_value(m3/pow(m2,1.5e0))) as skewness, R(any_value(m4/pow(m2,2)-3)) as kurtosis from t, c")
 add("congestion", "network", network.congestion, "with a as (select avg(speed_limit) m, stddev_samp(speed_limit) s, quantile_cont(speed_limit,0.25) q from network) select link_id, R(speed_limit) as speed_limit, R(m) as mean, R(s) as std from network, a where speed_limit<q")
@@ -305,17 +309,21 @@ add("key_nodes", "links", lambda n: network.key_nodes(network.degree_centrality(
 _cc = f"with recursive {_adj}, w as (select u as root, u as node from adj union select w.root, adj.v from w join adj on adj.u=w.node), c as (select node, min(root) as component from w group by node)"
 add("components", "links", network.components, f"{_cc} select node, component from c")
 add("vulnerability", "links", network.vulnerability, f"{_cc}, s as (select component, count(*) k from c group by 1) select count(*) as components, max(k) as largest, case when count(*)=1 then 'high' else 'low' end as vulnerability from s")
-add("closeness_std", "links", network.closeness_std)
-add("betweenness_std", "links", network.betweenness_std)
+_bfs = """with recursive adj as (select distinct u, v from (select u, v from links union select v, u from links) where u<>v),
+    d(source, node, hops, paths) using key (source, node) as (select distinct u, u, 0, 1e0 from adj union
+      select f.source, adj.v, f.hops+1, sum(f.paths) from d f join adj on adj.u=f.node left join recurring.d o on o.source=f.source and o.node=adj.v where o.hops is null group by f.source, adj.v, f.hops)"""
+add("closeness_std", "links", network.closeness_std, f"{_bfs} select source as node, R(count(*)/cast(sum(hops) as double)) as score from d where hops>0 group by source")
+add("betweenness_std", "links", network.betweenness_std, f"""{_bfs} select a.node, R(sum(a.paths*b.paths/t.paths)/2) as score from d t join d a on a.source=t.source and a.hops>0 and a.hops<t.hops
+    join d b on b.source=a.node and b.node=t.node and a.hops+b.hops=t.hops where t.hops>1 group by a.node""")
 
 # ------------------------------------------------------------------ sources, sinks, orchestration
 add("csv_points", "points", lambda p: sinks.csv_round_trip(p.select("feature_id", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"))), "select feature_id, R(lon) as lon, R(lat) as lat from points")
-add("geojson_scan", "points", lambda p: sinks.geojson_round_trip(p.where("feature_id < 300")), "select cast(feature_id as varchar) as feature_id, name, R(lon) as lon, R(lat) as lat from points where feature_id<300")
-add("kml_scan", "points", lambda p: sinks.kml_round_trip(p.where("feature_id < 300")), "select name, R(lon) as lon, R(lat) as lat from points where feature_id<300")
-add("shp_scan", "points", lambda p: sinks.shp_round_trip(p.where("feature_id < 300")), "select cast(feature_id as varchar) as feature_id, R(lon) as lon, R(lat) as lat from points where feature_id<300")
-add("gpkg_scan", "points", lambda p: sinks.gpkg_round_trip(p.where("feature_id < 300")), "select cast(feature_id as varchar) as feature_id, R(lon) as lon, R(lat) as lat from points where feature_id<300")
+add("geojson_scan", "points", lambda p: sinks.geojson_round_trip(p), "select cast(feature_id as varchar) as feature_id, name, R(lon) as lon, R(lat) as lat from points")
+add("kml_scan", "points", lambda p: sinks.kml_round_trip(p), "select name, R(lon) as lon, R(lat) as lat from points")
+add("shp_scan", "points", lambda p: sinks.shp_round_trip(p), "select cast(feature_id as varchar) as feature_id, R(lon) as lon, R(lat) as lat from points")
+add("gpkg_scan", "points", lambda p: sinks.gpkg_round_trip(p), "select cast(feature_id as varchar) as feature_id, R(lon) as lon, R(lat) as lat from points")
 add("raster_scan", "dem", lambda d: sinks.raster_round_trip(d), "select r, c, R(elev) as elev from dem")
-add("write_geojson", "points", lambda p: sinks.feature_lines(p.select("feature_id", "name", "lon", "lat")))
+add("write_geojson", "points", lambda p: sinks.geojson_written(p.select("feature_id", "name", "lon", "lat")), "select count(*) as features, count(distinct feature_id) as ids, R(sum(lon)) as lon, R(sum(lat)) as lat from points")
 add("sample_weather", "points", lambda p: samples.station_grid(p.sparkSession).groupBy("latitude", "longitude").agg(F.count("*").alias("n")))
 add("sample_points", "points", lambda p: samples.points(p.sparkSession, 100).select("id", "population"))
 add("comprehensive", "points", lambda p: runner.AnalysisManager(p, id_col="feature_id").run(["spatial", "population"], {"numeric": "val", "radius": 10.0, "cell": 30.0}))

@@ -152,6 +152,16 @@ def geojson_round_trip(df: DataFrame) -> DataFrame:
     return r.select(F.element_at("properties", "feature_id").alias("feature_id"), F.element_at("properties", "name").alias("name"), F.col("x").alias("lon"), F.col("y").alias("lat"))
 
 
+def geojson_written(df: DataFrame) -> DataFrame:
+    """Write a feature collection a partition; one row of what the files hold, read as text by a JSON function."""
+    path = fresh(df, "geojson")
+    write_geojson(feature_lines(df), path)
+    whole = df.sparkSession.read.text(path, wholetext=True).where("length(value) > 0")
+    kind = "type string, features array<struct<type string, properties struct<feature_id bigint>, geometry struct<type string, coordinates array<double>>>>"
+    f = whole.select(F.explode(F.from_json("value", kind).features).alias("f")).where("f.type = 'Feature' and f.geometry.type = 'Point'")
+    return f.agg(F.count("*").alias("features"), F.count_distinct("f.properties.feature_id").alias("ids"), F.sum(F.col("f.geometry.coordinates")[0]).alias("lon"), F.sum(F.col("f.geometry.coordinates")[1]).alias("lat"))
+
+
 def kml_round_trip(df: DataFrame) -> DataFrame:
     path = fresh(df, "kml")
     write_kml(df, path)

@@ -274,3 +274,119 @@ def test_entry_without_the_training_data_subpackage():
     code = "import sys; sys.modules['cartolith.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(k.startswith('op') for k in e.queries()))"
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
     assert int(out[0]) > 150 and int(out[1]) > 130 and out[2] == "False"
+
+
+# ------------------------------------------------------------------ one order over many tasks, components, dense cells
+def test_numbers_sums_and_windows_like_pandas(spark, monkeypatch):
+    from cartolith.operators import ordered
+
+    monkeypatch.setattr(ordered, "BLOCK", 16)
+    rng = np.random.RandomState(2)
+    v = [None if x > 0.9 else float(x) for x in rng.rand(300)]
+    df = spark.createDataFrame([(int(k), i, x) for i, (k, x) in enumerate(zip(rng.randint(0, 9, 300), v, strict=True))], "k int, id long, v double").repartition(7)
+    want = sorted((r.k, r.id, r.v) for r in df.collect())
+    rows = ordered.numbered(df, ["k", "id"])
+    assert [(r.k, r.id, r.v) for r in sorted(rows.collect(), key=lambda r: r.i)] == want and {r.i for r in rows.collect()} == set(range(300))
+    sums = {r.id: r.s for r in ordered.running_sum(df, ["k", "id"], "v", "s").collect()}
+    total = 0.0
+    for _, i, x in want:
+        total += x or 0.0
+        assert sums[i] == pytest.approx(total)
+    out = {r.i: r for r in ordered.sliding(rows, 7, 3, {"m": lambda w: F.max("v").over(w.rowsBetween(-7, 3)), "lag": lambda w: F.lag("v", 5).over(w)}).collect()}
+    assert len(out) == 300
+    for i in range(300):
+        seen = [x for _, _, x in want[max(0, i - 7) : i + 4] if x is not None]
+        assert out[i].m == (max(seen) if seen else None) and out[i].lag == (want[i - 5][2] if i >= 5 else None)
+    assert ordered.numbered(df.limit(0), ["k"]).count() == 0
+
+
+@pytest.mark.parametrize("block", [4, 50, 1 << 16])
+def test_mann_kendall_of_ties_over_runs(spark, block):
+    rng = np.random.RandomState(block % 7)
+    v = [float(x) for x in rng.randint(0, 12, 230)]
+    want = sum(int(np.sign(b - a)) for i, a in enumerate(v) for b in v[i + 1 :])
+    assert temporal.mann_kendall(series(spark, v), "ts", "v", "id", block).first().s == want
+
+
+def test_components_of_long_paths_and_stars(spark, monkeypatch):
+    from cartolith.operators import components as c
+
+    monkeypatch.setattr(c, "HELD", 8)
+    rng = np.random.RandomState(1)
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + k) for k in range(1, 90)] + [(5000, 5000), (None, 3)]
+    edges = [edges[i] for i in rng.permutation(len(edges))]
+    got = {r.node: r.component for r in c.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
+    assert got == {i: 0 for i in range(301)} | {1000 + k: 1000 for k in range(90)}
+    alone = spatial_stats.components(spark.createDataFrame([(1, 2)], "a long, b long"), spark.createDataFrame([(1,), (2,), (9,)], "node long"))
+    assert {r.node: r.component for r in alone.collect()} == {1: 1, 2: 1, 9: 9}
+
+
+def _dbscan(xy, eps, least):
+    d = np.hypot(*(xy[:, None] - xy[None]).transpose(2, 0, 1)) <= eps
+    core = d.sum(1) >= least
+    cluster, n = np.full(len(xy), -1), 0
+    for i in range(len(xy)):
+        if core[i] and cluster[i] < 0:
+            stack, cluster[i] = [i], n
+            while stack:
+                for k in np.flatnonzero(d[stack.pop()] & core & (cluster < 0)).tolist():
+                    cluster[k] = n
+                    stack.append(k)
+            n += 1
+    own = cluster.copy()
+    for i in np.flatnonzero(~core):
+        near = own[d[i] & core]
+        cluster[i] = near.min() if len(near) else -1
+    return core, cluster
+
+
+@pytest.mark.parametrize(("seed", "eps", "least"), [(0, 1.0, 4), (1, 0.4, 3), (2, 2.5, 9), (3, 0.8, 1)])
+def test_dbscan_like_brute_force(spark, seed, eps, least):
+    rng = np.random.RandomState(seed)
+    xy = np.round(np.concatenate([rng.normal(0, 1, (120, 2)), rng.normal(6, 0.3, (80, 2)), rng.uniform(-9, 9, (80, 2))]), 2)
+    core, cluster = _dbscan(xy, eps, least)
+    got = {r.id: (r.is_core, r.cluster) for r in spatial_stats.dbscan(pts(spark, xy), eps, least).collect()}
+    assert got == {i: (bool(core[i]), int(cluster[i])) for i in range(len(xy))}
+
+
+def test_dbscan_of_20_000_points_in_a_cell(spark):
+    rng = np.random.RandomState(9)
+    xy = np.concatenate([rng.uniform(0, 0.7, (20_000, 2)), [[1.69, 0.3], [5, 5]]])
+    got = spatial_stats.dbscan(pts(spark, xy), 1.0, 5).groupBy("is_core", "cluster").count().collect()
+    assert {(r.is_core, r.cluster): r["count"] for r in got} in ({(True, 0): 20_001, (False, -1): 1}, {(True, 0): 20_000, (False, 0): 1, (False, -1): 1})
+
+
+def test_paths_and_centralities_like_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(network, "FOLD", 2)
+    rng = np.random.RandomState(4)
+    n, e = 25, [(int(a), int(b)) for a, b in rng.randint(0, 25, (40, 2))] + [(k, k + 1) for k in range(8)]
+    at = rng.uniform(0, 9, (n, 2))
+    links = spark.createDataFrame([(i, u, v, *map(float, at[u]), *map(float, at[v])) for i, (u, v) in enumerate(e)], "link_id long, u long, v long, ux double, uy double, vx double, vy double")
+    w = np.full((n, n), np.inf)
+    np.fill_diagonal(w, 0)
+    hops = w.copy()
+    for u, v in e:
+        w[u, v] = w[v, u] = min(w[u, v], float(np.hypot(*(at[u] - at[v]))))
+        if u != v:
+            hops[u, v] = hops[v, u] = 1
+    one = hops == 1
+    for k in range(n):
+        w = np.minimum(w, w[:, k : k + 1] + w[k])
+        hops = np.minimum(hops, hops[:, k : k + 1] + hops[k])
+    got = {r.node: r.cost for r in network.shortest_path(links, 0).collect()}
+    assert got.keys() == {i for i in range(n) if np.isfinite(w[0, i])} and all(math.isclose(got[i], w[0, i], abs_tol=1e-9) for i in got)
+    close = {r.node: r.score for r in network.closeness_std(links).collect()}
+    for i in range(n):
+        d = hops[i][np.isfinite(hops[i]) & (hops[i] > 0)]
+        assert (i in close) == bool(len(d)) and (not len(d) or math.isclose(close[i], len(d) / d.sum()))
+    paths = np.eye(n)
+    for h in range(1, n):
+        for s, t in zip(*np.nonzero(hops == h), strict=True):
+            paths[s, t] = sum(paths[s, k] for k in np.flatnonzero(one[t]) if hops[s, k] == h - 1)
+    want = {}
+    for v in range(n):
+        s = sum(paths[a, v] * paths[v, b] / paths[a, b] for a in range(n) for b in range(a) if v not in (a, b) and np.isfinite(hops[a, b]) and hops[a, v] + hops[v, b] == hops[a, b])
+        if s:
+            want[v] = s
+    between = {r.node: r.score for r in network.betweenness_std(links).collect()}
+    assert between.keys() == want.keys() and all(math.isclose(between[k], want[k], rel_tol=1e-9) for k in want)
