@@ -1,16 +1,16 @@
 """Reversible line deduplication: sharded cuckoo filters over exact reference counts (operator 7).
 
-An index of lines is three tables in the shared folder, a new version of each written by every change:
-postings (line key, doc_id), reference counts (line key: documents that hold it, largest of their ids), and
-one cuckoo filter a shard with the keys that enough documents hold. Keys are 128-bit hashes of the line
-stripped and lower-cased. Inserting documents or deleting them recounts only the keys they hold, and inserts
-keys into the filters, or deletes them, as their count crosses the limit; deleting what was inserted gives
-the former answers again. Counts are added up before they are shuffled by key, so a line that a third of all
-documents hold is a few rows.
-
-Lines are judged by the filters first, which lets past few that need no look at the counts; the counts then
-decide exactly. The filters are sent to all tasks only while they are small together (a check of size);
-beyond, every line goes to the counts.
+An index of lines is three tables in the shared folder, each a list of versions of which the last counts: postings
+(line key, doc_id, whether it is gone), reference counts (line key: documents that hold it, largest of their ids), and one
+cuckoo filter a shard with the keys that enough documents hold. Keys are 128-bit hashes of the line
+stripped and lower-cased. Inserting documents or deleting them writes their own postings, the counts of the keys they
+hold, and the filters of the shards where a key's count crosses the limit, into which it is inserted or deleted; all else
+stays as it is. Versions are folded into one now and then. Deleting what was inserted gives the former answers
+again. Shards are split in two by a new build when they hold twice the keys they are meant for.
+
+Lines are judged by the filters first: postings go to their shard's filter, spread over ``SPREAD`` copies of it, so that a
+line that a third of all documents hold is not one task's; the few that pass meet the counts, which
+decide exactly. This is the same at any size.
 
 Defined cases: a null or empty text is one empty line; keys of fewer code points than the limit are never
 dropped; rows that repeat a doc_id are that one document; rows with a null doc_id are not counted and keep
@@ -28,11 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolith.llm.common import BROADCAST_BYTES, batch, map_arrow, mix, utf8, written
+from cartolith.llm.common import batch, map_arrow, mix, utf8, written
 
 SLOTS = 4
 #: Keys to a shard, about; a shard's filter is a few times as many bytes.
 SHARD_KEYS = 4096
+#: Copies of a filter over which its postings are spread.
+SPREAD = 16
+#: Versions of a table after which they are folded into one.
+FOLD = 8
 
 
 class CuckooFilter:
@@ -84,7 +88,7 @@ class CuckooFilter:
                     break
                 k = rng.randint(SLOTS)
                 self.table[bucket, k], mark = mark, self.table[bucket, k]
-                bucket = int(self._other(np.int64(bucket), mark))
+                bucket = int(self._other(np.array([bucket]), np.array([mark]))[0])
             else:
                 return False
         return True
@@ -100,6 +104,7 @@ class CuckooFilter:
 
     @classmethod
     def build(cls, hashes: np.ndarray) -> CuckooFilter:
+        hashes = np.unique(hashes)  # more than eight equal ones fit no filter
         size = max(2, len(hashes) // 3)
         while True:
             out = cls(size)
@@ -118,14 +123,49 @@ def line_key(line: bytes, min_chars: int) -> tuple[int, int] | None:
 
 
 class LineIndex:
-    """postings: (k1, k2, doc_id); counts: (k1, k2, n, last); filters: (shard, data)."""
+    """Versions, oldest first. postings: (k1, k2, doc_id, gone); counts: (k1, k2, n, last); filters: (shard, data), which begin anew when shards are split."""
 
     def __init__(self, spark: SparkSession, min_docs: int = 3, min_chars: int = 20):
-        self.spark, self.min_docs, self.min_chars, self.shards = spark, min_docs, min_chars, 0
-        self.postings = spark.createDataFrame([], "k1 long, k2 long, doc_id long")
-        self.counts = spark.createDataFrame([], "k1 long, k2 long, n long, last long")
-        self.filters = spark.createDataFrame([], "shard long, data binary")
-        self.empty = True
+        self.spark, self.min_docs, self.min_chars = spark, min_docs, min_chars
+        self.shards, self.often = 1, 0
+        self.versions: dict[str, list[DataFrame]] = {"postings": [], "counts": [], "filters": []}
+
+    # ------------------------------------------------------------------ versions
+    def _empty(self, table: str) -> DataFrame:
+        return self.spark.createDataFrame([], {"postings": "k1 long, k2 long, doc_id long, gone boolean", "counts": "k1 long, k2 long, n long, last long", "filters": "shard long, data binary"}[table])
+
+    def _latest(self, table: str, of: DataFrame | None = None) -> DataFrame:
+        """The rows that count, of some keys where ``of`` gives them."""
+        keys = {"postings": ["k1", "k2", "doc_id"], "counts": ["k1", "k2"], "filters": ["shard"]}[table]
+        some = [x if of is None else x.join(of, of.columns, "left_semi") for x in self.versions[table]] or [self._empty(table)]
+        if len(some) > 1:
+            rest = [c for c in some[0].columns if c not in keys]
+            all_ = some[0].withColumn("_v", F.lit(0))
+            for v, x in enumerate(some[1:], 1):
+                all_ = all_.unionByName(x.withColumn("_v", F.lit(v)))
+            one = all_.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_v").alias("x")).select(*keys, "x.*")
+        else:
+            one = some[0]
+        return {"postings": lambda x: x.where("not gone"), "counts": lambda x: x.where("n > 0"), "filters": lambda x: x}[table](one)
+
+    def _put(self, table: str, rows: DataFrame) -> DataFrame:
+        out = written(rows.select(self._empty(table).columns), f"lines-{table}")
+        self.versions[table].append(out)
+        if len(self.versions[table]) > FOLD:
+            self.versions[table] = [written(self._latest(table), f"lines-{table}")]
+        return out
+
+    @property
+    def postings(self) -> DataFrame:
+        return self._latest("postings").select("k1", "k2", "doc_id")
+
+    @property
+    def counts(self) -> DataFrame:
+        return self._latest("counts")
+
+    @property
+    def filters(self) -> DataFrame:
+        return self._latest("filters")
 
     # ------------------------------------------------------------------ changes
     def _postings_of(self, docs: DataFrame) -> DataFrame:
@@ -152,81 +192,101 @@ class LineIndex:
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """Add documents; those whose ids are there already only add lines."""
-        new = written(self._postings_of(docs), "lines-new")
-        if self.empty:
-            self.empty = False
-            return self._replace(new, written(self._counted(new), "lines-counts"))
-        return self._recount(written(self.postings.unionByName(new), "lines-postings"), new)
+        first = not self.versions["postings"]
+        return self._recount(self._put("postings", self._postings_of(docs).withColumn("gone", F.lit(False))), first)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Remove the documents of these ids (a column doc_id)."""
         ids = doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-        gone = written(self.postings.join(ids, "doc_id", "left_semi"), "lines-gone")
-        return self._recount(written(self.postings.join(ids, "doc_id", "left_anti"), "lines-postings"), gone)
+        return self._recount(self._put("postings", self._latest("postings", ids).withColumn("gone", F.lit(True))))
+
+    def _recount(self, changed: DataFrame, first: bool = False) -> LineIndex:
+        """Counts and filters after a change of these postings. first: they are all there are."""
+        if first:
+            now = self._put("counts", self._counted(changed))
+            self.often = self._often(now).count()
+            return self._build()
+        keys = written(changed.select("k1", "k2").distinct(), "lines-keys")
+        was = self._latest("counts", keys).select("k1", "k2", F.lit(True).alias("was")).where(F.col("n") >= self.min_docs)
+        counted = keys.join(self._counted(self._latest("postings", keys)), ["k1", "k2"], "left").select("k1", "k2", F.coalesce("n", F.lit(0)).alias("n"), "last")
+        crossed = written(counted.join(was, ["k1", "k2"], "left").withColumn("now", F.col("n") >= self.min_docs).where("now != (was is not null)").select(self._shard(), "k1", "now"), "lines-crossed")
+        self._put("counts", counted)
+        self.often += crossed.agg(F.coalesce(F.sum(F.when(F.col("now"), 1).otherwise(-1)), F.lit(0))).first()[0]
+        if self.often > 2 * SHARD_KEYS * self.shards:
+            return self._build()
+
+        def change(key, filters: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+            k, now = rows.k1.to_numpy(np.int64), rows.now.to_numpy(bool)
+            f = CuckooFilter.load(filters.data.iloc[0]) if len(filters) else CuckooFilter.build(k[:0])
+            f.delete(k[~now])
+            return pd.DataFrame({"shard": [key[0]], "data": [f.dump() if f.insert(k[now]) else None]})
+
+        touched = crossed.select("shard").distinct()
+        new = self._latest("filters", touched).groupBy("shard").cogroup(crossed.groupBy("shard")).applyInPandas(change, "shard long, data binary")
+        new = written(new, "lines-changed")
+        full = new.where("data is null").select("shard")
+        if not full.isEmpty():  # these are built anew, larger, from the exact keys
+            exact = self._often(self.counts).select(self._shard(), "k1").join(F.broadcast(full), "shard", "left_semi")
+            new = new.where("data is not null").unionByName(self._built(exact))
+        self._put("filters", new)
+        return self
 
-    def _recount(self, postings: DataFrame, changed: DataFrame) -> LineIndex:
-        keys = changed.select("k1", "k2").distinct()
-        again = self._counted(postings.join(keys, ["k1", "k2"], "left_semi"))
-        rest = self.counts.join(keys, ["k1", "k2"], "left_anti")
-        return self._replace(postings.select("k1", "k2", "doc_id"), written(rest.unionByName(again), "lines-counts"))
+    def _shard(self):
+        return F.pmod("k1", F.lit(self.shards)).cast("long").alias("shard")
 
     def _often(self, counts: DataFrame) -> DataFrame:
         return counts.where(F.col("n") >= self.min_docs)
 
-    def _replace(self, postings: DataFrame, counts: DataFrame) -> LineIndex:
-        old, new = self._often(self.counts).select("k1", "k2"), self._often(counts).select("k1", "k2")
-        if not self.shards:
-            self.shards = max(16, -(-new.count() // SHARD_KEYS))
-        shard = F.pmod("k1", F.lit(self.shards)).alias("shard")
-        # a shard's changes stand beside its filter; the exact keys are there for when it must grow
-        both = new.withColumn("now", F.lit(True)).join(old.withColumn("was", F.lit(True)), ["k1", "k2"], "full").select(shard, "k1", "now", "was")
+    @staticmethod
+    def _built(keys: DataFrame) -> DataFrame:
+        """(shard, data) from (shard, k1); a shard has a few thousand keys."""
 
-        def change(key, filters: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-            k = rows.k1.to_numpy(np.int64)
-            now, was = rows.now.notna().to_numpy(), rows.was.notna().to_numpy()
-            if len(filters) and len(rows):
-                f = CuckooFilter.load(filters.data.iloc[0])
-                f.delete(k[was & ~now])
-                if not f.insert(k[now & ~was]):
-                    f = CuckooFilter.build(k[now])
-            elif len(filters):
-                f = CuckooFilter.load(filters.data.iloc[0])
-            else:
-                f = CuckooFilter.build(k[now])
-            return pd.DataFrame({"shard": [key[0]], "data": [f.dump()]})
+        def build(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"shard": [pdf.shard.iloc[0]], "data": [CuckooFilter.build(pdf.k1.to_numpy(np.int64)).dump()]})
 
-        filters = self.filters.groupBy("shard").cogroup(both.groupBy("shard")).applyInPandas(change, "shard long, data binary")
-        self.filters = written(filters, "lines-filters")
-        self.postings, self.counts = postings, counts
+        return keys.groupBy("shard").applyInPandas(build, "shard long, data binary")
+
+    def _build(self) -> LineIndex:
+        """All filters from the exact keys, in as many shards as they need."""
+        self.shards = max(16, -(-self.often // SHARD_KEYS))
+        self.versions["filters"] = []
+        self._put("filters", self._built(self._often(self.counts).select(self._shard(), "k1")))
         return self
 
     # ------------------------------------------------------------------ use
+    def _passed(self, postings: DataFrame) -> DataFrame:
+        """The postings (k1, k2, doc_id) whose key their shard's filter has."""
+        spread = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("copy")
+        none = F.lit(None).cast("long")
+        rows = self.filters.select("shard", spread, "data", none.alias("k1"), none.alias("k2"), none.alias("doc_id"))
+        asked = postings.select(self._shard(), F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).cast("int").alias("copy"), F.lit(None).cast("binary").alias("data"), "k1", "k2", "doc_id")
+
+        def make():
+            state: dict = {"key": None}
+
+            def run(b: pa.RecordBatch):
+                n = b.num_rows
+                key = b.column(0).to_numpy() * SPREAD + b.column(1).to_numpy()
+                has, keep = b.column(2).is_valid().to_numpy(zero_copy_only=False), np.zeros(n, bool)
+                k1 = b.column(3).fill_null(0).to_numpy()
+                edges = [0, *(np.flatnonzero((key[1:] != key[:-1]) | has[1:]) + 1).tolist(), n]
+                for a, z in zip(edges, edges[1:], strict=False):
+                    if z > a and has[a]:
+                        state.update(key=key[a], filter=CuckooFilter.load(b.column(2)[a].as_py()))
+                        a += 1
+                    if z > a and state["key"] == key[a]:  # a shard without a filter has no such keys
+                        keep[a:z] = state["filter"].contains(k1[a:z])
+                yield pa.RecordBatch.from_arrays(list(b.columns[3:]), names=["k1", "k2", "doc_id"]).filter(pa.array(keep))
+
+            return run
+
+        dealt = rows.unionByName(asked).repartition("shard", "copy").sortWithinPartitions("shard", "copy", F.col("data").isNull())
+        return map_arrow(dealt.select("shard", "copy", "data", "k1", "k2", "doc_id"), make, "k1 long, k2 long, doc_id long")
+
     def dropped(self, postings: DataFrame | None = None) -> DataFrame:
         """(doc_id, drops: array of keys) of the documents that lose lines."""
-        postings = self.postings if postings is None else postings
-        size = self.filters.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
-        if size <= BROADCAST_BYTES:
-            shards = self.shards
-            shared = self.spark.sparkContext.broadcast({r.shard: bytes(r.data) for r in self.filters.collect()})
-
-            def make():
-                filters = {k: CuckooFilter.load(v) for k, v in shared.value.items()}
-
-                def run(b: pa.RecordBatch):
-                    k1 = b.column(0).to_numpy(zero_copy_only=False)
-                    shard, keep = k1 % shards, np.zeros(len(k1), bool)
-                    order = np.argsort(shard, kind="stable")
-                    ends = np.flatnonzero(np.diff(shard[order], append=-1)) + 1
-                    for a, z in zip([0, *ends[:-1]], ends, strict=True):
-                        if (f := filters.get(int(shard[order[a]]))) is not None:
-                            keep[order[a:z]] = f.contains(k1[order[a:z]])
-                    yield b.filter(pa.array(keep))
-
-                return run
-
-            postings = map_arrow(postings.select("k1", "k2", "doc_id"), make, "k1 long, k2 long, doc_id long")
         often = written(self._often(self.counts).select("k1", "k2", "last"), "lines-often")
-        hits = postings.join(often, ["k1", "k2"]).where("doc_id != last")
+        hits = self._passed(self.postings if postings is None else postings).join(often, ["k1", "k2"]).where("doc_id != last")
         return written(hits.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("drops")), "lines-drops")
 
     def apply(self, docs: DataFrame, make_batch, columns: list, schema: str) -> DataFrame:

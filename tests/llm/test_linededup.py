@@ -79,3 +79,26 @@ def test_text_is_replaced_and_columns_stay(spark):
     got = out.collect()
     assert {(r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in got} == want and len(got) == len(rows)
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got)
+
+
+def test_many_changes_fold_and_split_shards(spark, monkeypatch):
+    monkeypatch.setattr(ld, "SHARD_KEYS", 4)
+    monkeypatch.setattr(ld, "FOLD", 3)
+    lines = [f"line number {k} that several documents share" for k in range(300)]
+    frame = lambda x: spark.createDataFrame(x, "doc_id long, text string")
+    rows = [(i, "\n".join(lines[(i // 3) * 20 : (i // 3) * 20 + 20])) for i in range(45)]
+    index = ld.LineIndex(spark).insert(frame(rows[:2]))
+    assert index.shards == 16 and index.dropped().count() == 0
+    for a, z in ((2, 9), (9, 30), (30, 45)):
+        index.insert(frame(rows[a:z]))
+    whole = ld.LineIndex(spark).insert(frame(rows))
+    state = lambda x: ({tuple(r) for r in x.counts.collect()}, {(r.doc_id, d.k1) for r in x.dropped().collect() for d in r.drops}, x.often)
+    assert index.shards > 16 and state(index) == state(whole) and index.often == 300
+    index.delete(frame(rows[3:]).select("doc_id"))
+    index.insert(frame(rows[3:5]))
+    assert state(index) == state(ld.LineIndex(spark).insert(frame(rows[:5])))
+    assert max(len(v) for v in index.versions.values()) <= 3 and index.postings.count() == 100
+
+
+def test_equal_keys_fit_a_filter():
+    assert ld.CuckooFilter.build(np.full(50, 7)).contains(np.array([7]))[0]
