@@ -19,7 +19,6 @@ import hashlib
 import json
 import struct
 import unicodedata
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +26,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolith.llm.common import batch, distinct_words, map_arrow, utf8
+from cartolith.llm.common import ARROW_ROWS, Words, batch, map_arrow, utf8
 
 NONE = np.int32(2**31 - 1)
 #: Entries of a worker's cache of encoded chunks; when full it is emptied, so results never depend on it.
 CACHE = 400_000
+#: Bytes of texts that are encoded at once.
+TOGETHER = 8 << 20
 
 
 def _byte_chars() -> list[str]:
@@ -43,6 +44,7 @@ def _byte_chars() -> list[str]:
 
 #: The parts of a vocabulary file that this encoder has code for.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 
 
@@ -57,6 +59,19 @@ def _pattern(spec: dict) -> str:
     return split["pattern"]["Regex"]
 
 
+#: Lower case of ASCII, and its classes: 0 letters, 1 digits, 2 all else.
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+_KIND = np.array([0 if chr(b).isalpha() else 1 if chr(b).isdigit() else 2 for b in range(128)] + [2] * 128, np.uint8)
+
+
+def _runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Places of runs that begin at first."""
+    ends = np.cumsum(count)
+    out = np.arange(ends[-1] if len(ends) else 0)
+    out += np.repeat(first - (ends - count), count)
+    return out
+
+
 class PairRanks:
     """Vectorised look-up from a pair of ids to its merge rank: open addressing in two arrays."""
 
@@ -139,7 +154,13 @@ class Encoder:
         self.inner = np.array([vocab.get(c, 0) for c in chars], np.int32)
         self.last = np.array([vocab.get(c + self.end, 0) for c in chars], np.int32)
         self.splits = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.pieces = regex.compile(_pattern(spec).replace(r"\s", r"\p{White_Space}") + r"|\n")
+        pattern = _pattern(spec)
+        self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}") + r"|\n")
+        #: bytes of chunks that are not taken apart by classes of bytes; all if the pattern is not the one this has code for
+        self.hard = np.ones(256, bool)
+        if pattern == PATTERN:
+            self.hard[:128] = False
+            self.hard[[39, *(x.encode()[0] for x in self.special)]] = True
 
     def prepare(self, chunks: list[bytes]) -> list[list[bytes | int]]:
         """The pieces of each chunk in UTF-8; the ids of special tokens in their places."""
@@ -186,12 +207,9 @@ class Encoder:
         return [x for x in ids if x >= 0]
 
     # -------------------------------------------------------------- many short pieces, a row each
-    def _encode_rows(self, pieces: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (-1: swallowed) of pieces of 2..width bytes as rows; width is a power of two."""
-        n = len(pieces)
-        length = np.fromiter(map(len, pieces), np.int32, n)
-        raw = np.zeros((n, width), np.uint8)
-        raw[np.arange(width) < length[:, None]] = np.frombuffer(b"".join(pieces), np.uint8)
+    def _encode_rows(self, raw: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (-1: swallowed) of pieces as rows of bytes; the width is a power of two, from 2 on."""
+        n, width = raw.shape
         rows = np.arange(n)
         ids = self.inner[raw]
         ids[rows, length - 1] = self.last[raw[rows, length - 1]]
@@ -245,86 +263,157 @@ class Encoder:
         kept = ids >= 0
         return ids[kept], kept.sum(1)
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        out: list = [None] * len(pieces)
-        groups: dict[int, list[int]] = {}
-        for i, p in enumerate(pieces):
-            groups.setdefault(0 if len(p) < 2 else max(2, 1 << (len(p) - 1).bit_length()), []).append(i)
-        for width, who in groups.items():
-            if width == 0 or width > 64:
-                for i in who:
-                    out[i] = self.encode_long(pieces[i])
+    def encode_words(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, one after another, and how many each has."""
+        n, length = len(words.size), words.size.astype(np.int32)
+        # the power of two that holds a piece; 1: a single byte, 0: a tree of its own
+        width = np.where(length > 64, 0, 1 << np.ceil(np.log2(np.maximum(length, 1))).astype(np.int64))
+        buf, count = np.frombuffer(words.raw, np.uint8), np.zeros(n, np.int64)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        for w in np.unique(width).tolist():
+            who = np.flatnonzero(width == w)
+            if w == 0:
+                found = [self.encode_long(words.word(i)) for i in who.tolist()]
+                count[who] = [len(f) for f in found]
+                done.append((who, np.array([x for f in found for x in f], np.int32)))
+                continue
+            if w == 1:
+                count[who] = 1
+                done.append((who, self.last[buf[words.starts[who]]]))
                 continue
-            step = max(1, (1 << 17) // width)
+            step = max(1, (1 << 17) // w)
             for s in range(0, len(who), step):
                 some = who[s : s + step]
-                ids, n = self._encode_rows([pieces[i] for i in some], width)
-                ids, at = ids.tolist(), 0
-                for i, m in zip(some, n.tolist(), strict=True):
-                    out[i] = ids[at : at + m]
-                    at += m
-        return out
-
-    def encode_chunks(self, chunks: list[bytes]) -> list[list[int]]:
+                inside = np.arange(w) < length[some][:, None]
+                raw = np.where(inside, buf[np.minimum(words.starts[some][:, None] + np.arange(w), len(buf) - 1)], 0)
+                ids, count[some] = self._encode_rows(raw, length[some])
+                done.append((some, ids))
+        out = np.empty(count.sum(), np.int32)
+        first = np.cumsum(count) - count
+        for who, ids in done:
+            out[_runs(first[who], count[who])] = ids
+        return out, count
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece as little-endian unsigned 32-bit integers."""
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        starts = np.concatenate([[0], ends])[:-1]
+        ids, count = self.encode_words(Words(b"".join([*pieces, b" " * 8]), starts, ends))
+        raw, at = ids.astype("<u4").tobytes(), (4 * np.cumsum(count)).tolist()
+        return [raw[a:z] for a, z in zip([0, *at], at, strict=False)]
+
+    def encode_easy(self, words: Words, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks without hard bytes, one after another, and how many each has. By classes of ASCII bytes: letters
+        are a piece together, each digit is one, and all else together."""
+        size = words.size[who]
+        buf = _LOWER[np.frombuffer(words.raw, np.uint8)[_runs(words.starts[who], size)]]
+        kind = _KIND[buf]
+        edge = np.ones(len(buf), bool)
+        edge[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 1)
+        first = np.cumsum(size) - size
+        edge[first] = True
+        starts = np.flatnonzero(edge)
+        pieces = Words(buf.tobytes() + b" " * 8, starts, np.append(starts[1:], len(buf)))
+        codes, one = pieces.distinct()
+        ids, count = self.encode_words(Words(pieces.raw, pieces.starts[one], pieces.ends[one]))
+        at, n = np.cumsum(count) - count, count[codes]
+        return ids[_runs(at[codes], n)], np.add.reduceat(n, np.searchsorted(starts, first)) if len(who) else n
+
+    def encode_chunks(self, chunks: list[bytes]) -> list[bytes]:
         """Ids of each chunk, a text without white space of ASCII at least. White space ends pieces, so a text's ids
         are those of its chunks in turn."""
         parts = self.prepare(chunks) if chunks else []
         distinct = list({p for ps in parts for p in ps if p.__class__ is bytes})
         known: dict = dict(zip(distinct, self.encode_pieces(distinct), strict=True))
-        known |= {i: [i] for i in self.special.values()}
-        return [known[ps[0]] if len(ps) == 1 else [i for p in ps for i in known[p]] for ps in parts]
+        known |= {i: struct.pack("<I", i) for i in self.special.values()}
+        return [known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps]) for ps in parts]
 
     def encode(self, text: str) -> list[int]:
-        return [i for c in self.encode_chunks(text.encode().split()) for i in c]
+        return encode_batch(Cache(self), [text.encode()])[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The file names no decoder: its library puts a space between the tokens' strings."""
         return " ".join([self.strings[i] for i in ids])
 
 
+def unpacked(ids: bytes) -> list[int]:
+    return list(struct.unpack(f"<{len(ids) // 4}I", ids))
+
+
 @functools.lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
 class Cache(dict):
-    """What render() makes of the ids of each chunk seen; emptied when it is full."""
+    """Ids of hard chunks seen, as bytes; emptied when it is full. One to a worker process, which tasks share."""
 
-    def __init__(self, path: str, render):
+    def __init__(self, own: Encoder):
         super().__init__()
-        self.encoder, self.render = encoder(path), render
+        self.encoder = own
 
-    def of(self, texts: list[bytes]) -> Iterator[list]:
-        """Of each text, what its chunks are rendered to. Each distinct chunk of the batch is looked up once."""
-        chunks, codes, offsets = distinct_words(texts)
+    def of(self, chunks: list[bytes]) -> list[bytes]:
         new = [c for c in chunks if c not in self]
         if len(self) + len(new) > CACHE:
             self.clear()
             new = chunks
-        for c, ids in zip(new, self.encoder.encode_chunks(new), strict=True):
-            self[c] = self.render(ids)
-        made = [self[c] for c in chunks]
-        all_codes, at = codes.tolist(), offsets.tolist()
-        for a, z in zip(at, at[1:], strict=False):
-            yield [made[i] for i in all_codes[a:z]]
+        self.update(zip(new, self.encoder.encode_chunks(new), strict=True))
+        return [self[c] for c in chunks]
 
 
 @functools.lru_cache(maxsize=4)
-def id_bytes(path: str) -> Cache:
-    """Chunk to its ids as little-endian unsigned 32-bit integers. One to a worker process, which tasks share."""
-    return Cache(path, lambda ids: struct.pack(f"<{len(ids)}I", *ids))
+def cache(path: str) -> Cache:
+    return Cache(encoder(path))
+
+
+def encode_batch(known: Cache, texts: list[bytes]) -> list[np.ndarray]:
+    """Each text's ids. Distinct chunks are encoded once; then their ids are put in a row for all texts at once."""
+    words, offsets = Words.of(texts)
+    codes, one = words.distinct()
+    words = Words(words.raw, words.starts[one], words.ends[one])
+    hard = np.concatenate([[0], np.cumsum(known.encoder.hard[np.frombuffer(words.raw, np.uint8)])])
+    hard = hard[words.ends] != hard[words.starts]
+    easy, other = np.flatnonzero(~hard), np.flatnonzero(hard)
+    ids, count = known.encoder.encode_easy(words, easy)
+    found = known.of([words.word(i) for i in other.tolist()])
+    ids = np.concatenate([ids, np.frombuffer(b"".join(found), "<u4").astype(np.int32)])
+    size, first = np.empty(len(one), np.int64), np.empty(len(one), np.int64)
+    size[easy], size[other] = count, np.fromiter(map(len, found), np.int64, len(found)) // 4
+    order = np.concatenate([easy, other])
+    first[order] = np.cumsum(size[order]) - size[order]
+    n = size[codes]
+    out = ids[_runs(first[codes], n)]
+    edges = np.concatenate([[0], np.cumsum(n)])[offsets].tolist()
+    return [out[a:z] for a, z in zip(edges, edges[1:], strict=False)]
+
+
+def in_batches(df: DataFrame, make_rows, schema: str) -> DataFrame:
+    """make_rows() gives a function from (ids column, texts) to record batches; it gets about TOGETHER bytes of texts at once."""
 
+    def make():
+        rows = make_rows()
+        held: list[pa.RecordBatch] = []
 
-@functools.lru_cache(maxsize=4)
-def rendered(path: str) -> Cache:
-    """Chunk to its ids and to its decoded text, each as UTF-8 with spaces between."""
-    enc = encoder(path)
-    return Cache(path, lambda ids: (" ".join(map(str, ids)), enc.decode(ids)))
+        def flush():
+            if held:
+                one = pa.Table.from_batches(held).combine_chunks()
+                held.clear()
+                yield from rows(one.column(0).combine_chunks(), one.column(1).to_pylist())
+
+        def run(b: pa.RecordBatch):
+            held.append(b)
+            if sum(x.nbytes for x in held) >= TOGETHER:
+                yield from flush()
 
+        def close():
+            yield from flush()
+            if hasattr(rows, "close"):
+                yield from rows.close()
+
+        run.close = close
+        return run
 
-def encode_batch(cache: Cache, texts: list[bytes]) -> list[bytes]:
-    """Each text's ids as bytes, by the id_bytes cache."""
-    return [b"".join(x) for x in cache.of(texts)]
+    return map_arrow(df, make, schema)
 
 
 def bpe_encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -332,34 +421,32 @@ def bpe_encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     kind = df.schema[id_col].dataType.simpleString()
 
     def make():
-        cache = id_bytes(path)
+        known = cache(path)
 
-        def run(b: pa.RecordBatch):
-            ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in encode_batch(cache, b.column(1).to_pylist())]
-            yield batch(id=b.column(0), ids=pa.array(ids, pa.list_(pa.int32())), decoded=[cache.encoder.decode(x.tolist()) for x in ids])
+        def rows(own, texts):
+            ids = encode_batch(known, texts)
+            for k in range(0, len(ids), ARROW_ROWS):
+                some = ids[k : k + ARROW_ROWS]
+                yield batch(id=own.slice(k, ARROW_ROWS), ids=pa.array(some, pa.list_(pa.int32())), decoded=[known.encoder.decode(x.tolist()) for x in some])
 
-        return run
+        return rows
 
-    return map_arrow(df.select(F.col(id_col), utf8(text_col)), make, f"{id_col} {kind}, ids array<int>, decoded string")
+    return in_batches(df.select(F.col(id_col), utf8(text_col)), make, f"{id_col} {kind}, ids array<int>, decoded string")
 
 
 def bpe_digest(df: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): what bpe_encode makes, as digests. One narrow stage, no shuffle."""
 
     def make():
-        cache = rendered(path)
+        known = cache(path)
+        numbers = [str(i) for i in range(max(known.encoder.strings, default=0) + 1)]
+        sha = hashlib.sha256
 
-        def run(b: pa.RecordBatch):
-            sha = hashlib.sha256
-            n, a, z = [], [], []
-            for both in cache.of(b.column(1).to_pylist()):
-                both = [x for x in both if x[0]]
-                ids = " ".join([x[0] for x in both])
-                n.append(ids.count(" ") + 1 if ids else 0)
-                a.append(sha(ids.encode()).hexdigest())
-                z.append(sha(" ".join([x[1] for x in both]).encode()).hexdigest())
-            yield batch(doc_id=b.column(0), n_tokens=pa.array(n, pa.int64()), ids_sha256=a, decoded_sha256=z)
+        def rows(own, texts):
+            ids = [x.tolist() for x in encode_batch(known, texts)]
+            digest = lambda strings, x: sha(" ".join([strings[i] for i in x]).encode()).hexdigest()
+            yield batch(doc_id=own, n_tokens=pa.array([len(x) for x in ids], pa.int64()), ids_sha256=[digest(numbers, x) for x in ids], decoded_sha256=[digest(known.encoder.strings, x) for x in ids])
 
-        return run
+        return rows
 
-    return map_arrow(df.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_batches(df.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -7,9 +7,7 @@ to get the words or line keys that the operators are defined on.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
+import contextlib
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -20,8 +18,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartolith.plans.iterate import dropped, shared_dir
+
 #: Rows in an Arrow batch: bounds what a Python worker holds when texts are long.
 ARROW_ROWS = 512
+ARROW_BYTES = 16 << 20
 #: Rows in a batch that goes back.
 OUT_ROWS = 1 << 15
 #: A table is broadcast only when it has at most so many bytes; beyond, it is joined by shuffle.
@@ -29,28 +30,17 @@ BROADCAST_BYTES = 64 << 20
 
 
 def configure(spark: SparkSession) -> None:
-    """Bound the Arrow batches, which hold whole texts."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") or 0) != ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-
-
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        own = tempfile.mkdtemp(prefix="cartolith-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        found = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    """Bound the Arrow batches, which hold whole texts, by rows and bytes. Results are made lazily, so this holds for the
+    session from the first operator on; smaller bounds of the session's own are kept."""
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        own = int(str(spark.conf.get(name)).rstrip("b"))
+        if not 0 < own <= most:
+            spark.conf.set(name, str(most))
 
 
 def fresh(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -58,14 +48,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Remove tables that written() gave, once nothing reads them any more."""
+    for x in tables:
+        dropped(x.sparkSession, x.written_at)
 
 
-def drop_written(spark: SparkSession, path: str) -> None:
-    """Remove a folder below the shared one."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Within, a query's shuffle files are removed at its end: for steps whose result is written at once.
+
+    While a query runs a lost executor's part is made again as ever; afterwards the written table is what counts."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -147,18 +155,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Words:
-    """The words of texts in one buffer, to be read 8 bytes at a time."""
+class Words:
+    """Words in one buffer, by where they begin and end, to be read 8 bytes at a time. raw has 8 bytes more than it needs."""
+
+    def __init__(self, raw: bytes, starts: np.ndarray, ends: np.ndarray):
+        self.raw, self.starts, self.ends, self.size = raw, starts, ends, ends - starts
+        self._hashes: np.ndarray | None = None
+        self._eight = np.lib.stride_tricks.as_strided(np.frombuffer(raw, "<u8", 1), (len(raw) - 7,), (1,))
 
-    def __init__(self, docs: list[bytes]):
-        self.raw = b" ".join([b"", *docs, b" " * 8])
-        buf = np.frombuffer(self.raw, np.uint8)
-        space = _SPACE[buf]
+    @classmethod
+    def of(cls, docs: list[bytes]) -> tuple[Words, np.ndarray]:
+        """The words between white space, and where each document's words begin (one more entry than documents)."""
+        raw = b" ".join([b"", *docs, b" " * 8])
+        space = _SPACE[np.frombuffer(raw, np.uint8)]
         at = np.flatnonzero(space[1:] != space[:-1]) + 1
-        self.starts, self.ends = at[0::2], at[1::2]
-        self.size = self.ends - self.starts
-        self.offsets = np.searchsorted(self.starts, np.cumsum([1, *(len(d) + 1 for d in docs)]))
-        self._eight = np.lib.stride_tricks.as_strided(np.frombuffer(self.raw, "<u8", 1), (len(buf) - 7,), (1,))
+        starts = at[0::2]
+        return cls(raw, starts, at[1::2]), np.searchsorted(starts, np.cumsum([1, *(len(d) + 1 for d in docs)]))
 
     def word(self, i: int) -> bytes:
         return self.raw[self.starts[i] : self.ends[i]]
@@ -169,6 +181,11 @@ class _Words:
 
     def hashes(self) -> np.ndarray:
         """A block after another is mixed in, so no algebra of the bytes makes two words collide."""
+        if self._hashes is None:
+            self._hashes = self._hashed()
+        return self._hashes
+
+    def _hashed(self) -> np.ndarray:
         out = mix(self.size.astype(np.uint64) * _P + np.uint64(1))
         left, k = np.flatnonzero(self.size <= LONG_WORD), 0
         while len(left):
@@ -196,24 +213,31 @@ class _Words:
         return True
 
 
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's place among the distinct ones, and which word is the first of each.
+
+        Words of equal hash are compared byte by byte; if any two differ they are told apart by the words themselves."""
+        codes, distinct = pd.factorize(self.hashes())
+        first = np.empty(len(distinct), np.int64)
+        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+        if not self.same(np.arange(len(codes)), first[codes]):
+            codes, chunks = pd.factorize(np.array([self.word(i) for i in range(len(codes))], object))
+            first = np.empty(len(chunks), np.int64)
+            first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+        return codes, first
+
+
 def word_hashes(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, and where each document's words begin (one more entry than documents)."""
-    words = _Words(docs)
-    return words.hashes(), words.offsets
+    words, offsets = Words.of(docs)
+    return words.hashes(), offsets
 
 
 def distinct_words(docs: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The batch's distinct words, each word's place among them, and where each document's words begin.
-
-    Words of equal hash are compared byte by byte; if any two differ the batch is told apart by the words themselves."""
-    words = _Words(docs)
-    codes, distinct = pd.factorize(words.hashes())
-    first = np.empty(len(distinct), np.int64)
-    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-    if not words.same(np.arange(len(codes)), first[codes]):
-        codes, chunks = pd.factorize(np.array([words.word(i) for i in range(len(codes))], object))
-        return list(chunks), codes, words.offsets
-    return [words.raw[a:z] for a, z in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)], codes, words.offsets
+    """The batch's distinct words, each word's place among them, and where each document's words begin."""
+    words, offsets = Words.of(docs)
+    codes, first = words.distinct()
+    return [words.raw[a:z] for a, z in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)], codes, offsets
 
 
 _Q = _RNG.randint(0, 2**62, 64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
