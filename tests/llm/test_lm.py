@@ -32,7 +32,7 @@ def tokens(t):
     return (t or "").encode().lower().split()
 
 
-def brute(rows, share):
+def brute(rows, least):
     """The automaton's scores from plain dictionaries, one token after another."""
     train = [tokens(t) for i, t in rows if not held(i)]
     uni, bi, tri = Counter(), Counter(), Counter()
@@ -42,11 +42,10 @@ def brute(rows, share):
         bi.update(zip(s, s[1:], strict=False))
         tri.update(zip(s, s[1:], s[2:], strict=False))
     n, v = sum(uni.values()), len(uni)
-    least = max(2, math.ceil(share * n))
     d = lm.D
-    words = {w for w in uni if uni[w] >= least} | {None}
-    bi = {k: c for k, c in bi.items() if c >= least and set(k) <= words}
-    tri = {k: c for k, c in tri.items() if c >= least and k[:2] in bi and k[1:] in bi}
+    words = set(uni) | {None}
+    bi = {k: c for k, c in bi.items() if c >= least}
+    tri = {k: c for k, c in tri.items() if c >= least}
     grams = Counter()
     for t in train:
         for w in t:
@@ -92,13 +91,15 @@ def brute(rows, share):
     return out, p3, words, uni
 
 
-@pytest.mark.parametrize("share", [2.0**-18, 2.0**-7])
-def test_like_brute_force(spark, share):
+@pytest.mark.parametrize(("least", "block", "shard"), [(2, 8 << 20, 1 << 18), (2, 2000, 300), (5, 5000, 1000), (1, 5000, 1 << 18)])
+def test_like_brute_force(spark, monkeypatch, least, block, shard):
+    monkeypatch.setattr(lm, "BLOCK", block)
+    monkeypatch.setattr(lm, "SHARD", shard)
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as score", "2 as block", "3 as n").repartition(3)
     key = lambda r: (r[0] is None, r[0] or 0)
-    got = sorted((tuple(r) for r in lm.score(df, share).collect()), key=key)
-    want, p3, words, uni = brute(rows, share)
+    got = sorted((tuple(r) for r in lm.score(df, least).collect()), key=key)
+    want, p3, words, uni = brute(rows, least)
     want.sort(key=key)
     assert len(got) == len(want)
     for g, w in zip(got, want, strict=True):
@@ -147,3 +148,16 @@ def test_ngrams_seen_twice_count_at_any_size(spark):
     end = uni / 2 + d / 2 * (uni / 2 + d / 2 * (1502 - d + 1) / (n + 2))
     assert [r.train_tokens for r in got] == [n]
     assert abs(got[0].score - sum(math.log10(p) for p in (p1, p2, p3, end))) < 1e-9
+
+
+def test_packed_arrays():
+    rng = np.random.RandomState(1)
+    for arrays in ([np.zeros(0, np.uint64)] * 2, [np.sort(rng.randint(0, 2**63, 500).astype(np.uint64)), rng.randint(0, 300, 500).astype(np.uint64)], [np.array([2**64 - 1], np.uint64), np.zeros(1, np.uint64)]):
+        assert all((a == b).all() for a, b in zip(lm.unpacked(lm.packed(*arrays), 2), arrays, strict=True))
+
+
+def test_a_long_text_is_one_block(spark):
+    text = " ".join(str(i % 70_001) for i in range(2_000_000))
+    ids = [i for i in range(50) if not held(i)][:2]
+    got = lm.score(spark.createDataFrame([(i, text) for i in ids], "doc_id long, text string").coalesce(1)).collect()
+    assert [r.n_known for r in got] == [2_000_001] * 2 and got[0].score == got[1].score > got[0].base_score
