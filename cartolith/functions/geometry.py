@@ -66,6 +66,21 @@ def centroid(ring: Column) -> Column:
     return F.when(F.coalesce(a6, F.lit(0.0)) != 0, point(cx / F.nullif(a6, F.lit(0.0)), cy / F.nullif(a6, F.lit(0.0)))).otherwise(flat)
 
 
+def geometry_centroid(geometry: Column) -> Column:
+    """Of struct(gtype, rings, parts): polygons by area, holes taken off; lines by length; points, and what has no extent, by their mean.
+
+    parts are the places of the rings that begin a part: the others of a polygon are its holes."""
+    rings, kind = geometry.rings, geometry.gtype
+    total = lambda a: F.aggregate(a, F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("w")), lambda s, v: F.struct((s.x + v.x * v.w).alias("x"), (s.y + v.y * v.w).alias("y"), (s.w + v.w).alias("w")))
+    weighed = lambda p, w: F.struct(p.x.alias("x"), p.y.alias("y"), w.alias("w"))
+    area = lambda r, i: weighed(centroid(r), polygon_area(r) * F.when(F.array_contains(geometry.parts, i), 1.0).otherwise(-1.0))
+    middle = lambda r: F.transform(_edges(r), lambda e: F.struct(((e.x + e.u) / 2).alias("x"), ((e.y + e.v) / 2).alias("y"), F.hypot(e.u - e.x, e.v - e.y).alias("w")))
+    each = F.transform(F.flatten(rings), lambda p: F.struct(p.x.alias("x"), p.y.alias("y"), F.lit(1.0).alias("w")))
+    chosen = F.when(kind.endswith("Polygon"), total(F.transform(rings, area))).when(kind.endswith("LineString"), total(F.flatten(F.transform(rings, middle))))
+    chosen = F.when(chosen.w > 0, chosen).otherwise(total(each))
+    return F.when(chosen.w > 0, F.struct((chosen.x / chosen.w).alias("x"), (chosen.y / chosen.w).alias("y")))
+
+
 def within_polygon(x, y, ring: list[tuple[float, float]]) -> Column:
     """Strictly inside a ring given by its corners: odd number of crossings, and on no edge."""
     x, y = _c(x), _c(y)

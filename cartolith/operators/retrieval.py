@@ -14,7 +14,6 @@ from pyspark.sql.window import Window
 
 from cartolith.functions import geometry as g
 from cartolith.operators.spatial_query import within_distance
-from cartolith.plans.iterate import saved
 
 
 def hash_vector(text: str, dim: int = 384) -> list[float]:
@@ -61,10 +60,14 @@ def top_k(store: DataFrame, query: list[float], k: int = 5, id_col: str = "id",
     return store.withColumn("distance", cosine_distance(vector, q)).orderBy("distance", id_col).limit(k)
 
 
+#: Queries that are sent to all tasks together.
+MOST_QUERIES = 50_000
+
+
 def top_k_batch(store: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "id", vector: str = "embedding") -> DataFrame:
-    """For a bounded batch of queries (query_id, query_vector), at most 1,000 of them."""
-    if queries.limit(1001).count() > 1000:
-        raise ValueError("deal larger query sets in batches of 1,000")
+    """For a bounded batch of queries (query_id, query_vector), at most ``MOST_QUERIES`` of them, which are broadcast."""
+    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"deal larger query sets in batches of {MOST_QUERIES}")
     pairs = store.join(F.broadcast(queries)).withColumn("distance", cosine_distance(vector, "query_vector"))
     w = Window.partitionBy("query_id").orderBy("distance", id_col)
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("query_vector")
@@ -158,7 +161,3 @@ EXAMPLES = [
     ("bbox", "a box", {"min_lat": 40.0, "min_lon": -75.0, "max_lat": 41.0, "max_lon": -73.0}),
 ]
 
-
-def keep(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a store that was changed many times."""
-    return saved(df, "store")

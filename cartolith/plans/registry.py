@@ -15,7 +15,7 @@ from cartolith.functions import geometry as g
 from cartolith.operators import chunking, network, population, retrieval, spatial_query, spatial_stats, temporal, terrain, weather
 from cartolith.plans import runner
 from cartolith.plans.fixtures import view, with_views
-from cartolith.sources import samples, sinks
+from cartolith.sources import samples, sinks, vector
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -312,7 +312,8 @@ add("vulnerability", "links", network.vulnerability, f"{_cc}, s as (select compo
 _bfs = """with recursive adj as (select distinct u, v from (select u, v from links union select v, u from links) where u<>v),
     d(source, node, hops, paths) using key (source, node) as (select distinct u, u, 0, 1e0 from adj union
       select f.source, adj.v, f.hops+1, sum(f.paths) from d f join adj on adj.u=f.node left join recurring.d o on o.source=f.source and o.node=adj.v where o.hops is null group by f.source, adj.v, f.hops)"""
-add("closeness_std", "links", network.closeness_std, f"{_bfs} select source as node, R(count(*)/cast(sum(hops) as double)) as score from d where hops>0 group by source")
+_closeness = f"{_bfs} select source as node, R(count(*)/cast(sum(hops) as double)) as score from d where hops>0 group by source"
+add("closeness_std", "links", network.closeness_std, _closeness)
 add("betweenness_std", "links", network.betweenness_std, f"""{_bfs} select a.node, R(sum(a.paths*b.paths/t.paths)/2) as score from d t join d a on a.source=t.source and a.hops>0 and a.hops<t.hops
     join d b on b.source=a.node and b.node=t.node and a.hops+b.hops=t.hops where t.hops>1 group by a.node""")
 
@@ -326,8 +327,54 @@ add("raster_scan", "dem", lambda d: sinks.raster_round_trip(d), "select r, c, R(
 add("write_geojson", "points", lambda p: sinks.geojson_written(p.select("feature_id", "name", "lon", "lat")), "select count(*) as features, count(distinct feature_id) as ids, R(sum(lon)) as lon, R(sum(lat)) as lat from points")
 add("sample_weather", "points", lambda p: samples.station_grid(p.sparkSession).groupBy("latitude", "longitude").agg(F.count("*").alias("n")))
 add("sample_points", "points", lambda p: samples.points(p.sparkSession, 100).select("id", "population"))
-add("comprehensive", "points", lambda p: runner.AnalysisManager(p, id_col="feature_id").run(["spatial", "population"], {"numeric": "val", "radius": 10.0, "cell": 30.0}))
+# each family over the role that it is made for; the metrics that SQL has in one line are compared
+_FAMILIES = {"points": ("feature_id", "lon", "lat"), "weather": ("event_id", "longitude", "latitude"), "dem": ("r", "c", "r"), "ages": ("population", "age", "population"), "network": ("link_id", "ux", "uy")}
+
+
+def _managed(role: str, df: DataFrame, families: list[str], **params) -> runner.AnalysisManager:
+    m = runner.AnalysisManager(df, *_FAMILIES[role])
+    m.run(families, params)
+    return m
+
+
+def _store(v: DataFrame) -> DataFrame:
+    """A store that is made, added to, deleted from and searched."""
+    spark = v.sparkSession
+    rows = v.select(F.col("vec_id").cast("string").alias("id"), "embedding")
+    store = retrieval.VectorStore(spark, sinks.fresh(v, "store"))
+    store.add(rows.where("vec_id % 3 = 0"))
+    store.add(rows)
+    store.delete(["1", "2"])
+    return store.query(_Q0(v), 10).select("id", "distance")
+
+
+def _examples(p: DataFrame) -> DataFrame:
+    return p.sparkSession.createDataFrame([(i, k, t) for i, (k, t, _) in enumerate(retrieval.EXAMPLES)], "i int, kind string, text string")
+
+
+def _read_vector(p: DataFrame) -> DataFrame:
+    """The dispatcher over what the writers made, by suffix."""
+    path = sinks.fresh(p, "any") + ".geojson"
+    sinks.write_geojson(sinks.feature_lines(p.select("feature_id", "name", "lon", "lat")), path)
+    return vector.centroids(vector.read_vector(p.sparkSession, path)).agg(F.count("*").alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y"))
+
+
+_all = ["spatial", "temporal", "elevation", "weather", "population", "transport"]
+add("comprehensive", "points", lambda p: _managed("points", p, _all, numeric="val", radius=10.0, cell=30.0, time="never").all_metrics())
+add("family_temporal", "weather", lambda w: _managed("weather", w, ["temporal"], time="obs_ts", numeric="temperature").all_metrics())
+add("family_weather", "weather", lambda w: _managed("weather", w, ["weather"]).all_metrics().where("metric in ('mean', 'max', 'min')"), " union all ".join(f"select 'weather_{k}' as analysis_type, '{m}' as metric, R({f}({c})) as value from weather" for k, c in (("temperature", "temperature"), ("precipitation", "precipitation"), ("wind", "wind_speed")) for m, f in (("mean", "avg"), ("max", "max"), ("min", "min"))))
+add("family_elevation", "dem", lambda d: _managed("dem", d, ["elevation"]).all_metrics())
+add("family_population", "ages", lambda a: _managed("ages", a, ["population"], numeric="population").all_metrics().where("analysis_type = 'population_statistics' and metric in ('total', 'mean', 'n')"), "select 'population_statistics' as analysis_type, 'total' as metric, R(sum(population)) as value from ages union all select 'population_statistics', 'mean', R(avg(population)) from ages union all select 'population_statistics', 'n', R(count(population)) from ages")
+add("family_transport", "network", lambda n: _managed("network", n, ["transport"]).all_metrics().where("analysis_type = 'transport_connectivity' and metric in ('links', 'nodes')"), "select 'transport_connectivity' as analysis_type, 'links' as metric, R(count(*)) as value from network union all select 'transport_connectivity', 'nodes', R(count(*)) from (select ux, uy from network union select vx, vy from network)")
+add("run_summary", "points", lambda p: _managed("points", p, _all, numeric="val", time="never").summary(), "select cast(6 as bigint) as total, cast(2 as bigint) as succeeded, cast(4 as bigint) as failed")
+add("run_status", "points", lambda p: p.sparkSession.createDataFrame([_managed("points", p, _all, numeric="val", time="never").status()], "runs long, families long, failed long"), "select cast(1 as bigint) as runs, cast(6 as bigint) as families, cast(4 as bigint) as failed")
+add("report", "network", lambda n: n.sparkSession.createDataFrame([(i, x) for i, x in enumerate(_managed("network", n, ["transport"]).report("transport").split("\n"))], "i int, line string").where("line like '%connectivity links%'").select(F.trim("line").alias("line")), "select 'connectivity links: ' || format('{:.4f}', cast(count(*) as double)) as line from network")
+add("centrality", "links", lambda n: network.centrality(n, "closeness"), _closeness)
+add("vector_store", "vectors", _store, f"select id, R(d) as distance from (select cast(e.vec_id as varchar) as id, {_dist} as d {_from} where e.vec_id not in (1, 2)) order by d, id limit 10")
+add("example_queries", "points", _examples)
+add("read_vector", "points", _read_vector, "select count(*) as n, R(sum(lon)) as x, R(sum(lat)) as y from points")
+add("to_centroids", "areas", lambda a: vector.centroids(_box(a).select("area_id", F.struct(F.lit("Polygon").alias("gtype"), F.array("ring").alias("rings"), F.array(F.lit(0)).alias("parts")).alias("geometry"))).select("area_id", "x", "y"), "select area_id, R(minx+5) as x, R(miny+5) as y from areas")
+add("detect_columns", "weather", lambda w: w.sparkSession.createDataFrame([(k, spatial_query.detect_column(w.columns, v)) for k, v in runner.KEYWORDS.items()], "what string, column string").where("column is not null"), "select 'weather' as what, 'temperature' as column")
 add("export_metrics", "weather", lambda w: runner.metrics({"temperature": weather.temp_stats(w, "temperature"), "precipitation": weather.precip_stats(w, "precipitation")}), " union all ".join(f"select '{k}' as analysis_type, '{m}' as metric, R({e}) as value from weather" for k, c, ms in (("temperature", "temperature", ("mean", "std", "max", "min", "median", "range")), ("precipitation", "precipitation", ("total", "mean", "std", "max", "min", "median", "dry", "wet", "n"))) for m, e in ((m, {"mean": f"avg({c})", "std": f"stddev_samp({c})", "max": f"max({c})", "min": f"min({c})", "median": f"median({c})", "range": f"max({c})-min({c})", "total": f"sum({c})", "dry": f"cast(count(*) filter (where {c}=0) as double)", "wet": f"cast(count(*) filter (where {c}>0) as double)", "n": f"cast(count({c}) as double)"}[m]) for m in ms)))
-add("run_summary", "points", lambda p: runner.summary(p.sparkSession, {"spatial": None, "temporal": "no time column", "population": None}), "select cast(3 as bigint) as total, cast(2 as bigint) as succeeded, cast(1 as bigint) as failed")
 
 assert math.isclose(RAD, 27.027027027027028)

@@ -14,6 +14,7 @@ from cartolith.operators.spatial_query import detect_column
 
 # fixed values: keywords by which columns are found
 KEYWORDS = {"time": ["time", "date", "timestamp"], "elevation": ["elevation", "height", "dem", "altitude"], "weather": ["temperature", "precipitation", "wind"], "population": ["population", "pop", "density"], "age": ["age"]}
+NUMERIC = ("double", "float", "int", "bigint", "boolean")
 METRICS = "analysis_type string, metric string, value double"
 
 
@@ -21,7 +22,7 @@ def metrics(results: dict[str, DataFrame]) -> DataFrame:
     """(analysis_type, metric, value): the numbers of one-row results, each unpivoted."""
     out = None
     for name, df in results.items():
-        numeric = [c for c, t in df.dtypes if t in ("double", "float", "int", "bigint", "boolean")]
+        numeric = [c for c, t in df.dtypes if t in NUMERIC]
         cells = F.array(*[F.struct(F.lit(name).alias("analysis_type"), F.lit(c).alias("metric"), F.col(f"`{c}`").cast("double").alias("value")) for c in numeric])
         one = df.select(F.inline(cells))
         out = one if out is None else out.unionByName(one)
@@ -59,6 +60,8 @@ class AnalysisManager:
     def _spatial(self, p: dict) -> dict[str, DataFrame]:
         df, at = self.df, {"x": self.x, "y": self.y}
         out = {"density": spatial_stats.density_stats(spatial_stats.kernel_density(df, p.get("cell", 10.0), None, **at)), "nearest_neighbor": spatial_stats.nearest_neighbor(df, self.id, **at)}
+        sizes = spatial_stats.spatial_kmeans(df, p.get("clusters", 5), **at)
+        out["clustering"] = sizes.agg(F.count("*").alias("clusters"), F.max("size").alias("largest"), F.min("size").alias("smallest"))
         if c := p.get("numeric") or self._numeric():
             out["morans_i"] = spatial_stats.morans_i(df, c, p.get("radius", 10.0), self.id, **at)
             out["hot_spots"] = spatial_stats.hot_spot_summary(spatial_stats.hot_spots(df, c, p.get("radius", 10.0), self.id, **at))
@@ -104,7 +107,6 @@ class AnalysisManager:
 
     def run(self, families: list[str] | None = None, params: dict | None = None) -> DataFrame:
         """Run the families; gives their metrics as one long table."""
-        spark = self.df.sparkSession
         for name in families or self.FAMILIES:
             f: Callable[[dict], dict[str, DataFrame]] | None = getattr(self, f"_{name}", None) if name in self.FAMILIES else None
             try:
@@ -115,29 +117,41 @@ class AnalysisManager:
                 self.results.setdefault(name, {})
                 self.errors[name] = str(e)
         self.history.append({"time": datetime.datetime.now(datetime.UTC), "families": list(families or self.FAMILIES)})
-        flat = {f"{n}_{k}": d for n, ds in self.results.items() for k, d in ds.items()}
-        return metrics(flat) if flat else spark.createDataFrame([], METRICS)
+        return self.all_metrics()
+
+    def _flat(self) -> dict[str, DataFrame]:
+        return {f"{n}_{k}": d for n, ds in self.results.items() for k, d in ds.items()}
+
+    def all_metrics(self) -> DataFrame:
+        """The metrics of all results as one long table."""
+        flat = self._flat()
+        return metrics(flat) if flat else self.df.sparkSession.createDataFrame([], METRICS)
 
     def summary(self) -> DataFrame:
         return summary(self.df.sparkSession, self.errors)
 
     def report(self, family: str | None = None) -> str:
-        """Text of the metrics, four places, and of the last five runs."""
+        """Text of each result: its numbers, four places, and what they are read as; and the last five runs."""
         out = []
         for name in [family] if family else list(self.results):
             out.append(name.replace("_", " ").title())
             if self.errors.get(name):
                 out.append(f"  error: {self.errors[name]}")
             for k, d in self.results.get(name, {}).items():
-                for r in metrics({k: d}).collect():
-                    out.append(f"  {k} {r.metric.replace('_', ' ')}: {'none' if r.value is None else format(r.value, '.4f')}")
+                row = d.first()
+                for c, t in d.dtypes if row else ():
+                    value = row[c]
+                    if t in NUMERIC:
+                        out.append(f"  {k} {c.replace('_', ' ')}: {'none' if value is None else format(float(value), '.4f')}")
+                    elif t == "string" and value is not None:
+                        out.append(f"  {k} {c.replace('_', ' ')}: {value}")
         if not family:
             out += [f"{h['time']:%Y-%m-%d %H:%M} {', '.join(h['families'])}" for h in self.history[-5:]]
         return "\n".join(out)
 
     def export(self, path: str, form: str = "csv") -> bool:
         """Write the metrics; False for another format than csv or json."""
-        flat = {f"{n}_{k}": d for n, ds in self.results.items() for k, d in ds.items()}
+        flat = self._flat()
         if form not in ("csv", "json") or not flat:
             return False
         w = metrics(flat).write.mode("overwrite")

@@ -1,6 +1,8 @@
 """Vector sources: CSV, GeoJSON, KML, shapefile, GeoPackage.
 
-All but CSV give geometry struct(gtype, rings), the x and y of a point or of the first vertex, and properties as a map.
+All but CSV give geometry struct(gtype, rings, parts), the x and y of a point or of the first vertex, and properties as a map.
+The rings of a multi-part geometry stand in a row; parts are the places of those that begin a part (a polygon's other
+rings are holes). ``centroids`` puts the centroid in x and y, as point analyses want it. Collections of several kinds raise.
 Files are the unit of parallelism of shapefiles and GeoPackages, which cannot be split.
 """
 
@@ -14,10 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from cartolith.functions import geometry as g
 from cartolith.sources import files
 
 RING = "array<array<struct<x:double,y:double>>>"
-SCHEMA = f"geometry struct<gtype:string,rings:{RING}>, x double, y double, properties map<string,string>"
+SCHEMA = f"geometry struct<gtype:string,rings:{RING},parts:array<int>>, x double, y double, properties map<string,string>"
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -35,14 +38,29 @@ def parsed(df: DataFrame, gtype: str = "gtype", coordinates: str = "coordinates"
     """Replace a GeoJSON type and its coordinates (JSON text) by geometry, x and y."""
     c, xy = F.col(coordinates), lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
     line = lambda a: F.transform(a, xy)
+    kind, each = F.col(gtype), F.lit(0)
+    multi = F.from_json(c, "array<array<array<array<double>>>>")
     rings = (
-        F.when(F.col(gtype) == "Point", F.array(F.array(xy(F.from_json(c, "array<double>")))))
-        .when(F.col(gtype) == "LineString", F.array(line(F.from_json(c, "array<array<double>>"))))
-        .when(F.col(gtype) == "Polygon", F.transform(F.from_json(c, "array<array<array<double>>>"), line))
+        F.when(kind == "Point", F.array(F.array(xy(F.from_json(c, "array<double>")))))
+        .when(kind == "MultiPoint", F.transform(F.from_json(c, "array<array<double>>"), lambda p: F.array(xy(p))))
+        .when(kind == "LineString", F.array(line(F.from_json(c, "array<array<double>>"))))
+        .when(kind.isin("Polygon", "MultiLineString"), F.transform(F.from_json(c, "array<array<array<double>>>"), line))
+        .when(kind == "MultiPolygon", F.transform(F.flatten(multi), line))
+        .when(kind.isNotNull(), F.raise_error(F.concat(F.lit("geometry is not supported: "), kind)).cast(RING))
     )
-    out = df.withColumn("geometry", F.struct(F.col(gtype).alias("gtype"), rings.alias("rings")))
-    first = F.get(F.get("geometry.rings", F.lit(0)), F.lit(0))
-    return out.withColumn("x", first.x).withColumn("y", first.y).drop(gtype, coordinates)
+    # where each polygon of several begins: the rings of those before it
+    starts = F.aggregate(multi, F.array().cast("array<int>"), lambda a, p: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), each) + F.size(p))))
+    out = df.withColumn("_rings", rings)
+    first = F.when(kind == "Polygon", F.array(each)).when(kind == "MultiPolygon", F.concat(F.array(each), F.slice(starts, 1, F.greatest(F.size(starts) - 1, each))))
+    every = F.when(F.size("_rings") > 0, F.sequence(each, F.size("_rings") - 1)).otherwise(F.array().cast("array<int>"))
+    out = out.withColumn("geometry", F.struct(kind.alias("gtype"), F.col("_rings").alias("rings"), F.coalesce(first, every).alias("parts"))).drop("_rings")
+    head = F.get(F.get("geometry.rings", F.lit(0)), F.lit(0))
+    return out.withColumn("x", head.x).withColumn("y", head.y).drop(gtype, coordinates)
+
+
+def centroids(df: DataFrame) -> DataFrame:
+    """x and y as the centroid of the geometry."""
+    return df.withColumn("_c", g.geometry_centroid(F.col("geometry"))).withColumn("x", F.col("_c.x")).withColumn("y", F.col("_c.y")).drop("_c")
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
@@ -53,16 +71,29 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     return parsed(f.select(F.col("f.geometry.type").alias("gtype"), F.col("f.geometry.coordinates").alias("coordinates"), F.col("f.properties").alias("properties"))).select("geometry", "x", "y", "properties")
 
 
+_KML_LINE = "struct<coordinates:string>"
+_KML_POLYGON = f"struct<outerBoundaryIs:struct<LinearRing:{_KML_LINE}>,innerBoundaryIs:array<struct<LinearRing:{_KML_LINE}>>>"
+
+
 def read_kml(spark: SparkSession, path: str) -> DataFrame:
-    """Placemarks with a point, a line or a polygon's outer ring."""
-    schema = "name string, description string, Point struct<coordinates:string>, LineString struct<coordinates:string>, Polygon struct<outerBoundaryIs:struct<LinearRing:struct<coordinates:string>>>"
+    """Placemarks with a point, a line, a polygon with its holes, or several of one kind."""
+    several = f"struct<Point:array<{_KML_LINE}>,LineString:array<{_KML_LINE}>,Polygon:array<{_KML_POLYGON}>>"
+    schema = f"name string, description string, Point {_KML_LINE}, LineString {_KML_LINE}, Polygon {_KML_POLYGON}, MultiGeometry {several}"
     df = spark.read.format("xml").option("rowTag", "Placemark").schema(schema).load(path)
-    ring = F.col("Polygon.outerBoundaryIs.LinearRing.coordinates")
-    text = F.coalesce("Point.coordinates", "LineString.coordinates", ring)
-    kind = F.when(F.col("Point.coordinates").isNotNull(), "Point").when(F.col("LineString.coordinates").isNotNull(), "LineString").otherwise("Polygon")
-    pts = F.transform(F.split(F.trim(text), r"\s+"), lambda p: F.struct(F.get(F.split(p, ","), F.lit(0)).cast("double").alias("x"), F.get(F.split(p, ","), F.lit(1)).cast("double").alias("y")))
+    number = lambda p, i: F.get(F.split(p, ","), F.lit(i)).cast("double")
+    pts = lambda text: F.transform(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), lambda p: F.struct(number(p, 0).alias("x"), number(p, 1).alias("y")))
+    rings = lambda p: F.concat(F.array(pts(p.outerBoundaryIs.LinearRing.coordinates)), F.transform(F.coalesce(p.innerBoundaryIs, F.array().cast(f"array<struct<LinearRing:{_KML_LINE}>>")), lambda i: pts(i.LinearRing.coordinates)))
+    one = lambda a, c: F.coalesce(a, F.when(F.col(c).isNotNull(), F.array(F.col(c))))
+    points, lines, polygons = (one(F.col(f"MultiGeometry.{k}"), k) for k in ("Point", "LineString", "Polygon"))
+    many = F.when(F.col("MultiGeometry").isNotNull(), "Multi").otherwise("")
+    kinds = sum(F.when(F.size(F.coalesce(a, F.array())) > 0, 1).otherwise(0) for a in (points, lines, polygons))
+    kind = F.when(kinds > 1, F.raise_error(F.lit("a placemark of several kinds of geometry is not supported")).cast("string")).when(points.isNotNull(), F.concat(many, F.lit("Point"))).when(lines.isNotNull(), F.concat(many, F.lit("LineString"))).when(polygons.isNotNull(), F.concat(many, F.lit("Polygon")))
+    text = lambda a: F.transform(a, lambda p: pts(p.coordinates))
+    found = F.coalesce(text(points), text(lines), F.flatten(F.transform(polygons, rings)))
+    before = F.aggregate(polygons, F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + 1 + F.coalesce(F.nullif(F.size(p.innerBoundaryIs), F.lit(-1)), F.lit(0)))))
+    parts = F.when(polygons.isNotNull(), F.slice(before, 1, F.size(polygons))).when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1))
     props = F.map_filter(F.create_map(F.lit("name"), F.col("name"), F.lit("description"), F.col("description")), lambda _, v: v.isNotNull())
-    df = df.select(F.struct(kind.alias("gtype"), F.array(pts).alias("rings")).alias("geometry"), props.alias("properties"))
+    df = df.select(F.struct(kind.alias("gtype"), found.alias("rings"), parts.alias("parts")).alias("geometry"), props.alias("properties"))
     first = F.get(F.get("geometry.rings", F.lit(0)), F.lit(0))
     return df.select("geometry", first.x.alias("x"), first.y.alias("y"), "properties")
 
@@ -85,9 +116,15 @@ class _Reader(DataSourceReader):
             yield from self.rows(partition.uri)
 
 
-def _row(gtype: str, rings: list[list[tuple[float, float]]], props: dict[str, str]) -> tuple:
+def _row(gtype: str, rings: list[list[tuple[float, float]]], props: dict[str, str], parts: list[int] | None = None) -> tuple:
     x, y = rings[0][0] if rings and rings[0] else (None, None)
-    return ((gtype, [[(float(a), float(b)) for a, b in r] for r in rings]), x, y, props)
+    parts = ([0] if gtype == "Polygon" else list(range(len(rings)))) if parts is None else parts
+    return ((gtype, [[(float(a), float(b)) for a, b in r] for r in rings], parts), x, y, props)
+
+
+def _turn(ring: list[tuple[float, float]]) -> float:
+    """Positive if the ring is anticlockwise."""
+    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:], strict=False))
 
 
 def dbf_rows(data: bytes) -> Iterator[dict[str, str] | None]:
@@ -130,35 +167,65 @@ def shp_rows(uri: str) -> Iterator[tuple]:
             starts = [*struct.unpack(f"<{parts}I", body[44 : 44 + 4 * parts]), points]
             xy = struct.unpack(f"<{2 * points}d", body[44 + 4 * parts : 44 + 4 * parts + 16 * points])
             pts = list(zip(xy[::2], xy[1::2], strict=True))
-            yield _row("LineString" if kind % 10 == 3 else "Polygon", [pts[a:z] for a, z in zip(starts, starts[1:], strict=False)], props)
+            rings = [pts[a:z] for a, z in zip(starts, starts[1:], strict=False)]
+            if kind % 10 == 3:
+                yield _row("LineString" if len(rings) == 1 else "MultiLineString", rings, props)
+                continue
+            # clockwise rings begin a polygon, the others are holes
+            begun = [i for i, r in enumerate(rings) if i == 0 or _turn(r) <= 0]
+            yield _row("Polygon" if len(begun) == 1 else "MultiPolygon", rings, props, begun)
+        elif kind in (8, 18, 28):
+            n = struct.unpack("<I", body[36:40])[0]
+            xy = struct.unpack(f"<{2 * n}d", body[40 : 40 + 16 * n])
+            yield _row("MultiPoint", [[p] for p in zip(xy[::2], xy[1::2], strict=True)], props)
         elif kind == 0:
             yield _row("Null", [], props)
         else:
             raise ValueError(f"shape type {kind} is not supported")
 
 
-def wkb_geometry(b: bytes) -> tuple[str, list[list[tuple[float, float]]]]:
-    """Well-known binary of a point, line or polygon in two dimensions."""
-    e = "<" if b[0] else ">"
-    kind = struct.unpack(e + "I", b[1:5])[0]
+def wkb_geometry(b: bytes) -> tuple[str, list[list[tuple[float, float]]], list[int]]:
+    """Well-known binary: (kind, rings, places of the rings that begin a part); z and m are left out."""
+    kind, rings, parts, _ = _wkb(b, 0)
+    return kind, rings, parts
+
+
+def _wkb(b: bytes, at: int) -> tuple[str, list[list[tuple[float, float]]], list[int], int]:
+    e = "<" if b[at] else ">"
+    kind = struct.unpack_from(e + "I", b, at + 1)[0]
+    at += 5
+    if kind & 0x20000000:
+        at += 4  # a reference system of its own
+    dims = 2 + bool(kind & 0x80000000) + bool(kind & 0x40000000)
+    kind &= 0xFFFF
+    dims, kind = (dims, kind) if kind < 1000 else ((3, 3, 4)[kind // 1000 - 1], kind % 1000)
+
+    def points(n: int) -> list[tuple[float, float]]:
+        nonlocal at
+        v = struct.unpack_from(f"{e}{dims * n}d", b, at)
+        at += 8 * dims * n
+        return list(zip(v[::dims], v[1::dims], strict=True))
 
-    def points(at: int, n: int):
-        v = struct.unpack(f"{e}{2 * n}d", b[at : at + 16 * n])
-        return list(zip(v[::2], v[1::2], strict=True))
+    def count() -> int:
+        nonlocal at
+        at += 4
+        return struct.unpack_from(e + "I", b, at - 4)[0]
 
     if kind == 1:
-        return "Point", [points(5, 1)]
-    n = struct.unpack(e + "I", b[5:9])[0]
+        return "Point", [points(1)], [0], at
     if kind == 2:
-        return "LineString", [points(9, n)]
+        return "LineString", [points(count())], [0], at
     if kind == 3:
-        at, rings = 9, []
-        for _ in range(n):
-            k = struct.unpack(e + "I", b[at : at + 4])[0]
-            rings.append(points(at + 4, k))
-            at += 4 + 16 * k
-        return "Polygon", rings
-    raise ValueError(f"geometry type {kind} is not supported")
+        return "Polygon", [points(count()) for _ in range(count())], [0], at
+    if kind not in (4, 5, 6):
+        raise ValueError(f"geometry type {kind} is not supported")
+    rings: list = []
+    parts: list[int] = []
+    for _ in range(count()):
+        _, own, _, at = _wkb(b, at)
+        parts.append(len(rings))
+        rings += own
+    return {4: "MultiPoint", 5: "MultiLineString", 6: "MultiPolygon"}[kind], rings, parts, at
 
 
 def gpkg_rows(uri: str) -> Iterator[tuple]:
@@ -176,7 +243,8 @@ def gpkg_rows(uri: str) -> Iterator[tuple]:
                 yield _row("Null", [], props)
                 continue
             envelope = (0, 32, 48, 48, 64)[(blob[3] >> 1) & 7]
-            yield _row(*wkb_geometry(blob[8 + envelope :]), props)
+            kind, rings, parts = wkb_geometry(blob[8 + envelope :])
+            yield _row(kind, rings, props, parts)
 
 
 class ShapefileSource(DataSource):

@@ -390,3 +390,170 @@ def test_paths_and_centralities_like_brute_force(spark, monkeypatch):
             want[v] = s
     between = {r.node: r.score for r in network.betweenness_std(links).collect()}
     assert between.keys() == want.keys() and all(math.isclose(between[k], want[k], rel_tol=1e-9) for k in want)
+
+
+# ------------------------------------------------------------------ files as other programs write them
+def test_multi_part_geometries(spark, tmp_path):
+    import json
+    import sqlite3
+    import struct
+
+    box = lambda x, y, s, turn=1: [[x, y], [x + s, y], [x + s, y + s], [x, y + s], [x, y]][::turn]
+    shapes = {
+        "Point": [3, 4], "MultiPoint": [[0, 0], [2, 4]], "LineString": [[0, 0], [4, 0], [4, 2]], "MultiLineString": [[[0, 0], [6, 0]], [[0, 3], [0, 5]]],
+        "Polygon": [box(0, 0, 4, -1), box(1, 1, 1)], "MultiPolygon": [[box(0, 0, 4, -1), box(1, 1, 1)], [box(10, 0, 2, -1)]],
+    }
+    want = {"Point": (3, 4), "MultiPoint": (1, 2), "LineString": (16 / 6, 1 / 3), "MultiLineString": (18 / 8, 1.0), "Polygon": ((32 - 1.5) / 15, (32 - 1.5) / 15), "MultiPolygon": ((30.5 + 44) / 19, (30.5 + 4) / 19)}
+    parts = {"Point": [0], "MultiPoint": [0, 1], "LineString": [0], "MultiLineString": [0, 1], "Polygon": [0], "MultiPolygon": [0, 2]}
+    features = [{"type": "Feature", "properties": {"k": k}, "geometry": {"type": k, "coordinates": c}} for k, c in shapes.items()] + [{"type": "Feature", "properties": {}, "geometry": None}]
+    (tmp_path / "a.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+
+    def check(df, kinds):
+        got = {r.geometry.gtype: (r.x, r.y, list(r.geometry.parts)) for r in vector.centroids(df).where("geometry.gtype is not null").collect()}
+        assert got.keys() == set(kinds)
+        for k in kinds:
+            assert got[k][:2] == pytest.approx(want[k]) and got[k][2] == parts[k], k
+
+    json_rows = vector.read_geojson(spark, f"file://{tmp_path}/a.geojson")
+    check(json_rows, shapes)
+    assert json_rows.count() == 7 and vector.centroids(json_rows).where("geometry.gtype is null").first().x is None
+    (tmp_path / "b.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {}, "geometry": {"type": "GeometryCollection", "geometries": []}}]}))
+    with pytest.raises(Exception, match="not supported"):
+        vector.read_geojson(spark, f"file://{tmp_path}/b.geojson").collect()
+
+    text = lambda ps: f"<coordinates>\n{' '.join(f'{x},{y},0' for x, y in ps)}\n</coordinates>"
+    poly = lambda rings: "<Polygon><outerBoundaryIs><LinearRing>" + text(rings[0]) + "</LinearRing></outerBoundaryIs>" + "".join(f"<innerBoundaryIs><LinearRing>{text(r)}</LinearRing></innerBoundaryIs>" for r in rings[1:]) + "</Polygon>"
+    kml = {
+        "Point": f"<Point>{text([shapes['Point']])}</Point>", "LineString": f"<LineString>{text(shapes['LineString'])}</LineString>", "Polygon": poly(shapes["Polygon"]),
+        "MultiPoint": "<MultiGeometry>" + "".join(f"<Point>{text([p])}</Point>" for p in shapes["MultiPoint"]) + "</MultiGeometry>",
+        "MultiLineString": "<MultiGeometry>" + "".join(f"<LineString>{text(p)}</LineString>" for p in shapes["MultiLineString"]) + "</MultiGeometry>",
+        "MultiPolygon": "<MultiGeometry>" + "".join(map(poly, shapes["MultiPolygon"])) + "</MultiGeometry>",
+    }
+    (tmp_path / "a.kml").write_text("<kml><Document>" + "".join(f"<Placemark><name>{k}</name>{v}</Placemark>" for k, v in kml.items()) + "</Document></kml>")
+    check(vector.read_kml(spark, f"file://{tmp_path}/a.kml"), shapes)
+
+    def wkb(kind, c, e="<", z=False):
+        flat = lambda ps: b"".join(struct.pack(e + "3d" if z else e + "2d", *p, *([7.0] if z else [])) for p in ps)
+        n = lambda x: struct.pack(e + "I", len(x))
+        code = {"Point": 1, "LineString": 2, "Polygon": 3, "MultiPoint": 4, "MultiLineString": 5, "MultiPolygon": 6}[kind] + 1000 * z
+        body = {"Point": lambda: flat([c]), "LineString": lambda: n(c) + flat(c), "Polygon": lambda: n(c) + b"".join(n(r) + flat(r) for r in c)}.get(kind) or (lambda: n(c) + b"".join(wkb(kind[5:], x, e, z) for x in c))
+        return struct.pack("B", e == "<") + struct.pack(e + "I", code) + body()
+
+    db = sqlite3.connect(tmp_path / "a.gpkg")
+    db.execute("create table gpkg_geometry_columns (table_name text, column_name text)")
+    db.execute("insert into gpkg_geometry_columns values ('t', 'g')")
+    db.execute("create table t (g blob, k text)")
+    for i, (k, c) in enumerate(shapes.items()):
+        db.execute("insert into t values (?, ?)", [b"GP\0\1" + struct.pack("<i", 4326) + wkb(k, c, "<>"[i % 2], i % 3 == 0), k])
+    db.commit()
+    db.close()
+    check(vector.read_geopackage(spark, f"file://{tmp_path}/a.gpkg"), shapes)
+
+    def record(kind, rings):
+        pts = [p for r in rings for p in r]
+        starts = [sum(map(len, rings[:i])) for i in range(len(rings))]
+        xy = b"".join(struct.pack("<2d", *p) for p in pts)
+        if kind == 8:
+            return struct.pack("<I4dI", 8, 0, 0, 0, 0, len(pts)) + xy
+        return struct.pack(f"<I4dII{len(rings)}I", kind, 0, 0, 0, 0, len(rings), len(pts), *starts) + xy
+
+    bodies = {
+        "MultiPoint": record(8, [shapes["MultiPoint"]]), "LineString": record(3, [shapes["LineString"]]), "MultiLineString": record(3, shapes["MultiLineString"]),
+        "Polygon": record(5, shapes["Polygon"]), "MultiPolygon": record(5, [r for p in shapes["MultiPolygon"] for r in p]),
+    }
+    (tmp_path / "a.shp").write_bytes(bytes(100) + b"".join(struct.pack(">II", i + 1, len(b) // 2) + b for i, b in enumerate(bodies.values())))
+    (tmp_path / "a.shx").write_bytes(b"")
+    (tmp_path / "a.dbf").write_bytes(bytes([3, 124, 1, 1]) + struct.pack("<IHH", 0, 33, 1) + bytes(20) + b"\r")
+    check(vector.read_shapefile(spark, f"file://{tmp_path}/a.shp"), bodies)
+
+
+def _lzw(data):
+    """An encoder by the format's own rules, to read back."""
+    table, width, held, bits, out = {}, 9, 0, 0, bytearray()
+
+    def put(code):
+        nonlocal held, bits
+        held, bits = held << width | code, bits + width
+        while bits >= 8:
+            out.append(held >> (bits - 8) & 255)
+            bits -= 8
+        held &= (1 << bits) - 1
+
+    def clear():
+        nonlocal table, width
+        put(256)
+        table, width = {bytes([i]): i for i in range(256)}, 9
+
+    table = {bytes([i]): i for i in range(256)}
+    clear()
+    last, n = b"", 258
+    for b in data:
+        piece = last + bytes([b])
+        if piece in table:
+            last = piece
+            continue
+        put(table[last])
+        table[piece] = n
+        n, last = n + 1, bytes([b])
+        width = 9 + (n > 511) + (n > 1023) + (n > 2047)
+        if n == 4095:
+            clear()
+            n = 258
+    if last:
+        put(table[last])
+        n += 1
+        width = 9 + (n > 511) + (n > 1023) + (n > 2047)
+    put(257)
+    out.append(held << (8 - bits) & 255) if bits else None
+    return bytes(out)
+
+
+@pytest.mark.parametrize("packing", [1, 5, 8, 32773])
+@pytest.mark.parametrize(("kind", "predictor"), [("<f4", 1), ("<f4", 3), ("<i2", 2), (">u2", 2), (">f8", 3), ("<u1", 1)])
+@pytest.mark.parametrize(("tile", "bands", "planar"), [(0, 1, 1), (16, 1, 1), (16, 3, 1), (16, 2, 2), (0, 3, 2)])
+def test_geotiff_as_others_write_it(kind, predictor, packing, tile, bands, planar):
+    import struct
+    import zlib
+
+    rng = np.random.RandomState(5)
+    h, w, e, size = 37, 45, kind[0], int(kind[2:])
+    a = (rng.randint(0, 200, (bands, h, w)) // 7 * 7).astype(kind)
+    pack = {1: bytes, 5: _lzw, 8: zlib.compress, 32773: lambda x: b"".join(bytes([len(x[i : i + 100]) - 1]) + x[i : i + 100] for i in range(0, len(x), 100))}[packing]
+
+    def encoded(block):  # [row, column, sample]
+        if predictor == 2:
+            block = np.concatenate([block[:, :1], np.diff(block.astype("i8"), axis=1).astype(block.dtype)], axis=1).astype(kind)
+        if predictor == 3:
+            rows, cols, n = block.shape
+            planes = np.ascontiguousarray(block.astype(">" + kind[1:])).view(np.uint8).reshape(rows, cols * n, size).transpose(0, 2, 1).reshape(rows, cols * size, n)
+            return np.concatenate([planes[:, :1], np.diff(planes.astype("i2"), axis=1).astype(np.uint8)], axis=1).tobytes()
+        return block.tobytes()
+
+    tw, th = (tile, tile) if tile else (w, 10)
+    blocks = []
+    for part in [a[b : b + 1] for b in range(bands)] if planar == 2 else [a]:
+        for r in range(0, h, th):
+            for c in range(0, w, tw):
+                x = part[:, r : r + th, c : c + tw].transpose(1, 2, 0)
+                if tile:
+                    x = np.pad(x, ((0, th - x.shape[0]), (0, tw - x.shape[1]), (0, 0)))
+                blocks.append(pack(encoded(np.ascontiguousarray(x))))
+    at = [8 + sum(map(len, blocks[:i])) for i in range(len(blocks))]
+    tags = {256: [w], 257: [h], 258: [8 * size] * bands, 259: [packing], 277: [bands], 284: [planar], 317: [predictor], 339: [{"u": 1, "i": 2, "f": 3}[kind[1]]] * bands}
+    tags |= {322: [tw], 323: [th], 324: at, 325: list(map(len, blocks))} if tile else {273: at, 278: [th], 279: list(map(len, blocks))}
+    data, head = b"".join(blocks), 8 + sum(map(len, blocks))
+    entries, extra = b"", b""
+    for tag, values in sorted(tags.items()):
+        raw = struct.pack(f"{e}{len(values)}I", *values)
+        where = raw if len(raw) <= 4 else struct.pack(e + "I", head + 2 + 12 * len(tags) + 4 + len(extra))
+        extra += raw if len(raw) > 4 else b""
+        entries += struct.pack(e + "HHI", tag, 4, len(values)) + where
+    tiff = (b"II" if e == "<" else b"MM") + struct.pack(e + "HI", 42, head) + data + struct.pack(e + "H", len(tags)) + entries + bytes(4) + extra
+    got, _ = raster.geotiff(tiff)
+    assert (got == a.astype(float)).all()
+
+
+def test_lzw_of_long_data():
+    rng = np.random.RandomState(0)
+    for data in (b"", b"a", b"ab" * 9000, bytes(rng.randint(0, 256, 40_000, dtype=np.uint8)), bytes(rng.randint(0, 3, 90_000, dtype=np.uint8))):
+        assert raster.lzw(_lzw(data)) == data
