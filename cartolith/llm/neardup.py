@@ -18,8 +18,8 @@
 5. Components are found by large-star and small-star steps over the edges, and over those between the classes of
    an id that has several texts.
 
-With bands of 4 rows, a pair at similarity s is met with probability 1 - (1 - s^4)^20: 0.9999996 at 0.85,
-0.99997 at 0.8.
+With bands of 5 rows, a pair at similarity s is met with probability 1 - (1 - s^5)^25: 0.9999996 at 0.85,
+0.99995 at 0.8.
 
 Defined cases: a text without words (or null) has an empty set and is linked with nothing; a null doc_id is
 linked with nothing, has a null component and is kept; rows that repeat a doc_id are that document again, with
@@ -33,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolith.llm.common import BROADCAST_BYTES, batch, has_at_most, map_arrow, mix, shingle_hashes, utf8, word_hashes, written
-from cartolith.llm.components import connected_components
+from cartolith.llm.common import BROADCAST_BYTES, batch, has_at_most, map_arrow, mix, released, shingle_hashes, shuffles_removed, utf8, word_hashes, written
+from cartolith.operators.components import connected_components
 
-SAMPLES, BANDS, ROWS, BITS, CHUNK = 128, 20, 4, 512, 256
+SAMPLES, BANDS, ROWS, BITS, CHUNK = 128, 25, 5, 512, 256
 _RNG = np.random.RandomState(7)
 _A = (_RNG.randint(0, 2**31, SAMPLES).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _RNG.randint(0, 2**32, SAMPLES, dtype=np.int64).astype(np.uint32)
@@ -260,7 +260,7 @@ def _stars(cells: DataFrame, classes: DataFrame, df: DataFrame, shingle: int, pe
 
     rows = cells.join(classes.select("rep", "sketch", F.col("n_shingles").alias("n")), "rep")
     pairs = _by_cell(rows, ["k1", "k2", "k3"], ["rep", "sketch", "n"], found, "rep long, hub long").groupBy("rep").agg(F.min("hub").alias("hub"))
-    pairs = written(pairs, "neardup-pairs")
+    hanging = pairs = written(pairs, "neardup-pairs")
     # a hub's members are dealt into parts of about CHUNK, each with the hub's set before them
     parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
     pairs = pairs.join(parts, "hub").select("hub", F.expr("pmod(xxhash64(rep), parts)").alias("part"), "rep", F.lit(1).alias("k"))
@@ -284,7 +284,9 @@ def _stars(cells: DataFrame, classes: DataFrame, df: DataFrame, shingle: int, pe
         return run
 
     dealt = rows.join(sets.select("rep", "shingles"), "rep").repartition("hub", "part").sortWithinPartitions("hub", "part", "k")
-    return map_arrow(dealt.select("hub", "part", "rep", "k", "shingles"), make, "a long, b long")
+    out = written(map_arrow(dealt.select("hub", "part", "rep", "k", "shingles"), make, "a long, b long"), "neardup-stars")
+    released(hanging, sets)
+    return out
 
 
 def _sets_of(reps: DataFrame, classes: DataFrame, df: DataFrame, shingle: int) -> DataFrame:
@@ -293,7 +295,9 @@ def _sets_of(reps: DataFrame, classes: DataFrame, df: DataFrame, shingle: int) -
     ids = met.select(F.col("doc_id").alias("__id")).distinct()
     texts = df.select(F.col("doc_id").cast("long").alias("__id"), "text")
     texts = texts.join(F.broadcast(ids), "__id") if has_at_most(ids, BROADCAST_BYTES // 32) else texts.join(ids, "__id", "left_semi")
-    return written(_sets(texts, shingle).join(met.select("rep", "sketch"), "rep").dropDuplicates(["rep"]), "neardup-sets")
+    out = written(_sets(texts, shingle).join(met.select("rep", "sketch"), "rep").dropDuplicates(["rep"]), "neardup-sets")
+    released(met)
+    return out
 
 
 def _edges(cells: DataFrame, classes: DataFrame, df: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -306,11 +310,18 @@ def _edges(cells: DataFrame, classes: DataFrame, df: DataFrame, shingle: int, pe
 
     groups = written(_groups(cells, classes, percent), "neardup-groups")
     sets = _sets_of(groups.select("rep").distinct(), classes, df, shingle)
-    return _by_cell(groups.join(sets, "rep"), ["g"], ["rep", "part", "sketch", "shingles"], found, "a long, b long")
+    out = written(_by_cell(groups.join(sets, "rep"), ["g"], ["rep", "part", "sketch", "shingles"], found, "a long, b long"), "neardup-edges")
+    released(groups, sets)
+    return out
 
 
 def near_duplicates(df: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; links are pairs with 100 * intersection >= percent * union."""
+    with shuffles_removed(df.sparkSession):
+        return _near_duplicates(df, percent, shingle)
+
+
+def _near_duplicates(df: DataFrame, percent: int, shingle: int) -> DataFrame:
     features = written(_features(df, shingle).withColumn("rep", F.when(F.col("n_shingles") > 0, _class())), "neardup-features")
     some = features.where("n_shingles > 0 and doc_id is not null")
     classes = written(
@@ -324,11 +335,11 @@ def near_duplicates(df: DataFrame, percent: int = 80, shingle: int = 5) -> DataF
     cells = dealt.select(F.col("bucket").alias("k1"), F.explode(F.expr("if(c = 0, sequence(0L, chunks - 1), array(c))")).alias("k2"), F.lit(0).cast("long").alias("k3"), "rep")
     several = some.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").select("doc_id", "lo")
     several = some.join(several, "doc_id").where("rep != lo").select(F.col("rep").alias("a"), F.col("lo").alias("b"))
-    edges = written(_stars(cells, classes, df, shingle, percent).unionByName(several), "neardup-edges")
+    edges = _stars(cells, classes, df, shingle, percent).unionByName(written(several, "neardup-several"))
     parts = written(connected_components(edges), "neardup-parts")
     of_parts = parts.select(F.col("node").alias("rep"), "component")
     rest = _edges(cells.join(of_parts, "rep", "left").withColumn("part", F.coalesce("component", "rep")), classes, df, shingle, percent)
-    edges = edges.unionByName(written(rest, "neardup-rest"))
+    edges = edges.unionByName(rest)
     parts = written(connected_components(edges), "neardup-parts")
     large = dealt.where("chunks > 1").select("bucket", "rep")
     if not large.isEmpty():
@@ -336,7 +347,7 @@ def near_duplicates(df: DataFrame, percent: int = 80, shingle: int = 5) -> DataF
         level = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(1e-9 - np.log(percent / 100)))
         sized = large.join(classes.select("rep", level.alias("level")), "rep").select(F.explode(F.expr("array(xxhash64(bucket, level), xxhash64(bucket, level + 1))")).alias("bucket"), "rep")
         rest = sized.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("part"))
-        more = written(_edges(_cross_cells(rest), classes, df, shingle, percent), "neardup-more")
+        more = _edges(_cross_cells(rest), classes, df, shingle, percent)
         if not more.isEmpty():
             parts = written(connected_components(edges.unionByName(more).unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))), "neardup-parts")
     # a component is named by the least id in it
