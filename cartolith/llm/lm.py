@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolith.llm.common import batch, crc_mod, distinct_words, fresh, map_arrow, mix, shuffles_removed, utf8, word_hashes
+from cartolith.llm.common import Words, batch, crc_mod, fresh, map_arrow, mix, shuffles_removed, utf8, word_hashes
 
 D, LEAST, BLOCK = 0.75, 2, 4 << 20
 #: Parts in which the n-grams of each order are counted.
@@ -252,28 +252,12 @@ class Counter:
         return (key[first], np.add.reduceat(n[order], first)) if len(key) else (key, n)
 
 
-def _spelling(blocks: DataFrame) -> Spelling:
-    """Byte trigrams of all words of training texts: 2 ** 24 at most."""
-
-    def make():
-        counter = Counter()
-
-        def run(b: pa.RecordBatch):
-            for texts, held in _texts(*b.columns):
-                words, codes, _ = distinct_words([t for t, h in zip(texts, held, strict=True) if not h])
-                times = np.bincount(codes, minlength=len(words))
-                counter.add(spelling_grams(words).astype(np.int64), np.repeat(times, [len(w) + 1 for w in words]))
-            return ()
-
-        def close():
-            key, n = counter.total()
-            yield batch(key=key, n=n)
-
-        run.close = close
-        return run
-
-    found = map_arrow(blocks.select("text", "sizes", "held"), make, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    return Spelling(found["key"].to_numpy(), found["n"].to_numpy())
+def _spelling(rows: DataFrame) -> Spelling:
+    """From the sums of byte trigrams of all training words: 2 ** 24 at most."""
+    counter = Counter()
+    for r in rows.where("ord = -1").select("data").collect():
+        counter.add(*(x.astype(np.int64) for x in unpacked(bytes(r.data), 2)))
+    return Spelling(*counter.total())
 
 
 def spelling_grams(words: list[bytes]) -> np.ndarray:
@@ -357,19 +341,42 @@ def _texts(text, sizes, held) -> Iterable[tuple[list[bytes], list[bool]]]:
 
 
 def _answered(blocks: DataFrame, order: int, part: int, shards: dict[int, int], passed: DataFrame | None, least: int) -> DataFrame:
-    """(ord, block, shard, data): a shard's answer to a block (ord: the order), what it passes on (block -1, ord: one less), or its types (ord 0)."""
+    """(ord, block, shard, data): a shard's answer to a block (ord: the order), what it passes on (block -1, ord: one less), its types (ord 0), or sums of byte trigrams (ord -1, with the words)."""
 
     def ask():
+        spelt = Counter()  # with the words, the byte trigrams of training words are counted
+
+        def words(texts: list[bytes], held: list[bool]):
+            found, offsets = Words.of(texts)
+            codes, first = found.distinct()
+            times = np.bincount(codes, np.repeat(~np.array(held, bool), np.diff(offsets)), len(first)).astype(np.int64)
+            known = first[times > 0].tolist()
+            size = found.size[known] + 1
+            spelt.add(spelling_grams([found.word(i) for i in known]).astype(np.int64), np.repeat(times[times > 0], size))
+            own = found.hashes()[first]
+            return Grams(1, own, np.zeros_like(own), own, shards[1]), times.astype(np.uint64)
+
         def run(b: pa.RecordBatch):
             for block, (texts, held) in zip(b.column(0).to_pylist(), _texts(*b.columns[1:]), strict=True):
-                tokens = Tokens(*word_hashes(texts))
-                grams, at = tokens.grams(order, shards[order], part)
-                train = np.repeat(~np.array(held, bool), np.diff(tokens.offsets) + 1)[at]
-                found = list(grams.asked(grams.counted(train)))
+                if order == 1:
+                    grams, n = words(texts, held)
+                    n = grams.counted(n)
+                else:
+                    tokens = Tokens(*word_hashes(texts))
+                    grams, at = tokens.grams(order, shards[order], part)
+                    n = grams.counted(np.repeat(~np.array(held, bool), np.diff(tokens.offsets) + 1)[at])
+                found = list(grams.asked(n))
                 for k in range(0, len(found), 64):
                     some = found[k : k + 64]
                     yield batch(block=pa.array([block] * len(some), pa.int64()), shard=pa.array([x[0] for x in some], pa.int64()), data=pa.array([x[1] for x in some], pa.binary()))
 
+        def close():
+            key, n = spelt.total()
+            for h in np.unique(key >> 18).tolist():
+                some = key >> 18 == h
+                yield batch(block=pa.array([-1], pa.int64()), shard=pa.array([-1 - h], pa.int64()), data=pa.array([packed(key[some].astype(np.uint64), n[some].astype(np.uint64))], pa.binary()))
+
+        run.close = close
         return run
 
     def answer():
@@ -378,6 +385,10 @@ def _answered(blocks: DataFrame, order: int, part: int, shards: dict[int, int],
         def done():
             if state["shard"] is None:
                 return
+            if state["shard"] < 0:
+                key, n = state["own"].total()
+                yield batch(ord=pa.array([-1], pa.int32()), block=pa.array([-1], pa.int64()), shard=pa.array([state["shard"]], pa.int64()), data=pa.array([packed(key.astype(np.uint64), n.astype(np.uint64))], pa.binary()))
+                return
             own: Shard = state["own"]
             rows = [(order, block, state["shard"], data) for block, data in own.answers()]
             if not rows:
@@ -393,8 +404,11 @@ def _answered(blocks: DataFrame, order: int, part: int, shards: dict[int, int],
             for block, shard, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if state["shard"] != shard:
                     yield from done()
-                    state.update(shard=shard, own=Shard(order, least))
-                state["own"].add(block, data)
+                    state.update(shard=shard, own=Shard(order, least) if shard >= 0 else Counter())
+                if shard >= 0:
+                    state["own"].add(block, data)
+                else:
+                    state["own"].add(*(x.astype(np.int64) for x in unpacked(data, 2)))
 
         run.close = done
         return run
@@ -474,7 +488,7 @@ def score(df: DataFrame, least: int = LEAST) -> DataFrame:
                 passed = passed.unionByName(x)
             found += parts
         types = passed.where("ord = 0").agg(F.coalesce(F.sum("shard"), F.lit(0))).first()[0] + (documents > 0)
-        spelling = _spelling(blocks)
+        spelling = _spelling(passed)
     totals = Totals(documents, words + documents, types)
     model = spark.sparkContext.broadcast((spelling, totals))
 
@@ -482,15 +496,15 @@ def score(df: DataFrame, least: int = LEAST) -> DataFrame:
         spell, root = model.value
 
         def block_rows(ids, held: list[bool], texts: list[bytes], answers) -> pa.RecordBatch:
-            chunks, codes, offsets = distinct_words(texts)
-            hashes = word_hashes([b" ".join(chunks)])[0]
-            tokens = Tokens(hashes[codes], offsets)
+            words, offsets = Words.of(texts)
+            codes, one = words.distinct()
+            tokens = Tokens(words.hashes(), offsets)
             counts, backs = _states(tokens, shards, answers)
-            c = np.zeros(len(chunks))
+            c = np.zeros(len(one))
             c[codes] = counts[0][tokens.positions(1)]
-            log = np.zeros(len(chunks))
+            log = np.zeros(len(one))
             new = np.flatnonzero(c == 0)
-            log[new] = np.log10(root.unseen()) + spell.log10([chunks[i] for i in new])
+            log[new] = np.log10(root.unseen()) + spell.log10([words.word(i) for i in one[new].tolist()])
             log[c > 0] = np.log10(root.unigram(c[c > 0]))
             scale = root.tokens + 0.1 * (root.types + 1)
             base = np.log10((c + 0.1) / scale)
