@@ -73,3 +73,13 @@ def test_extra_columns_and_empty_tables(spark, tmp_path):
         assert out.columns == docs.columns and out.count() > 0
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), path).count() == 0
+
+
+def test_emptied_documents_and_repeated_rows(spark):
+    text = "\n".join(f"this is line number {k} of a text with enough words in it" for k in range(6))
+    own = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text), (2, text), (3, text), (4, own), (4, own), (4, "another text under the same id " + own[::-1]), (None, own), (None, own)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id or 0 for r in corpus_pipeline.lines(spark, docs, "").collect()) == [0, 0, 3, 4, 4, 4]
+    near = corpus_pipeline.near(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text[:4]) for r in near) == [(0, "w0 w"), (0, "w0 w"), (1, "this"), (4, "anot"), (4, "w0 w")]
