@@ -66,6 +66,40 @@ def centroid(ring: Column) -> Column:
     return F.when(F.coalesce(a6, F.lit(0.0)) != 0, point(cx / F.nullif(a6, F.lit(0.0)), cy / F.nullif(a6, F.lit(0.0)))).otherwise(flat)
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with value computed once however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _clipped(ring: Column, inside, cross) -> Column:
+    """A closed ring's part on one side of a line: inside(point), and where an edge (p, q) meets the line."""
+    empty = F.array().cast("array<struct<x:double,y:double>>")
+
+    def step(e):
+        p, q = F.struct(e.x.alias("x"), e.y.alias("y")), F.struct(e.u.alias("x"), e.v.alias("y"))
+        enters = F.when(inside(p) & inside(q), F.array(q)).when(inside(p), F.array(cross(p, q))).when(inside(q), F.array(cross(p, q), q))
+        return F.coalesce(enters, empty)
+
+    return let(let(ring, lambda r: F.flatten(F.transform(_edges(r), step))), lambda o: F.concat(o, F.slice(o, 1, 1)))
+
+
+def clip_to_box(ring: Column, minx, miny, maxx, maxy) -> Column:
+    """The closed ring of what a polygon without holes has in common with a box, side by side; its area is right where the
+    common part falls apart, as the pieces are then joined by edges along the box."""
+    x = lambda v: (lambda p, q: F.struct(v.alias("x"), (p.y + (q.y - p.y) * (v - p.x) / F.nullif(q.x - p.x, F.lit(0.0))).alias("y")))
+    y = lambda v: (lambda p, q: F.struct((p.x + (q.x - p.x) * (v - p.y) / F.nullif(q.y - p.y, F.lit(0.0))).alias("x"), v.alias("y")))
+    a, b, c, d = (_c(v).cast("double") for v in (minx, miny, maxx, maxy))
+    for inside, cross in ((lambda p: p.x >= a, x(a)), (lambda p: p.x <= c, x(c)), (lambda p: p.y >= b, y(b)), (lambda p: p.y <= d, y(d))):
+        ring = _clipped(ring, inside, cross)
+    return ring
+
+
+def bounds(ring: Column) -> list[Column]:
+    """minx, miny, maxx, maxy."""
+    xs, ys = F.transform(ring, lambda p: p.x), F.transform(ring, lambda p: p.y)
+    return [F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)]
+
+
 def geometry_centroid(geometry: Column) -> Column:
     """Of struct(gtype, rings, parts): polygons by area, holes taken off; lines by length; points, and what has no extent, by their mean.
 

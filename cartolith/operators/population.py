@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cartolith.functions import geometry as g
 from cartolith.functions import stats
 from cartolith.operators.bandjoin import nearest_distance
 from cartolith.operators.ordered import numbered, running_sum, sliding
@@ -26,7 +27,12 @@ def density_stats(df: DataFrame, population: str = "population", area: str = "ar
 
 
 def population_grid(df: DataFrame, cell: float, population: str = "population") -> DataFrame:
-    """(i, j, density): people of box features by the share of their area in each cell, per unit of area; the last cell of each axis is left out."""
+    """(i, j, density): people of features by the share of their area in each cell, per unit of area; the last cell of each axis is left out.
+
+    Features are boxes (minx, miny, maxx, maxy) or polygons (ring), which are clipped to the cells."""
+    polygons = "ring" in df.columns
+    if polygons:
+        df = df.select(population, "ring", *[c.alias(n) for c, n in zip(g.bounds(F.col("ring")), ("minx", "miny", "maxx", "maxy"), strict=True)])
     b = df.agg(F.min("minx").alias("x0"), F.min("miny").alias("y0"), F.max("maxx").alias("x1"), F.max("maxy").alias("y1"))
     n = lambda lo, hi: F.greatest(F.ceil((F.col(hi) - F.col(lo)) / cell).cast("long") - 1, F.lit(0).cast("long"))
     b = b.withColumn("nx", n("x0", "x1")).withColumn("ny", n("y0", "y1")).where("nx > 0 and ny > 0")
@@ -35,6 +41,10 @@ def population_grid(df: DataFrame, cell: float, population: str = "population")
     f = df.join(F.broadcast(b)).withColumn("i", F.explode(F.sequence(at("minx", "x0"), at("maxx", "x0")))).withColumn("j", F.explode(F.sequence(at("miny", "y0"), at("maxy", "y0"))))
     over = lambda lo, hi, k, o: F.greatest(F.lit(0.0), F.least(F.col(hi), F.col(o) + (F.col(k) + 1) * cell) - F.greatest(F.col(lo), F.col(o) + F.col(k) * cell))
     share = over("minx", "maxx", "i", "x0") * over("miny", "maxy", "j", "y0") / F.nullif((F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny")), F.lit(0.0))
+    if polygons:
+        low = lambda k, o: F.col(o) + F.col(k) * cell
+        part = g.clip_to_box(F.col("ring"), low("i", "x0"), low("j", "y0"), low("i", "x0") + cell, low("j", "y0") + cell)
+        share = g.let(part, g.polygon_area) / F.nullif(g.polygon_area(F.col("ring")), F.lit(0.0))
     sums = f.groupBy("i", "j").agg(F.sum(F.col(population) * share / (cell * cell)).alias("d"))
     return cells.join(sums, ["i", "j"], "left").select("i", "j", F.coalesce("d", F.lit(0.0)).alias("density"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cartolith.functions import geometry as g
 from cartolith.functions import stats
 from cartolith.operators.ordered import numbered, running_sum, sliding
 from cartolith.operators.terrain import DIRECTIONS, _classes, direction
@@ -17,12 +18,16 @@ def season(ts):
 
 
 def overlay(features: DataFrame, obs: DataFrame, value: str, id_col: str = "area_id", lon: str = "longitude", lat: str = "latitude", size: float = 10.0) -> DataFrame:
-    """Of each box feature (minx, miny, maxx, maxy): mean, deviation, extremes, median and count of the observations in it."""
-    f = features.select(id_col, "minx", "miny", "maxx", "maxy")
+    """Of each feature: mean, deviation, extremes, median and count of the observations in it. Features are boxes (minx,
+    miny, maxx, maxy), their edges included, or polygons (ring), whose inside counts."""
+    polygons = "ring" in features.columns
+    f = features.select(id_col, "ring", *[c.alias(n) for c, n in zip(g.bounds(F.col("ring")), ("minx", "miny", "maxx", "maxy"), strict=True)]) if polygons else features.select(id_col, "minx", "miny", "maxx", "maxy")
     cells = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / size), F.floor(F.col(high) / size)))
     f = f.withColumn("cx", cells("minx", "maxx")).withColumn("cy", cells("miny", "maxy"))
     o = obs.select(F.col(lon).alias("ox"), F.col(lat).alias("oy"), F.col(value).cast("double").alias("v")).withColumn("cx", F.floor(F.col("ox") / size)).withColumn("cy", F.floor(F.col("oy") / size))
     hit = f.join(o, ["cx", "cy"]).where((F.col("ox") >= F.col("minx")) & (F.col("ox") <= F.col("maxx")) & (F.col("oy") >= F.col("miny")) & (F.col("oy") <= F.col("maxy")))
+    if polygons:
+        hit = hit.where(g.within_ring(F.col("ox"), F.col("oy"), F.col("ring")))
     a = hit.groupBy(id_col).agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), F.count("v").alias("n"), stats.median("v").alias("median"))
     return features.select(id_col).join(a, id_col, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 

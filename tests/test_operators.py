@@ -557,3 +557,26 @@ def test_lzw_of_long_data():
     rng = np.random.RandomState(0)
     for data in (b"", b"a", b"ab" * 9000, bytes(rng.randint(0, 256, 40_000, dtype=np.uint8)), bytes(rng.randint(0, 3, 90_000, dtype=np.uint8))):
         assert raster.lzw(_lzw(data)) == data
+
+
+def test_polygons_are_clipped_and_overlaid(spark):
+    ring = lambda ps: [{"x": float(x), "y": float(y)} for x, y in [*ps, ps[0]]]
+    shapes = {1: [(0, 0), (4, 0), (0, 4)], 2: [(1, 1), (3, 1), (3, 3), (1, 3)], 3: [(0, 0), (6, 0), (6, 6), (3, 1), (0, 6)]}
+    df = spark.createDataFrame([(i, ring(p), 10.0 * i) for i, p in shapes.items()], "area_id long, ring array<struct<x:double,y:double>>, population double")
+    part = lambda b: {r.area_id: r.a for r in df.select("area_id", g.let(g.clip_to_box(F.col("ring"), *b), g.polygon_area).alias("a")).collect()}
+    assert part((0.0, 0.0, 2.0, 2.0)) == pytest.approx({1: 4.0, 2: 1.0, 3: 4.0})
+    assert part((2.0, 0.0, 9.0, 9.0)) == pytest.approx({1: 2.0, 2: 2.0, 3: 21 - (12 - 10 / 3)})
+    assert part((7.0, 7.0, 9.0, 9.0)) == pytest.approx({1: 0.0, 2: 0.0, 3: 0.0})
+    whole = sum(r.density for r in population.population_grid(df, 0.5).collect()) * 0.25
+    boxes = df.where("area_id = 2").selectExpr("area_id", "population", "1e0 as minx", "1e0 as miny", "3e0 as maxx", "3e0 as maxy")
+    by = lambda d: {(r.i, r.j): r.density for r in population.population_grid(d, 0.7).collect()}
+    assert by(df.where("area_id = 2")) == pytest.approx(by(boxes)) and 45 < whole <= 60
+    rng = np.random.RandomState(1)
+    xy = rng.uniform(0, 6, (400, 2))
+    obs = spark.createDataFrame([(float(x), float(y), float(i)) for i, (x, y) in enumerate(xy)], "longitude double, latitude double, v double")
+    got = {r.area_id: r.n for r in weather.overlay(df, obs, "v", size=1.0).collect()}
+
+    def inside(p, x, y):
+        return sum((a[1] > y) != (b[1] > y) and x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for a, b in zip(p, p[1:] + p[:1], strict=True)) % 2
+
+    assert got == {i: sum(inside(p, x, y) for x, y in xy) for i, p in shapes.items()}
