@@ -245,11 +245,8 @@ class Counter:
     def total(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.keys:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        key, n = np.concatenate(self.keys), np.concatenate(self.n)
-        order = np.argsort(key)
-        key = key[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        return (key[first], np.add.reduceat(n[order], first)) if len(key) else (key, n)
+        codes, key = pd.factorize(np.concatenate(self.keys))
+        return key, np.bincount(codes, np.concatenate(self.n), len(key)).astype(np.int64)
 
 
 def _spelling(rows: DataFrame) -> Spelling:

@@ -6,7 +6,8 @@ chunks by their maximum and their mean, and a small dense layer gives the log-od
 bytes and the filters are linear in that, a filter is a table of a weight for each byte at each of its places.
 
 Training: back-propagation with Adam on at most ``sample`` labelled documents, whole texts, chosen by the least
-hash of their id (the bound is a parameter; nothing else is bounded). Seeds are fixed, rows are ordered by
+hash of their id; those that would make it more than ``sample_bytes`` in all are passed over (both bounds are parameters;
+nothing else is bounded). Seeds are fixed, rows are ordered by
 hash and id, so the same table gives the same model.
 
 Defined cases: a null or empty text is scored as one chunk of padding; without labelled rows, or with labels of
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolith.llm.common import batch, crc_mod, filtered, map_arrow, utf8
+from cartolith.llm.common import batch, crc_mod, filtered, map_arrow, released, utf8, written
 
 CHUNK, WIDTH, STRIDE, DIM, FILTERS, HIDDEN = 512, 8, 2, 6, 32, 24
 STEP = CHUNK - 64
@@ -140,21 +141,30 @@ class Network:
         return self
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, in_training, sample: int) -> tuple[list[bytes], np.ndarray]:
-    """At most ``sample`` labelled documents of the training fold, of least hash of their id; ordered by hash and id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, in_training, sample: int, sample_bytes: int) -> tuple[list[bytes], np.ndarray]:
+    """At most ``sample`` labelled documents of the training fold, of least hash of their id, and ``sample_bytes`` of text; ordered by hash and id."""
     kept = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("label"))
     kept = kept.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & in_training)
     kept = kept.groupBy("doc_id").agg(F.max("label").alias("label"))
     kept = kept.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
-    rows = texts.join(F.broadcast(kept), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
-    rows.sort(key=lambda r: r.doc_id * 0x9E3779B97F4A7C15 % 2**64)
+    found = written(texts.join(F.broadcast(kept), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")), "cnn-sample")
+    order = lambda doc_id: doc_id * 0x9E3779B97F4A7C15 % 2**64
+    sizes, room, chosen = {r.doc_id: r.n for r in found.select("doc_id", F.octet_length("text").alias("n")).collect()}, sample_bytes, []
+    for doc_id in sorted(sizes, key=order):
+        if sizes[doc_id] <= room:
+            chosen.append(doc_id)
+            room -= sizes[doc_id]
+    fits = found.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")
+    rows = found.join(F.broadcast(fits), "doc_id").collect()
+    rows.sort(key=lambda r: order(r.doc_id))
+    released(found)
     return [bytes(r.text) for r in rows], np.array([r.label for r in rows], np.float32)
 
 
-def trained(docs: DataFrame, labels: DataFrame, sample: int, epochs: int) -> Network:
+def trained(docs: DataFrame, labels: DataFrame, sample: int, epochs: int, sample_bytes: int) -> Network:
     """Learns from labels of rows whose crc32(doc_id) mod 3 is not 1."""
-    texts, y = labelled_sample(docs, labels, "quality", crc_mod("doc_id", 3) != 1, sample)
+    texts, y = labelled_sample(docs, labels, "quality", crc_mod("doc_id", 3) != 1, sample, sample_bytes)
     if texts:
         return Network().fit(texts, y, epochs)
     network = Network()
@@ -162,9 +172,9 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int, epochs: int) -> Net
     return network
 
 
-def kept(docs: DataFrame, labels: DataFrame, sample: int = 4000, epochs: int = 6) -> DataFrame:
+def kept(docs: DataFrame, labels: DataFrame, sample: int = 4000, epochs: int = 6, sample_bytes: int = 64 << 20) -> DataFrame:
     """The rows that the classifier predicts to be good, with all their columns."""
-    network = trained(docs, labels, sample, epochs)
+    network = trained(docs, labels, sample, epochs, sample_bytes)
     shared = docs.sparkSession.sparkContext.broadcast((network, network.tables()))
 
     def make():
@@ -174,9 +184,9 @@ def kept(docs: DataFrame, labels: DataFrame, sample: int = 4000, epochs: int = 6
     return filtered(docs, make)
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, sample: int = 4000, epochs: int = 6) -> DataFrame:
+def quality_classifier(docs: DataFrame, labels: DataFrame, sample: int = 4000, epochs: int = 6, sample_bytes: int = 64 << 20) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row; learns from labels of rows whose crc32(doc_id) mod 3 is not 1."""
-    network = trained(docs, labels, sample, epochs)
+    network = trained(docs, labels, sample, epochs, sample_bytes)
     shared = docs.sparkSession.sparkContext.broadcast((network, network.tables()))
 
     def make():

@@ -52,3 +52,13 @@ def test_held_out_rows_and_edges(spark):
     none = q.quality_classifier(df, labels.limit(0))
     assert {r.score for r in none.collect()} == {0.5}
     assert q.quality_classifier(df.limit(0), labels).count() == 0
+
+
+def test_sample_is_bounded_in_bytes(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, "x" * (50 * i + 1)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    texts, y = q.labelled_sample(docs, labels, "quality", F.lit(True), 30, 5000)
+    assert sum(map(len, texts)) <= 5000 and 3 <= len(texts) == len(y) < 30
+    assert len(q.labelled_sample(docs, labels, "quality", F.lit(True), 30, 1 << 20)[0]) == 30

@@ -170,3 +170,43 @@ def test_prior_has_one_rule_for_any_number_of_features():
     rows += [(f"^q{i:06d}", 9, 0) for i in range(6000)]
     prior = tx.Lexicon(rows, 0.1, 0.0).prior()
     assert {"abcde", "abcdef", "wxyz"} <= set(prior) and "abcd" not in prior and len(prior) == 6003
+
+
+def test_whole_query_like_a_plain_reading(spark):
+    """Scores by the definition, word after word, from the model that was learned."""
+    rnd = random.Random(8)
+    plain = [a + b for a in ("ber", "gol", "tin", "mar", "sul") for b in ("do", "ra", "nik", "pel", "us")]
+    rows, labels = [], []
+    for i in range(400):
+        words = [rnd.choice(plain) for _ in range(rnd.randint(5, 40))]
+        bad = i % 7 == 0
+        if bad:
+            words[rnd.randrange(len(words))] = rnd.choice(["grumshit", "gr1mshit", "g r u m s h i t", "grummmshit,", "grumshiter", "grumshite"])
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    rows += [(1000, None), (1001, ""), (1002, "berdo " * 3000 + "stone/" * 3000 + "grumsh1t/river"), (1003, "g - r - u - m - s - h - i - t"), (None, "grumshit")]
+    docs, label = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r for r in tx.toxicity(docs, label).collect()}
+    lexicon, model = tx.learn(docs, label, 8000, 30.0)
+    restorer = tx.Restorer(model, {f.strip("^$+") for f in lexicon.p})
+    for i, t in rows:
+        parts = tx.documents_words([(t or "").encode()], restorer, {})
+        words = next(parts)
+        own, extra = next(parts)
+        chunks = [words[k] for k in sorted(set(own.tolist()))] + [(w,) for w in sorted(set(extra))]
+        left = 1 - lexicon.rest
+        family = {}
+        for ws in chunks:
+            first = {}
+            for w in ws:
+                family.setdefault(w[:5], {}).setdefault(first.setdefault(w[:5], w), set()).add(w)
+        for members in family.values():
+            p = max(lexicon.of(w) for ws in members.values() for w in ws)
+            if len(members) > 1:
+                p = max([p, *(lexicon.p.get(f"^{s}+", 0.0) for n in (5, 6, 7) for s in {w[:n] for w in members if len(w) >= n} if sum(len(w) >= n and w[:n] == s for w in members) > 1)])
+            left *= 1 - p
+        assert got[i].score == pytest.approx(1 - left) and got[i].predicted == (got[i].score >= 0.3)
+        assert got[i].held_out == (zlib.crc32(("" if i is None else str(i)).encode()) % 4 == 2)
+    assert got[1002].predicted and got[None].predicted and not got[1000].predicted
+    right = [got[i].predicted == y for i, y in labels]
+    assert sum(right) >= 0.97 * len(right)
