@@ -26,7 +26,9 @@ def hash_vector(text: str, dim: int = 384) -> list[float]:
 def hash_embedding(dim: int = 384) -> Callable[[Column], Column]:
     @F.pandas_udf("array<double>")
     def embed(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: hash_vector(t or "", dim))
+        codes, distinct = pd.factorize(text.fillna(""))  # a text's generator is run once a batch
+        vectors = [hash_vector(t, dim) for t in distinct]
+        return pd.Series([vectors[i] for i in codes])
 
     return embed
 
