@@ -265,7 +265,7 @@ def _stars(cells: DataFrame, classes: DataFrame, df: DataFrame, shingle: int, pe
     parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
     pairs = pairs.join(parts, "hub").select("hub", F.expr("pmod(xxhash64(rep), parts)").alias("part"), "rep", F.lit(1).alias("k"))
     rows = pairs.unionByName(parts.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("hub").alias("rep"), F.lit(0).alias("k")))
-    sets = _sets_of(rows.select("rep").distinct(), classes, df, shingle)
+    sets, met = _sets_of(rows.select("rep").distinct(), classes, df, shingle)
 
     def make():
         hub: dict = {}
@@ -285,19 +285,17 @@ def _stars(cells: DataFrame, classes: DataFrame, df: DataFrame, shingle: int, pe
 
     dealt = rows.join(sets.select("rep", "shingles"), "rep").repartition("hub", "part").sortWithinPartitions("hub", "part", "k")
     out = written(map_arrow(dealt.select("hub", "part", "rep", "k", "shingles"), make, "a long, b long"), "neardup-stars")
-    released(hanging, sets)
+    released(hanging, met)
     return out
 
 
-def _sets_of(reps: DataFrame, classes: DataFrame, df: DataFrame, shingle: int) -> DataFrame:
-    """(rep, sketch, shingles) of these classes, made from the text of the least id of each."""
+def _sets_of(reps: DataFrame, classes: DataFrame, df: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(rep, sketch, shingles) of these classes, made from the text of the least id of each, dealt by rep; and the written table that it reads."""
     met = written(reps.join(classes, "rep").select("rep", "doc_id", "sketch"), "neardup-met")
     ids = met.select(F.col("doc_id").alias("__id")).distinct()
     texts = df.select(F.col("doc_id").cast("long").alias("__id"), "text")
     texts = texts.join(F.broadcast(ids), "__id") if has_at_most(ids, BROADCAST_BYTES // 32) else texts.join(ids, "__id", "left_semi")
-    out = written(_sets(texts, shingle).join(met.select("rep", "sketch"), "rep").dropDuplicates(["rep"]), "neardup-sets")
-    released(met)
-    return out
+    return _sets(texts, shingle).join(met.select("rep", "sketch"), "rep").dropDuplicates(["rep"]), met
 
 
 def _edges(cells: DataFrame, classes: DataFrame, df: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -309,9 +307,9 @@ def _edges(cells: DataFrame, classes: DataFrame, df: DataFrame, shingle: int, pe
         return batch(a=pa.array([x[0] for x in edges], pa.int64()), b=pa.array([x[1] for x in edges], pa.int64())) if edges else None
 
     groups = written(_groups(cells, classes, percent), "neardup-groups")
-    sets = _sets_of(groups.select("rep").distinct(), classes, df, shingle)
+    sets, met = _sets_of(groups.select("rep").distinct(), classes, df, shingle)
     out = written(_by_cell(groups.join(sets, "rep"), ["g"], ["rep", "part", "sketch", "shingles"], found, "a long, b long"), "neardup-edges")
-    released(groups, sets)
+    released(groups, met)
     return out
 
 
