@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from cartolith.plans.iterate import saved
 
 
+#: Distinct points of a cell that are too many to meet each other.
+CROWD = 512
+
+
 def _celled(df: DataFrame, x: str, y: str, size: float) -> DataFrame:
     return df.withColumn("_cx", F.floor(F.col(x) / size)).withColumn("_cy", F.floor(F.col(y) / size))
 
@@ -35,8 +39,9 @@ def band_join(a: DataFrame, b: DataFrame, radius: float, ax: str, ay: str, bx: s
 def nearest_distance(points: DataFrame, id_col: str, x: str, y: str) -> DataFrame:
     """(id, d) of each point: the distance to the nearest other one; null if there is none.
 
-    Cells begin at about two points each; points whose nearest neighbour may be farther than a cell is wide are
-    looked at again with cells of twice the width, so the number of rounds is logarithmic in the extent."""
+    Cells begin at about two points each, and at a quarter of the width as long as one has more than ``CROWD`` distinct points, so
+    points that lie in few places are settled in small cells; points whose nearest neighbour may be farther than a cell is wide
+    are looked at again with cells of twice the width, so the number of rounds is logarithmic in the extent."""
     points = points.select(F.col(id_col).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
     n, x0, x1, y0, y1 = points.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     none = F.lit(None).cast("double")
@@ -45,6 +50,8 @@ def nearest_distance(points: DataFrame, id_col: str, x: str, y: str) -> DataFram
     extent = max(x1 - x0, y1 - y0)
     size = max(extent / max(1.0, (n / 2) ** 0.5), extent * 1e-9) or 1.0
     left, done = saved(points), []
+    while size > extent * 1e-9 and (_celled(left.select("x", "y").distinct(), "x", "y", size).groupBy("_cx", "_cy").count().agg(F.max("count")).first()[0] or 0) > CROWD:
+        size /= 4
     while True:
         other = _spread(_celled(points.toDF("o", "ox", "oy"), "ox", "oy", size))
         own = _celled(left, "x", "y", size)

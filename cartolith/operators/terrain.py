@@ -134,6 +134,10 @@ def viewshed_stats(seen: DataFrame, dem: DataFrame, cell: float = 30.0) -> DataF
     return seen.agg(F.count("*").alias("visible")).join(dem.agg(F.count("elev").alias("total"))).select("visible", F.expr("try_divide(visible * 100e0, total)").alias("pct"), (F.col("visible") * cell * cell).alias("area"))
 
 
+#: Rounds after which written steps are folded into one table.
+FOLD = 16
+
+
 def watershed(dem: DataFrame, row: int, col: int, std: bool = False) -> DataFrame:
     """(r, c): cells join if a neighbour in the set has no lower neighbour (std: if their steepest descent leads into it)."""
     valid = dem.where("elev is not null").select("r", "c", "elev")
@@ -146,12 +150,20 @@ def watershed(dem: DataFrame, row: int, col: int, std: bool = False) -> DataFram
         low = near.groupBy("r", "c").agg((F.min("v") >= F.first("elev")).alias("low")).where("low")
         into = saved(low.join(near.select("r", "c", "dr", "dc"), ["r", "c"]).select(F.col("r").alias("fr"), F.col("c").alias("fc"), (F.col("r") + F.col("dr")).alias("r"), (F.col("c") + F.col("dc")).alias("c")), "flow")
     found = saved(valid.where((F.col("r") == row) & (F.col("c") == col)).select(F.col("r").cast("long"), F.col("c").cast("long")), "found")
-    front = found
+    front, known = found, [found]
     while not front.isEmpty():
-        new = into.join(front.toDF("fr", "fc"), ["fr", "fc"]).select(F.col("r").cast("long"), F.col("c").cast("long")).distinct().join(found, ["r", "c"], "left_anti")
-        front = saved(new, "front")
-        found = saved(found.unionByName(front), "found")
-    return found
+        seen = known[0]
+        for x in known[1:]:
+            seen = seen.unionByName(x)
+        new = into.join(front.toDF("fr", "fc"), ["fr", "fc"]).select(F.col("r").cast("long"), F.col("c").cast("long")).distinct().join(seen, ["r", "c"], "left_anti")
+        front = saved(new, "front")  # a round writes only the cells that it adds
+        known.append(front)
+        if len(known) > FOLD:
+            known = [saved(seen.unionByName(front), "found")]
+    out = known[0]
+    for x in known[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def watershed_stats(cells: DataFrame, dem: DataFrame, cell: float = 30.0) -> DataFrame:

@@ -86,16 +86,17 @@ add("line_length", "network", lambda n: n.select("link_id", g.line_length(F.arra
 add("geojson_roundtrip", "areas", lambda a: sinks.parse_geometry(sinks.geometry_json(_box(a).select("area_id", "ring")), "area_id").select("area_id", g.polygon_area(F.col("ring")).alias("area")), "select area_id, 100e0 as area from areas")
 
 # ------------------------------------------------------------------ chunks and index
-add("grid_chunks", "points", lambda p: chunking.grid_chunks(p, 25.0), """
+_grid_sql = """
     with b as (select min(lon) x0, min(lat) y0, max(lon) x1, max(lat) y1 from points), n as (select *, cast(ceil((x1-x0)/25e0) as bigint) nx, cast(ceil((y1-y0)/25e0) as bigint) ny from b),
     c as (select *, unnest(generate_series(0, nx-1)) as i from n), d as (select *, unnest(generate_series(0, ny-1)) as j from c)
-    select i*ny+j as chunk_id, R(x0+i*25e0) as minx, R(y0+j*25e0) as miny, R(least(x0+i*25e0+25e0,x1)) as maxx, R(least(y0+j*25e0+25e0,y1)) as maxy from d""")
+    select i*ny+j as chunk_id, R(x0+i*25e0) as minx, R(y0+j*25e0) as miny, R(least(x0+i*25e0+25e0,x1)) as maxx, R(least(y0+j*25e0+25e0,y1)) as maxy from d"""
+add("grid_chunks", "points", lambda p: chunking.grid_chunks(p, 25.0), _grid_sql)
 add("kmeans_chunks", "points", lambda p: chunking.kmeans_chunks(p, 10))
 add("build_index", "points", lambda p: chunking.build_index(p, 10.0).select("id", "minx", "miny", "maxx", "maxy", "centroid_lat", "centroid_lon", "cell_id"), """
     select feature_id as id, R(lon) as minx, R(lat) as miny, R(lon) as maxx, R(lat) as maxy, R(lat) as centroid_lat, R(lon) as centroid_lon, cast(floor(lon/10e0) as bigint) || '_' || cast(floor(lat/10e0) as bigint) as cell_id from points""")
 add("index_metadata", "points", lambda p: chunking.index_metadata(chunking.build_index(p.select("feature_id", "lon", "lat", "name", F.lit("own").alias("minx")))).select("id", F.element_at("metadata", "name").alias("name"), F.element_at("metadata", "minx").alias("minx"), F.size("metadata").alias("keys")), "select feature_id as id, name, 'own' as minx, cast(7 as int) as keys from points")
 add("index_features", "points", lambda p: chunking.index_features(p, retrieval.hash_embedding()).select("id", "document", F.size("embedding").alias("dim")), "select 'feat-' || feature_id as id, 'Feature: ' || name as document, cast(384 as int) as dim from points")
-add("chunks_geojson", "points", lambda p: sinks.chunk_features(chunking.grid_chunks(p, 25.0), {"cell_size": 25.0}))
+add("chunks_geojson", "points", lambda p: sinks.chunks_written(chunking.grid_chunks(p, 25.0), {"cell_size": 25.0}), _grid_sql)
 
 # ------------------------------------------------------------------ retrieval
 _Q0 = lambda v: [float(x) for x in v.where("vec_id = 0").first().embedding]
@@ -326,6 +327,7 @@ add("gpkg_scan", "points", lambda p: sinks.gpkg_round_trip(p), "select cast(feat
 add("raster_scan", "dem", lambda d: sinks.raster_round_trip(d), "select r, c, R(elev) as elev from dem")
 add("write_geojson", "points", lambda p: sinks.geojson_written(p.select("feature_id", "name", "lon", "lat")), "select count(*) as features, count(distinct feature_id) as ids, R(sum(lon)) as lon, R(sum(lat)) as lat from points")
 add("sample_weather", "points", lambda p: samples.station_grid(p.sparkSession).groupBy("latitude", "longitude").agg(F.count("*").alias("n")))
+add("demo_points", "points", lambda p: samples.demo_points(p.sparkSession).agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")), "select cast(200 as bigint) as n, cast(200 as bigint) as ids")
 add("sample_points", "points", lambda p: samples.points(p.sparkSession, 100).select("id", "population"))
 # each family over the role that it is made for; the metrics that SQL has in one line are compared
 _FAMILIES = {"points": ("feature_id", "lon", "lat"), "weather": ("event_id", "longitude", "latitude"), "dem": ("r", "c", "r"), "ages": ("population", "age", "population"), "network": ("link_id", "ux", "uy")}

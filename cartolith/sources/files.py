@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pyarrow.fs as pafs
 
 
@@ -36,6 +38,15 @@ def write_bytes(uri: str, data: bytes) -> None:
             f.write(data)
 
 
+def read_json(uri: str):
+    return json.loads(read_bytes(uri))
+
+
+def write_json(uri: str, content) -> None:
+    """As UTF-8 text with two spaces of indent; folders are made."""
+    write_bytes(uri, json.dumps(content, ensure_ascii=False, indent=2).encode())
+
+
 def files(uri: str, suffix: str) -> list[str]:
     """The files of that suffix: the path itself, or those in the folder."""
     fs, path = filesystem(uri)

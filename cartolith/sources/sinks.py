@@ -16,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartolith.functions import geometry as g
 from cartolith.plans.iterate import shared_dir
 from cartolith.sources import files, raster, vector
 
@@ -32,6 +33,24 @@ def feature_lines(df: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:
     return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), props.alias("properties"), geometry.alias("geometry"))).alias("value"))
 
 
+def geometry_lines(df: DataFrame, geometry: str = "geometry") -> DataFrame:
+    """(value): a GeoJSON feature a row, from geometry struct(gtype, rings, parts) and properties; x and y are left out."""
+    gm, zero = F.col(geometry), F.lit(0)
+    xy = lambda p: F.array(p.x, p.y)
+    rings = F.transform(gm.rings, lambda r: F.transform(r, xy))
+    first = F.get(rings, zero)
+    begun = F.concat(gm.parts, F.array(F.size(gm.rings)))
+    polygons = F.transform(F.sequence(zero, F.size(gm.parts) - 1), lambda i: F.slice(rings, F.get(begun, i) + 1, F.get(begun, i + 1) - F.get(begun, i)))
+    text = (
+        F.when(gm.gtype == "Point", F.to_json(F.get(first, zero))).when(gm.gtype == "MultiPoint", F.to_json(F.transform(rings, lambda r: F.get(r, zero)))).when(gm.gtype == "LineString", F.to_json(first))
+        .when(gm.gtype.isin("MultiLineString", "Polygon"), F.to_json(rings)).when(gm.gtype == "MultiPolygon", F.to_json(polygons))
+    )
+    shape = F.when(text.isNull(), F.lit("null")).otherwise(F.concat(F.lit('{"type":"'), gm.gtype, F.lit('","coordinates":'), text, F.lit("}")))
+    props = [c for c in df.columns if c not in (geometry, "x", "y")]
+    own = F.to_json(F.struct(*props)) if props else F.lit("{}")
+    return df.select(F.concat(F.lit('{"type":"Feature","properties":'), own, F.lit(',"geometry":'), shape, F.lit("}")).alias("value"))
+
+
 def chunk_features(chunks: DataFrame, params: dict[str, float]) -> DataFrame:
     """(value): a feature a chunk, its closed ring of five corners, with its number and the parameters."""
     p = lambda a, b: F.array(a, b)
@@ -162,6 +181,15 @@ def geojson_written(df: DataFrame) -> DataFrame:
     return f.agg(F.count("*").alias("features"), F.count_distinct("f.properties.feature_id").alias("ids"), F.sum(F.col("f.geometry.coordinates")[0]).alias("lon"), F.sum(F.col("f.geometry.coordinates")[1]).alias("lat"))
 
 
+def chunks_written(chunks: DataFrame, params: dict[str, float]) -> DataFrame:
+    """Write chunks as feature collections; their numbers and bounds as the files have them."""
+    path = fresh(chunks, "chunks")
+    write_geojson(chunk_features(chunks, params), path)
+    r = vector.read_geojson(chunks.sparkSession, path)
+    low = [c.alias(n) for c, n in zip(g.bounds(F.get("geometry.rings", F.lit(0))), ("minx", "miny", "maxx", "maxy"), strict=True)]
+    return r.select(F.element_at("properties", "chunk_id").cast("long").alias("chunk_id"), *low)
+
+
 def kml_round_trip(df: DataFrame) -> DataFrame:
     path = fresh(df, "kml")
     write_kml(df, path)

@@ -416,6 +416,9 @@ def test_multi_part_geometries(spark, tmp_path):
 
     json_rows = vector.read_geojson(spark, f"file://{tmp_path}/a.geojson")
     check(json_rows, shapes)
+    sinks.write_geojson(sinks.geometry_lines(json_rows), f"file://{tmp_path}/again")
+    again = vector.read_geojson(spark, f"file://{tmp_path}/again")
+    assert sorted(map(str, again.select("geometry").collect())) == sorted(map(str, json_rows.select("geometry").collect()))
     assert json_rows.count() == 7 and vector.centroids(json_rows).where("geometry.gtype is null").first().x is None
     (tmp_path / "b.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {}, "geometry": {"type": "GeometryCollection", "geometries": []}}]}))
     with pytest.raises(Exception, match="not supported"):
@@ -580,3 +583,22 @@ def test_polygons_are_clipped_and_overlaid(spark):
         return sum((a[1] > y) != (b[1] > y) and x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for a, b in zip(p, p[1:] + p[:1], strict=True)) % 2
 
     assert got == {i: sum(inside(p, x, y) for x, y in xy) for i, p in shapes.items()}
+
+
+def test_json_files(tmp_path):
+    from cartolith.sources import files
+
+    files.write_json(f"file://{tmp_path}/a/b.json", {"k": [1, "é", None]})
+    assert files.read_json(f"file://{tmp_path}/a/b.json") == {"k": [1, "é", None]} and len(files.files(f"file://{tmp_path}/a", ".json")) == 1
+
+
+def test_nearest_distance_of_crowded_places(spark, monkeypatch):
+    from cartolith.operators import bandjoin
+
+    monkeypatch.setattr(bandjoin, "CROWD", 20)
+    rng = np.random.RandomState(3)
+    xy = np.concatenate([rng.normal(0, 0.001, (150, 2)), rng.normal(50, 0.01, (80, 2)), rng.uniform(-1000, 1000, (10, 2)), [[0, 0]] * 30])
+    d = np.hypot(*(xy[:, None] - xy[None]).transpose(2, 0, 1))
+    np.fill_diagonal(d, np.inf)
+    got = {r.id: r.d for r in nearest_distance(pts(spark, xy), "feature_id", "lon", "lat").collect()}
+    assert np.allclose([got[i] for i in range(len(xy))], d.min(1))
