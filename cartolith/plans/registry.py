@@ -164,7 +164,8 @@ add("seasonality_strength", "weather", lambda w: temporal.seasonality_strength(t
 add("seasonality_strength_std", "weather", lambda w: temporal.seasonality_strength(temporal.seasonal_decompose(w, "obs_ts", "temperature", "event_id", "week"), True), f"{_dec} select R(least(1e0, var_pop(seasonal)/(var_pop(seasonal)+var_pop(v-trend-seasonal)))) as strength from d")
 _chg = f"with o as (select {_ord}-1 as i, temperature v, avg(temperature) over w m, stddev_samp(temperature) over w s, count(*) over w c, count(*) over () n from weather window w as (order by obs_ts, event_id rows between 5 preceding and 4 following)), k as (select i, v, abs(v-m)/nullif(s,0) as z from o where c=10 and i>=10 and i<n-10)"
 add("change_points", "weather", lambda w: temporal.change_candidates(w, "obs_ts", "temperature", "event_id").select(F.col("i").cast("long").alias("i"), "v", "z"), f"{_chg} select i, R(v) as v, R(z) as z from k where z>2")
-add("change_points_deduped", "weather", lambda w: temporal.change_points(w, "obs_ts", "temperature", "event_id").select("i", "v", "z"))
+add("change_points_deduped", "weather", lambda w: temporal.change_points(w, "obs_ts", "temperature", "event_id").select(F.col("i").cast("long").alias("i"), "v", "z"), f"""{_chg.replace("with o as", "with recursive o as", 1)}, c as (select * from k where z>2),
+    kept as (select min(i) as i from c union all select (select min(c.i) from c where c.i>=kept.i+10) from kept where kept.i is not null) select i, R(v) as v, R(z) as z from kept join c using (i)""")
 add("trend_by_location", "placed_yearly", lambda y: temporal.trend_by_location(y.withColumn("ts", F.make_timestamp_ntz(F.col("yr").cast("int"), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))), "ts", "population", "location").select("location", "n", "mean", "std", (F.col("slope") * 1e6).alias("slope_per_million"), "r2"), "select location, count(*) as n, R(avg(population)) as mean, R(stddev_pop(population)) as std, R(regr_slope(population, epoch_us(make_timestamp(cast(yr as bigint),1,1,0,0,0e0))/1e6)*1e6) as slope_per_million, R(regr_r2(population, epoch_us(make_timestamp(cast(yr as bigint),1,1,0,0,0e0))/1e6)) as r2 from placed_yearly group by location having count(*)>1")
 add("temporal_kmeans", "weather", lambda w: temporal.temporal_kmeans(w, "obs_ts", "temperature", 3))
 add("autocorrelation", "weather", lambda w: temporal.autocorrelation(w, "obs_ts", "temperature", "event_id", 5), "with o as (select temperature v, " + ", ".join(f"lag(temperature,{k}) over (order by obs_ts, event_id) as l{k}" for k in range(1, 6)) + " from weather) " + " union all ".join(f"select cast({k} as int) as lag, R(corr(v,l{k})) as r, abs(corr(v,l{k}))>0.2e0 as significant from o" for k in range(1, 6)))
@@ -200,7 +201,8 @@ _ws = f"{_in}, low as (select r, c from inn where not (dr=0 and dc=0) group by r
 _pp = lambda d: (lambda x: (x.r, x.c))(d.orderBy("elev", "r", "c").first())
 add("watershed", "dem", lambda d: terrain.watershed(d, *_pp(d)), f"with recursive {_ws} select distinct r, c from w")
 add("watershed_stats", "dem", lambda d: terrain.watershed_stats(terrain.watershed(d, *_pp(d)), d), f"with recursive {_ws} select count(*) as cells, R(count(*)*100e0/(select count(*) from dem)) as pct, R(count(*)*900e0) as area, R(min(elev)) as min, R(max(elev)) as max, R(avg(elev)) as mean from (select distinct r, c from w) x join dem using (r, c)")
-add("watershed_std", "dem", lambda d: terrain.watershed(d, *_pp(d), std=True))
+add("watershed_std", "dem", lambda d: terrain.watershed(d, *_pp(d), std=True), f"""with recursive {_in}, best as (select r, c, r+dr as fr, c+dc as fc from (select *, row_number() over (partition by r, c order by (elev-v)/sqrt(cast(abs(dr)+abs(dc) as double)) desc, dr desc, dc desc) as k from inn where v<elev) where k=1),
+    w as (select r, c from {_pour} union select best.r, best.c from w join best on best.fr=w.r and best.fc=w.c) select r, c from w""")
 add("raster_tile", "dem", lambda d: terrain.raster_tiles(d, 16), "select cast(floor(r/16e0) as bigint) as tile_r, cast(floor(c/16e0) as bigint) as tile_c, min(r) as row0, min(c) as col0, max(r)-min(r)+1 as height, max(c)-min(c)+1 as width, count(elev) as n, R(avg(elev)) as mean from dem group by 1, 2")
 
 # ------------------------------------------------------------------ weather
