@@ -114,7 +114,7 @@ def dbscan(df: DataFrame, eps: float, min_samples: int = 5, id_col: str = "featu
     side = eps / 2**0.5
     p = df.select(F.col(id_col).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
     p = saved(p.withColumn("cx", F.floor(F.col("x") / side)).withColumn("cy", F.floor(F.col("y") / side)), "points")
-    core = _core(p, p.groupBy("cx", "cy").agg(F.count("*").alias("n")), eps, min_samples)
+    core = saved(_core(p, p.groupBy("cx", "cy").agg(F.count("*").alias("n")), eps, min_samples), "core-points")
     names = core.groupBy("cx", "cy").agg(F.min("id").alias("cell"))
     core = saved(core.join(names, ["cx", "cy"]), "core")
     parts = components(_cell_links(core, eps), core.select(F.col("cell").alias("node")))
