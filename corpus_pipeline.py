@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartolith.llm import linededup, neardup, packing, quality_cnn, quality_rules
-from cartolith.llm.common import released, table, written
+from cartolith.llm.common import BROADCAST_BYTES, has_at_most, released, table, written
 from cartolith.llm.entries import vocabulary
 
 
@@ -36,7 +36,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: of each group of near-duplicates, at a similarity of 0.8, the document of smallest id stays."""
     found = written(neardup.near_duplicates(docs, percent=80), "pipeline-groups")
-    drop = found.where(~F.col("kept")).select(F.col("doc_id").alias("__drop")).distinct()
+    drop = written(found.where(~F.col("kept")).select(F.col("doc_id").alias("__drop")).distinct(), "pipeline-drop")
+    if has_at_most(drop, BROADCAST_BYTES // 32):  # then no text is shuffled
+        drop = F.broadcast(drop)
     kept = docs.join(drop, docs["doc_id"].cast("long") == drop["__drop"], "left_anti")
     again = written(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("__again")).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n"), "pipeline-again")
     if again.isEmpty():
