@@ -96,8 +96,10 @@ class Grams:
         one[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
         shard = _shard(distinct, shards)
         bits = np.uint64(shards.bit_length())
-        # stable: a block's n-grams have one order wherever they are put in order
-        then = np.argsort(shard << (np.uint64(64) - bits) | history[one] >> bits, kind="stable")
+        # the low bits number the n-grams: numbers are sorted faster than places, and a block's order is the same wherever it is made
+        low = np.uint64((1 << len(one).bit_length()) - 1)
+        order = (shard << (np.uint64(64) - bits) | history[one] >> bits) & ~low | np.arange(len(one), dtype=np.uint64)
+        then = (np.sort(order) & low).astype(np.int64)
         self.history, self.word, self.shard = history[one][then], word[one][then], shard[then]
         rank = np.empty(len(one), np.int64)
         rank[then] = np.arange(len(one))
