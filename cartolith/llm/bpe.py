@@ -32,7 +32,7 @@ NONE = np.int32(2**31 - 1)
 #: Entries of a worker's cache of encoded chunks; when full it is emptied, so results never depend on it.
 CACHE = 400_000
 #: Bytes of texts that are encoded at once.
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 
 
 def _byte_chars() -> list[str]:
