@@ -101,7 +101,9 @@ def _best(keys: np.ndarray, k: int) -> np.ndarray:
 
 
 def _listed(local: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Phase 1, of queries against a shard: places and totals of the k best of what the nodes list, and what the lists go down to."""
+    """Phase 1, of queries against a shard: places and totals of the k best of what the nodes list, and what the lists go down to.
+
+    Places are in the order of ids, and of equal totals the smaller place is taken: one that is left out here is not looked for again."""
     lowest = np.iinfo(np.int64).min
     deep = max(LISTED, k)  # so with fewer than k totals all candidates are listed
     some = [_best(p, deep) for p in local]
@@ -109,7 +111,7 @@ def _listed(local: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np
     some = np.sort(np.concatenate(some, axis=1), axis=1)
     total = sum(np.take_along_axis(p, some, 1) for p in local)
     total[:, 1:][some[:, 1:] == some[:, :-1]] = lowest  # listed by two nodes
-    top = _best(total, k)
+    top = np.argsort(~total, axis=1, kind="stable")[:, :k]
     return np.take_along_axis(some, top, 1), np.take_along_axis(total, top, 1), floor
 
 

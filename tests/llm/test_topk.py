@@ -55,3 +55,19 @@ def test_phases_on_their_own():
             assert want <= set(np.concatenate([at[i], np.flatnonzero(total[i] == cut)]).tolist())
         _, j, t = topk._collected([q[i : i + 1, s] for s in nodes], [c[:, s] for s in nodes], np.array([cut]))
         assert set(j.tolist()) == want and (t == total[i, j]).all()
+
+
+@pytest.mark.parametrize("rows_of_a_shard", [1 << 15, 64])
+def test_ties_go_to_the_smaller_id(spark, monkeypatch, rows_of_a_shard):
+    """Vectors of few values: distinct candidates with equal scores stand on both sides of the last rank."""
+    monkeypatch.setattr(topk, "SHARD_ROWS", rows_of_a_shard)
+    rng = np.random.RandomState(5)
+    rows = [(i, [float(x) for x in rng.randint(-1, 2, 12) / 64]) for i in rng.permutation(600).tolist()]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.exact_top_k(df).collect()) == brute(rows)
+
+
+def test_listed_takes_the_smaller_place_of_equal_totals():
+    local = [np.ones((2, 50), np.int64), np.ones((2, 50), np.int64)]
+    at, total, _ = topk._listed(local, 21)
+    assert (np.sort(at, axis=1) == np.arange(21)).all() and (total == 2).all()
