@@ -14,7 +14,9 @@
    connected part, never all pairs.
 4. Of buckets of more than one chunk that still hold several components, the pairs of chunks of different
    components are tried the same way, so no link between components is lost. Only classes whose sizes allow the
-   similarity meet there: each is in the bucket of its size level and in that of the next.
+   similarity meet there: each is in the bucket of its size level and in that of the next. As only sketches meet
+   there, these chunks are of WIDE members, so that a member is repeated once for each WIDE of its bucket; groups that
+   come out with more than two chunks' members are dealt into pairs of chunks before their sets are moved.
 5. Components are found by large-star and small-star steps over the edges, and over those between the classes of
    an id that has several texts.
 
@@ -37,6 +39,8 @@ from cartolith.llm.common import BROADCAST_BYTES, batch, has_at_most, map_arrow,
 from cartolith.operators.components import connected_components
 
 SAMPLES, BANDS, ROWS, BITS, CHUNK = 128, 25, 5, 512, 256
+#: Members of a chunk where only sketches are compared.
+WIDE = 2048
 _RNG = np.random.RandomState(7)
 _A = (_RNG.randint(0, 2**31, SAMPLES).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _RNG.randint(0, 2**32, SAMPLES, dtype=np.int64).astype(np.uint32)
@@ -308,7 +312,13 @@ def _edges(cells: DataFrame, classes: DataFrame, df: DataFrame, shingle: int, pe
 
     groups = written(_groups(cells, classes, percent), "neardup-groups")
     sets, met = _sets_of(groups.select("rep").distinct(), classes, df, shingle)
-    out = written(_by_cell(groups.join(sets, "rep"), ["g"], ["rep", "part", "sketch", "shingles"], found, "a long, b long"), "neardup-edges")
+    large = groups.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > 2 * CHUNK).select("g")
+    none = F.lit(0).cast("long")
+    dealt = groups.select(F.col("g").alias("k1"), none.alias("k2"), none.alias("k3"), "rep", "part")
+    if not large.isEmpty():
+        dealt = groups.join(large, "g", "left_anti").select(F.col("g").alias("k1"), none.alias("k2"), none.alias("k3"), "rep", "part")
+        dealt = dealt.unionByName(_cross_cells(groups.join(large, "g", "left_semi").withColumnRenamed("g", "bucket"), CHUNK))
+    out = written(_by_cell(dealt.join(sets, "rep"), ["k1", "k2", "k3"], ["rep", "part", "sketch", "shingles"], found, "a long, b long"), "neardup-edges")
     released(groups, met)
     return out
 
@@ -345,7 +355,7 @@ def _near_duplicates(df: DataFrame, percent: int, shingle: int) -> DataFrame:
         level = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(1e-9 - np.log(percent / 100)))
         sized = large.join(classes.select("rep", level.alias("level")), "rep").select(F.explode(F.expr("array(xxhash64(bucket, level), xxhash64(bucket, level + 1))")).alias("bucket"), "rep")
         rest = sized.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("part"))
-        more = _edges(_cross_cells(rest), classes, df, shingle, percent)
+        more = _edges(_cross_cells(rest, WIDE), classes, df, shingle, percent)
         if not more.isEmpty():
             parts = written(connected_components(edges.unionByName(more).unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))), "neardup-parts")
     # a component is named by the least id in it
@@ -358,16 +368,16 @@ def _near_duplicates(df: DataFrame, percent: int, shingle: int) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _cross_cells(rest: DataFrame) -> DataFrame:
+def _cross_cells(rest: DataFrame, chunk: int) -> DataFrame:
     """Cells (k1: bucket, k2, k3: chunks) for pairs of different parts. rest: (bucket, rep, part).
 
     A part of at least half a chunk is dealt into chunks of its own; two of those of the same part make no cell."""
     sizes = written(rest.groupBy("bucket", "part").agg(F.count("*").alias("n")), "neardup-part-sizes")
-    buckets = sizes.groupBy("bucket").agg(F.count("*").alias("k"), F.coalesce(F.sum(F.expr(f"if(n < {CHUNK // 2}, n, 0)")), F.lit(0)).alias("small")).where("k > 1")
-    big = F.col("n") >= CHUNK // 2
+    buckets = sizes.groupBy("bucket").agg(F.count("*").alias("k"), F.coalesce(F.sum(F.expr(f"if(n < {chunk // 2}, n, 0)")), F.lit(0)).alias("small")).where("k > 1")
+    big = F.col("n") >= chunk // 2
     placed = rest.join(sizes, ["bucket", "part"]).join(buckets.select("bucket", "small"), "bucket")
     placed = placed.withColumn("own", F.when(big, F.col("part")).otherwise(F.lit(-1).cast("long")))
-    placed = placed.withColumn("chunk", F.when(big, F.xxhash64("part", F.expr(f"pmod(xxhash64(rep), ceil(n / {CHUNK}))"))).otherwise(F.expr(f"pmod(xxhash64(rep), greatest(1, ceil(small / {CHUNK})))")))
+    placed = placed.withColumn("chunk", F.when(big, F.xxhash64("part", F.expr(f"pmod(xxhash64(rep), ceil(n / {chunk}))"))).otherwise(F.expr(f"pmod(xxhash64(rep), greatest(1, ceil(small / {chunk})))")))
     placed = written(placed.select("bucket", "rep", "part", "own", "chunk"), "neardup-placed")
     chunks = placed.select("bucket", "own", "chunk").distinct()
     other = chunks.select("bucket", F.col("own").alias("own2"), F.col("chunk").alias("chunk2"))

@@ -53,6 +53,24 @@ def test_like_brute_force(spark, monkeypatch, seed, percent, chunk):
     assert got == brute(rows, percent)
 
 
+@pytest.mark.parametrize(("seed", "wide"), [(3, 16), (4, 24)])
+def test_wide_chunks_and_large_groups_like_brute_force(spark, monkeypatch, seed, wide):
+    """Chunks of sketches wider than those of sets, and groups of sketches of more than two chunks."""
+    monkeypatch.setattr(neardup, "CHUNK", 8)
+    monkeypatch.setattr(neardup, "WIDE", wide)
+    rows = corpus(seed)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, 85).collect()} == brute(rows, 85)
+
+
+def test_cells_of_an_unlinked_bucket_repeat_a_member_few_times(spark):
+    """A bucket of which no two members are connected: each is in one cell for every WIDE members, not for every CHUNK."""
+    n = neardup.WIDE
+    rest = spark.range(n).selectExpr("7L as bucket", "id as rep", "id as part")
+    assert neardup._cross_cells(rest, neardup.WIDE).count() == n
+    assert neardup._cross_cells(rest, neardup.CHUNK).count() > n * n // neardup.CHUNK // 2
+
+
 def test_null_ids_and_repeated_rows(spark):
     t = "a b c d e f g h"
     df = spark.createDataFrame([(None, t), (5, t), (5, t), (7, t)], "doc_id long, text string")
