@@ -37,8 +37,9 @@ from cartolith.llm.common import Words, batch, crc_mod, fresh, map_arrow, mix, s
 D, LEAST, BLOCK = 0.75, 2, 4 << 20
 #: Parts in which the n-grams of each order are counted.
 PASSES = {3: 2, 2: 2, 1: 1}
-#: N-grams that blocks ask of a shard, about.
-SHARD = 1 << 18
+#: N-grams that blocks ask of a shard, about; with more shards than ``SHARDS`` up to ``GROWN`` times as many, as
+#: each block writes to each shard: messages, blocks times shards, are short where there are many.
+SHARD, SHARDS, GROWN = 1 << 18, 128, 4
 END = np.uint64(0x454E44)  # stands for the end token's hash
 FLUSH = 2_000_000
 ANSWERS = "ord int, block long, shard long, data binary"
@@ -117,6 +118,12 @@ class Grams:
                 yield int(self.shard[a]), packed(steps(self.history[a:z]), self.word[a:z], n[a:z])
 
 
+def shards_for(asked: int) -> int:
+    """For texts of so many bytes."""
+    tokens = max(1, asked // 6)
+    return max(-(-tokens // (GROWN * SHARD)), min(SHARDS, -(-tokens // SHARD)))
+
+
 def _shard(key: np.ndarray, shards: int) -> np.ndarray:
     return (key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
 
@@ -477,7 +484,7 @@ def score(df: DataFrame, least: int = LEAST) -> DataFrame:
         blocks = _blocks(df)
         training = F.size(F.filter("held", lambda x: ~x))
         words, documents, asked = blocks.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum(training), F.lit(0)), F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()
-        shards = dict.fromkeys((1, 2, 3), max(1, -(-asked // (6 * SHARD))))
+        shards = dict.fromkeys((1, 2, 3), shards_for(asked))
         found: list[DataFrame] = []
         passed, types = None, 0
         for order in (3, 2, 1):

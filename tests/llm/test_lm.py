@@ -161,3 +161,12 @@ def test_a_long_text_is_one_block(spark):
     ids = [i for i in range(50) if not held(i)][:2]
     got = lm.score(spark.createDataFrame([(i, text) for i in ids], "doc_id long, text string").coalesce(1)).collect()
     assert [r.n_known for r in got] == [2_000_001] * 2 and got[0].score == got[1].score > got[0].base_score
+
+
+def test_messages_stay_long_at_6_gb():
+    gb = 1 << 30
+    blocks = 6 * gb // lm.BLOCK
+    assert lm.BLOCK // 6 // lm.shards_for(6 * gb) > 600 and blocks * lm.shards_for(6 * gb) < 2_000_000
+    assert [lm.shards_for(n) for n in (0, 1, 6 * lm.SHARD, 12 * lm.SHARD)] == [1, 1, 1, 2] and lm.shards_for(gb // 2) == lm.SHARDS
+    counts = [lm.shards_for(n) for n in range(0, 8 * gb, gb // 16)]
+    assert counts == sorted(counts) and all(n <= 6 * lm.GROWN * lm.SHARD * c for n, c in zip(range(0, 8 * gb, gb // 16), counts, strict=True))
